@@ -2,5 +2,44 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from leafline.operators import hierarchy
+from leafline.session import table
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return hierarchy.issues(table(spark, folder, "nodes"))
+
+
+def p4_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return hierarchy.paths(table(spark, folder, "nodes"))
+
+
+def p4_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    return hierarchy.descendants(table(spark, folder, "nodes"))
+
+
+QUERIES: dict = {f.__name__: f for f in (p4_found, p4_paths, p4_descendants)}
+
+_LINKS = """
+latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY built_at DESC) AS rn FROM nodes) WHERE rn = 1),
+links AS (
+  SELECT DISTINCT p, c FROM (
+    SELECT unnest(parent_ids) AS p, node_id AS c FROM latest UNION ALL SELECT node_id AS p, unnest(child_ids) AS c FROM latest)
+  WHERE p IN (SELECT node_id FROM latest) AND c IN (SELECT node_id FROM latest)),
+reach AS (SELECT p, c FROM links UNION SELECT r.p, l.c FROM reach r JOIN links l ON r.c = l.p),
+walk AS (
+  SELECT node_id, 0 AS depth FROM latest WHERE node_id NOT IN (SELECT c FROM links)
+  UNION SELECT l.c AS node_id, w.depth + 1 AS depth FROM walk w JOIN links l ON w.node_id = l.p WHERE w.depth < 200),
+depths AS (SELECT node_id, min(depth) AS depth FROM walk GROUP BY node_id)
+"""
+
+SQL: dict[str, str] = {
+    "p4_found": f"""
+WITH RECURSIVE {_LINKS}
+SELECT 'cycle' AS issue, p AS node_id FROM reach WHERE p = c
+UNION ALL
+SELECT 'level' AS issue, node_id FROM depths JOIN latest USING (node_id) WHERE level IS NOT NULL AND level <> depth
+""",
+}
