@@ -29,8 +29,8 @@ SALTS = 32
 
 def canonical(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    trimmed = F.regexp_replace(F.lower(c), r"^[\s  -​　]+|[\s  -​　]+$", "")
-    return F.regexp_replace(trimmed, r"[\s _-]+", "_")
+    trimmed = F.regexp_replace(F.lower(c), r"^[\s\u00a0\u2000-\u200b\u3000]+|[\s\u00a0\u2000-\u200b\u3000]+$", "")
+    return F.regexp_replace(trimmed, r"[\s\u00a0\u2000-\u200b\u3000_-]+", "_")
 
 
 def rake(share: np.ndarray, available: np.ndarray, rows: np.ndarray, cols: np.ndarray, total: float, rounds: int = ROUNDS) -> np.ndarray:

@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafline.llm import clusters, residue
 from leafline.llm.mixture import sample_by_targets
 from leafline.llm.split import split_oversized
 from leafline.llm.tokens import encode_ids
 from leafline.session import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters.found_pairs(table(spark, folder, "cluster_nodes"))
+
+
+def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters.cluster_report(table(spark, folder, "cluster_nodes"))
+
+
 def _p2(spark: SparkSession, folder: str) -> DataFrame:
     documents = split_oversized(table(spark, folder, "corpus_documents")).withColumn("kind", F.lit("document"))
     chunks = split_oversized(table(spark, folder, "chunks")).withColumn("kind", F.lit("chunk"))
@@ -38,11 +47,19 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     return sample_by_targets(table(spark, folder, "queries"), table(spark, folder, "suite_targets"))[1]
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue_nodes(table(spark, folder, "nodes"))
+
+
+def p5_values(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue_report(table(spark, folder, "nodes"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_ids(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_sample, p3_report, p6_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_pieces, p3_found, p3_sample, p3_report, p5_found, p5_values, p6_ids)}
 
 _LATEST_QUERIES = """
 latest AS (

@@ -24,7 +24,7 @@ from leafline.session import latest_rows
 LIMIT, OVERLAP = 512, 50
 _WORD = re.compile(r"[^ \t\r\n]+")
 _NEWLINE = re.compile(r"\r\n|\r|\n")
-_SENTENCE_END = re.compile(r"[.!?…。！？؟][\"'”’»)\]]*$| $| $")
+_SENTENCE_END = re.compile(r"[.!?…。！？؟][\"'”’»)\]]*$|[\u2028\u2029]$")
 _HEADING = re.compile(r"#{1,6}$")
 _ITEM = re.compile(r"([-*+•|]|\d{1,3}[.)])")
 SENTENCE, LINE, ITEM, PARAGRAPH, HEADING = 1, 2, 3, 4, 5
