@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm import clusters, residue
+from leafline.llm import clusters, packing, residue
 from leafline.llm.mixture import sample_by_targets
 from leafline.llm.split import split_oversized
-from leafline.llm.tokens import encode_ids
+from leafline.llm.tokens import count_tokens, encode_ids
 from leafline.session import table
 
 
@@ -59,7 +59,12 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_ids(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_pieces, p3_found, p3_sample, p3_report, p5_found, p5_values, p6_ids)}
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = count_tokens(table(spark, folder, "documents")).select(F.col("doc_id").alias("doc"), F.col("n_tokens").alias("size"))
+    return packing.pack_items(sizes).withColumnRenamed("doc", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_pieces, p3_found, p3_sample, p3_report, p5_found, p5_values, p6_ids, p7_containers)}
 
 _LATEST_QUERIES = """
 latest AS (
