@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm import clusters, packing, residue
+from leafline.llm import abuse, clusters, packing, residue
 from leafline.llm.mixture import sample_by_targets
 from leafline.llm.split import split_oversized
 from leafline.llm.tokens import count_tokens, encode_ids
@@ -64,7 +64,26 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_items(sizes).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_pieces, p3_found, p3_sample, p3_report, p5_found, p5_values, p6_ids, p7_containers)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.found(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
+
+
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    scores = abuse.score_documents(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
+    return scores.withColumn("score", F.round("score", 6))
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.source_rates(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_clusters, p2_found, p2_pieces, p3_found, p3_sample, p3_report, p5_found, p5_values, p6_ids, p7_containers,
+        p8_found, p8_scores, p8_rates,
+    )
+}
 
 _LATEST_QUERIES = """
 latest AS (
