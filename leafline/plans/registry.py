@@ -1,45 +1,497 @@
-"""Registered queries of the core, and the SQL that states the same results."""
+"""Registered queries of the core: one entry per operator, over whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafline.operators import hierarchy
-from leafline.session import table
+from leafline.functions import text as X
+from leafline.functions.vec import hash_buckets, hash_embedding
+from leafline.operators import budget, chunking, hierarchy, metrics, retrieval, routing, suite, tree
+from leafline.plans import inputs
+from leafline.plans.sql import SQL
+from leafline.schemas import violations
+from leafline.session import latest_rows, materialize, table
 
+BUDGETS = [200, 400, 600, 800, 1200, 10000]
+SYSTEMS = ["bm25", "rrf", "flat_ce"]
+QUERIES: dict = {}
 
+
+def register(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+# hierarchies
+
+
+@register
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.issues(table(spark, folder, "nodes"))
 
 
-def p4_paths(spark: SparkSession, folder: str) -> DataFrame:
+@register
+def p4_paths(spark, folder):
     return hierarchy.paths(table(spark, folder, "nodes"))
 
 
-def p4_descendants(spark: SparkSession, folder: str) -> DataFrame:
+@register
+def p4_descendants(spark, folder):
     return hierarchy.descendants(table(spark, folder, "nodes"))
 
 
-QUERIES: dict = {f.__name__: f for f in (p4_found, p4_paths, p4_descendants)}
-
-_LINKS = """
-latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY built_at DESC) AS rn FROM nodes) WHERE rn = 1),
-links AS (
-  SELECT DISTINCT p, c FROM (
-    SELECT unnest(parent_ids) AS p, node_id AS c FROM latest UNION ALL SELECT node_id AS p, unnest(child_ids) AS c FROM latest)
-  WHERE p IN (SELECT node_id FROM latest) AND c IN (SELECT node_id FROM latest)),
-reach AS (SELECT p, c FROM links UNION SELECT r.p, l.c FROM reach r JOIN links l ON r.c = l.p),
-walk AS (
-  SELECT node_id, 0 AS depth FROM latest WHERE node_id NOT IN (SELECT c FROM links)
-  UNION SELECT l.c AS node_id, w.depth + 1 AS depth FROM walk w JOIN links l ON w.node_id = l.p WHERE w.depth < 200),
-depths AS (SELECT node_id, min(depth) AS depth FROM walk GROUP BY node_id)
-"""
-
-SQL: dict[str, str] = {
-    "p4_found": f"""
-WITH RECURSIVE {_LINKS}
-SELECT 'cycle' AS issue, p AS node_id FROM reach WHERE p = c
-UNION ALL
-SELECT 'level' AS issue, node_id FROM depths JOIN latest USING (node_id) WHERE level IS NOT NULL AND level <> depth
-""",
-}
+# corpus
+
+
+@register
+def corpus_stats(spark, folder):
+    c = inputs.chunks(spark, folder)
+    return c.agg(
+        F.count(F.lit(1)).alias("chunks"), F.count_distinct("document_id").alias("documents"), F.sum("tokens").alias("total_tokens"), F.round(F.avg("tokens"), 4).alias("mean_tokens"),
+        F.min("tokens").cast("long").alias("min_tokens"), F.max("tokens").cast("long").alias("max_tokens"),
+    )
+
+
+@register
+def corpus_by_source(spark, folder):
+    c = inputs.chunks(spark, folder).groupBy(X.source_prefix(F.col("document_id")).alias("source")).agg(F.count(F.lit(1)).alias("chunks"))
+    d = inputs.documents(spark, folder).groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
+    return d.join(c, "source", "full").select(F.coalesce("source", F.lit("unknown")).alias("source"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("chunks", F.lit(0)).alias("chunks"))
+
+
+@register
+def corpus_union(spark, folder):
+    """Both text corpora as one, with the words of each source."""
+    one = inputs.documents(spark, folder).select(F.lit("corpus").alias("corpus"), "source", "content")
+    two = table(spark, folder, "documents").select(F.lit("pages").alias("corpus"), "source", F.col("text").alias("content"))
+    rows = one.unionByName(two).withColumn("words", X.word_count(F.col("content"))).where("words > 0")
+    return rows.groupBy("corpus", "source").agg(F.count(F.lit(1)).alias("documents"), F.sum("words").alias("words"))
+
+
+@register
+def source_proportional_sample(spark, folder):
+    return suite.proportional_sample(inputs.chunks(spark, folder), 150)
+
+
+@register
+def suite_split_counts(spark, folder):
+    return suite.split(inputs.queries(spark, folder), id_col="query_id").groupBy("part").agg(F.count(F.lit(1)).alias("queries"))
+
+
+@register
+def suite_split(spark, folder):
+    return suite.split(inputs.queries(spark, folder), id_col="query_id").select("query_id", "part")
+
+
+@register
+def category_quota(spark, folder):
+    return suite.category_quotas(inputs.queries(spark, folder).groupBy("suite_id").agg(F.count(F.lit(1)).alias("n")))
+
+
+@register
+def suite_filters(spark, folder):
+    q = inputs.queries(spark, folder)
+    return suite.of_difficulty(suite.of_category(q.where("feasible"), "single_branch"), "easy").select("query_id", "suite_id")
+
+
+@register
+def query_distribution(spark, folder):
+    return inputs.queries(spark, folder).groupBy("category", "difficulty").agg(F.count(F.lit(1)).alias("queries"))
+
+
+@register
+def model_violations(spark, folder):
+    """Broken rules of the latest chunks, queries and nodes, counted."""
+    c = latest_rows(table(spark, folder, "chunks"), "id", "ingested_at", "content", "token_count")
+    q = latest_rows(table(spark, folder, "queries"), "id", "created_at", "category", "difficulty", "gold_chunk_ids")
+    n = latest_rows(table(spark, folder, "nodes"), "node_id", "built_at", "level", "is_leaf", "chunk_id", "child_ids", "summary")
+    found = [violations(df, kind).withColumn("entity", F.lit(kind)) for df, kind in ((c, "chunk"), (q, "query"), (n, "node"))]
+    return found[0].unionByName(found[1]).unionByName(found[2]).groupBy("entity", "rule").agg(F.count(F.lit(1)).alias("rows"))
+
+
+# texts
+
+
+def _pages(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", "text")
+
+
+@register
+def token_counts(spark, folder):
+    return _pages(spark, folder).select("doc_id", X.word_count(F.col("text")).alias("tokens"))
+
+
+@register
+def snippets(spark, folder):
+    return _pages(spark, folder).where("text IS NOT NULL").select("doc_id", X.snippet(F.col("text")).alias("snippet"))
+
+
+@register
+def sentence_segments(spark, folder):
+    return _pages(spark, folder).where("text IS NOT NULL").select("doc_id", F.posexplode(X.segments(F.col("text"))).alias("segment_no", "segment"))
+
+
+@register
+def force_split_chunks(spark, folder):
+    return chunking.force_split(_pages(spark, folder), "doc_id", "text")
+
+
+@register
+def greedy_chunks(spark, folder):
+    return chunking.chunk_documents(inputs.documents(spark, folder))
+
+
+@register
+def keyword_filter(spark, folder):
+    rows = table(spark, folder, "documents").withColumn("words", X.word_count(F.col("text")))
+    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.substring("text", 1, 500))
+    return rows.where(X.matches_keywords(text) & F.col("words").between(500, 10_000)).select("doc_id", "words")
+
+
+@register
+def article_clean(spark, folder):
+    return _pages(spark, folder).where("text IS NOT NULL").select("doc_id", F.md5(X.clean_article(F.col("text"))).alias("digest"), F.length(X.clean_article(F.col("text"))).alias("chars"))
+
+
+@register
+def fallback_summaries(spark, folder):
+    s = _pages(spark, folder).where("text IS NOT NULL").select("doc_id", X.fallback_summary(F.col("text")).alias("s"))
+    return s.select("doc_id", F.array_join("s.includes", "|").alias("includes"), F.array_join("s.key_terms", "|").alias("key_terms"))
+
+
+def _summaries(spark, folder):
+    return latest_rows(table(spark, folder, "nodes"), "node_id", "built_at", "summary").where("summary IS NOT NULL")
+
+
+@register
+def summary_texts(spark, folder):
+    s = F.col("summary")
+    return _summaries(spark, folder).select("node_id", X.summary_text(s).alias("text"), X.summary_line(s).alias("line"))
+
+
+@register
+def json_extract(spark, folder):
+    """Summaries as a model would wrap them, read back; the theme must survive."""
+    noisy = F.concat(F.lit("Here is the summary:\n```json\n"), F.to_json(F.struct(F.col("summary.theme").alias("theme"), F.col("summary.includes").alias("includes"))), F.lit("\n```\nDone."))
+    rows = _summaries(spark, folder).where("summary.theme IS NOT NULL AND summary.includes IS NOT NULL").select("node_id", X.parse_summary(noisy, F.lit("fallback")).alias("s"))
+    return rows.select("node_id", F.col("s.theme").alias("theme"), F.size("s.includes").cast("long").alias("includes"))
+
+
+@register
+def prompt_samples(spark, folder):
+    c = inputs.chunks(spark, folder).groupBy("document_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "id", "content"))), 1, 20).alias("t"))
+    sample = X.prompt_sample(F.transform("t", lambda x: x["content"]))
+    return c.select("document_id", F.md5(sample).alias("digest"), F.length(sample).alias("chars"))
+
+
+@register
+def cache_keys(spark, folder):
+    q = inputs.queries(spark, folder).where("size(gold) > 0")
+    return q.select("query_id", X.pair_key(F.coalesce("text", F.lit("")), F.element_at("gold", 1)).alias("pair_key"), X.judge_key(F.col("gold")).alias("judge_key"))
+
+
+# retrieval
+
+
+def _ranked(spark, folder, system: str, top_k: int = 50):
+    """(ranking, asked queries, chunks) of one of the flat systems."""
+    c = materialize(inputs.chunks(spark, folder), "chunks")
+    q = inputs.asked(spark, folder)
+    bm25 = retrieval.Bm25(c)
+    if system == "bm25":
+        return bm25.rank(q, top_k), q, c
+    first_k = top_k if system == "rrf" else 50
+    words = bm25.rank(q, 3 * first_k)
+    vec_q = hash_embedding(q, "query_id", "text")
+    vec_c = hash_embedding(c, "id", "content").join(c.select("id", "pos"), "id").select(F.col("id").alias("chunk_id"), "pos", "vec")
+    fused = materialize(retrieval.fuse(words, retrieval.vector_top_k(vec_q, vec_c, 3 * first_k), first_k), "fused")
+    if system == "rrf":
+        return fused, q, c
+    return retrieval.rescore(fused, c, q, retrieval.LexicalScorer(bm25.idf), top_k), q, c
+
+
+@register
+def bm25_topk(spark, folder):
+    return _ranked(spark, folder, "bm25", 10)[0]
+
+
+@register
+def hash_embed(spark, folder):
+    return hash_buckets(inputs.queries(spark, folder), "query_id", "text")
+
+
+@register
+def vector_topk(spark, folder):
+    v = inputs.vectors(spark, folder)
+    return retrieval.vector_top_k(inputs.asked_vectors(v), v, 10)
+
+
+@register
+def rrf_topk(spark, folder):
+    return _ranked(spark, folder, "rrf", 10)[0]
+
+
+@register
+def flat_ce_topk(spark, folder):
+    return _ranked(spark, folder, "flat_ce", 10)[0]
+
+
+@register
+def cache_miss_antijoin(spark, folder):
+    """Gold pairs of all queries that a cache with the easy queries' pairs does not hold."""
+    q = inputs.queries(spark, folder).where("text IS NOT NULL")
+    pairs = q.select("query_id", "difficulty", "text", F.explode("gold").alias("chunk_id")).withColumn("key", X.pair_key(F.col("text"), F.col("chunk_id")))
+    return retrieval.cache_misses(pairs, pairs.where("difficulty = 'easy'")).select("query_id", "chunk_id", "key")
+
+
+# budgets
+
+
+def _tokens(ranking, c):
+    return ranking.join(c.select(F.col("id").alias("chunk_id"), "tokens"), "chunk_id")
+
+
+@register
+def pack_400(spark, folder):
+    r, _, c = _ranked(spark, folder, "bm25")
+    return budget.pack_budget(_tokens(r, c), 400).select("query_id", "tokens_used", F.array_join("chunk_ids", "|").alias("chunk_ids"))
+
+
+@register
+def pack_redundancy(spark, folder):
+    v = inputs.vectors(spark, folder)
+    r = retrieval.vector_top_k(inputs.asked_vectors(v), v, 50).join(v.select("chunk_id", "vec", (50 + F.col("pos") * 37 % 200).alias("tokens")), "chunk_id")
+    return budget.pack_diverse(r, 1200, 0.9).select("query_id", "tokens_used", F.array_join("chunk_ids", "|").alias("chunk_ids"))
+
+
+@register
+def packed_metrics(spark, folder):
+    r, q, c = _ranked(spark, folder, "bm25")
+    g = inputs.gold(q)
+    p = materialize(budget.pack_budget(_tokens(r, c), 400), "packed")
+    means = metrics.system_means(metrics.per_query(metrics.packed_rankings(p), g), "bm25")
+    ok = metrics.sufficiency(p, g).agg(F.round(F.avg(F.col("sufficient").cast("double")), 6).alias("sufficiency_at_400"), F.round(F.avg("tokens_used"), 4).alias("mean_tokens_used"))
+    return means.crossJoin(ok)
+
+
+@register
+def token_efficiency_curve(spark, folder):
+    r, q, c = _ranked(spark, folder, "bm25")
+    return metrics.efficiency_curve(budget.pack_curve(_tokens(r, c), BUDGETS), inputs.gold(q))
+
+
+# evaluation
+
+
+def _means(spark, folder, system):
+    r, q, _ = _ranked(spark, folder, system)
+    return metrics.system_means(metrics.per_query(r, inputs.gold(q)), system)
+
+
+@register
+def ir_metrics_bm25(spark, folder):
+    return _means(spark, folder, "bm25")
+
+
+@register
+def ir_metrics_rrf(spark, folder):
+    return _means(spark, folder, "rrf")
+
+
+@register
+def ir_metrics_flatce(spark, folder):
+    return _means(spark, folder, "flat_ce")
+
+
+@register
+def per_query_metrics(spark, folder):
+    r, q, _ = _ranked(spark, folder, "bm25")
+    return metrics.per_query(r, inputs.gold(q))
+
+
+def _all_systems(spark, folder):
+    out = None
+    for system in SYSTEMS:
+        r, q, _ = _ranked(spark, folder, system)
+        m = metrics.per_query(r, inputs.gold(q)).withColumn("system", F.lit(system))
+        out = m if out is None else out.unionByName(m)
+    return materialize(out, "systems"), q
+
+
+@register
+def category_breakdown(spark, folder):
+    m, q = _all_systems(spark, folder)
+    return metrics.by_group(m, q, "category")
+
+
+@register
+def difficulty_pivot(spark, folder):
+    m, q = _all_systems(spark, folder)
+    return metrics.pivot(metrics.by_group(m, q, "difficulty"), "difficulty", "ndcg", SYSTEMS)
+
+
+@register
+def category_pivot(spark, folder):
+    m, q = _all_systems(spark, folder)
+    return metrics.pivot(metrics.by_group(m, q, "category"), "category", "mrr", SYSTEMS)
+
+
+@register
+def opportunity(spark, folder):
+    """Categories by what the re-scored system leaves open, and its gain over BM25."""
+    m, q = _all_systems(spark, folder)
+    p = metrics.pivot(metrics.by_group(m, q, "category"), "category", "ndcg", SYSTEMS)
+    return p.select("category", "flat_ce", F.round(F.col("flat_ce") - F.col("bm25"), 5).alias("gain"))
+
+
+def _system_means(m):
+    mean = lambda c: F.round(F.avg(c), 5)
+    return m.groupBy("system").agg(mean("ndcg").alias("ndcg_at_10"), mean("recall").alias("recall_at_10"), mean("mrr").alias("mrr"))
+
+
+@register
+def system_deltas(spark, folder):
+    return metrics.deltas(_system_means(_all_systems(spark, folder)[0]), "flat_ce")
+
+
+# trees
+
+
+def _label_tree(spark, folder):
+    v = materialize(inputs.vectors(spark, folder), "vectors")
+    nodes, edges = tree.build_tree(v.select("chunk_id", F.array(F.col("label").cast("int")).alias("path")), v)
+    return v, nodes, edges
+
+
+@register
+def label_tree_nodes(spark, folder):
+    _, nodes, _ = _label_tree(spark, folder)
+    return nodes.select("node_id", "level", "is_leaf", "chunk_id", F.round(F.element_at("embedding", 1), 6).alias("first"))
+
+
+@register
+def label_tree_edges(spark, folder):
+    return _label_tree(spark, folder)[2]
+
+
+@register
+def tree_shape(spark, folder):
+    _, nodes, edges = _label_tree(spark, folder)
+    return tree.shape(nodes, edges)
+
+
+@register
+def sibling_distinctiveness(spark, folder):
+    _, nodes, edges = _label_tree(spark, folder)
+    return tree.sibling_distinctiveness(nodes, edges)
+
+
+@register
+def ancestor_closure(spark, folder):
+    _, nodes, edges = _label_tree(spark, folder)
+    return tree.closure(edges, nodes)
+
+
+@register
+def descendant_leaves(spark, folder):
+    _, nodes, edges = _label_tree(spark, folder)
+    return tree.descendant_leaves(edges, nodes)
+
+
+@register
+def kmeans_tree(spark, folder):
+    v = materialize(inputs.vectors(spark, folder), "vectors")
+    nodes, _ = tree.build_tree(tree.kmeans_paths(v, 8, 3), v)
+    return nodes.select("node_id", "level", "is_leaf", "chunk_id")
+
+
+@register
+def cascade_children(spark, folder):
+    v, nodes, edges = _label_tree(spark, folder)
+    q = inputs.asked_vectors(v)
+    kids = routing.cascade(q.select("query_id", F.lit(tree.ROOT).alias("parent_id")), nodes, edges, q)
+    return kids.select("query_id", "child_id", F.round("score", 6).alias("score"), "child_rank")
+
+
+def _beam(spark, folder):
+    v, nodes, edges = _label_tree(spark, folder)
+    q = inputs.asked_vectors(v)
+    trace, leaves = routing.beam_search(q, nodes, edges)
+    return v, nodes, edges, q, trace, leaves
+
+
+@register
+def beam_search(spark, folder):
+    trace = _beam(spark, folder)[4]
+    return trace.withColumn("path_score", F.round("path_score", 6))
+
+
+@register
+def beam_leaves(spark, folder):
+    leaves = _beam(spark, folder)[5]
+    return leaves.select("query_id", "beam_pos", "chunk_id", F.round("path_score", 6).alias("path_score"))
+
+
+def _collapsed(q, nodes, edges):
+    return routing.collapsed_search(q, nodes, tree.descendant_leaves(edges, nodes))
+
+
+@register
+def collapsed_search(spark, folder):
+    v, nodes, edges = _label_tree(spark, folder)
+    c = _collapsed(inputs.asked_vectors(v), nodes, edges)
+    return c.select("query_id", "leaf_id", "place", F.round("score", 6).alias("score"))
+
+
+@register
+def dual_path(spark, folder):
+    _, nodes, edges, q, _, leaves = _beam(spark, folder)
+    r = routing.resolve_leaves(routing.dual_path(leaves, _collapsed(q, nodes, edges)), 10)
+    return r.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+def _vector_gold(v, q):
+    return q.join(v.select("chunk_id", "label"), "label").where(F.col("chunk_id") != F.col("self")).select("query_id", "chunk_id")
+
+
+def _errors(spark, folder):
+    v, nodes, edges, q, trace, _ = _beam(spark, folder)
+    return metrics.routing_error(trace, _vector_gold(v, q), nodes, tree.closure(edges, nodes))
+
+
+@register
+def routing_epsilon(spark, folder):
+    return _errors(spark, folder)
+
+
+@register
+def compound_recall(spark, folder):
+    return metrics.compound_recall(_errors(spark, folder))
+
+
+def _trace(spark, folder):
+    v, nodes, edges = _label_tree(spark, folder)
+    q = inputs.asked_vectors(v)
+    one = _vector_gold(v, q).groupBy("query_id").agg(F.min(F.col("chunk_id").cast("long")).cast("string").alias("chunk_id"))
+    return routing.routing_trace(q, one, nodes, edges, tree.closure(edges, nodes))
+
+
+@register
+def routing_trace(spark, folder):
+    return _trace(spark, folder)
+
+
+@register
+def trace_summary(spark, folder):
+    return metrics.trace_summary(_trace(spark, folder))
+
+
+@register
+def failfast_gate(spark, folder):
+    """Distinctiveness and level-1 error of the label tree, and BM25 against the re-scored system."""
+    v, nodes, edges, q, trace, _ = _beam(spark, folder)
+    errors = metrics.routing_error(trace, _vector_gold(v, q), nodes, tree.closure(edges, nodes))
+    means = _means(spark, folder, "bm25").select("system", "ndcg_at_10").unionByName(_means(spark, folder, "flat_ce").select("system", "ndcg_at_10"))
+    delta = metrics.deltas(materialize(means, "means"), "flat_ce").where("system = 'bm25'")
+    return metrics.gate(tree.sibling_distinctiveness(nodes, edges), errors, delta)
