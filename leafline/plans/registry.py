@@ -194,26 +194,32 @@ def cache_keys(spark, folder):
 # retrieval
 
 
-def _ranked(spark, folder, system: str, top_k: int = 50):
-    """(ranking, asked queries, chunks) of one of the flat systems."""
+def _ranked(spark, folder, systems, top_k: int = 50):
+    """({system: ranking}, asked queries, chunks): the flat systems over one set of word and vector pools."""
     c = materialize(inputs.chunks(spark, folder), "chunks")
     q = inputs.asked(spark, folder)
     bm25 = retrieval.Bm25(c)
-    if system == "bm25":
-        return bm25.rank(q, top_k), q, c
-    first_k = top_k if system == "rrf" else 50
-    words = bm25.rank(q, 3 * first_k)
+    if systems == ["bm25"]:
+        return {"bm25": bm25.rank(q, top_k)}, q, c
+    first_k = 50 if "flat_ce" in systems else top_k
+    words = materialize(bm25.rank(q, 3 * first_k), "words")
     vec_q = hash_embedding(q, "query_id", "text")
     vec_c = hash_embedding(c, "id", "content").join(c.select("id", "pos"), "id").select(F.col("id").alias("chunk_id"), "pos", "vec")
     fused = materialize(retrieval.fuse(words, retrieval.vector_top_k(vec_q, vec_c, 3 * first_k), first_k), "fused")
-    if system == "rrf":
-        return fused, q, c
-    return retrieval.rescore(fused, c, q, retrieval.LexicalScorer(bm25.idf), top_k), q, c
+    out = {"bm25": words.where(F.col("rank") <= top_k), "rrf": fused}
+    if "flat_ce" in systems:
+        out["flat_ce"] = retrieval.rescore(fused, c, q, retrieval.LexicalScorer(bm25.idf), top_k)
+    return out, q, c
+
+
+def _one(spark, folder, system, top_k: int = 50):
+    found, q, c = _ranked(spark, folder, [system], top_k)
+    return found[system], q, c
 
 
 @register
 def bm25_topk(spark, folder):
-    return _ranked(spark, folder, "bm25", 10)[0]
+    return _one(spark, folder, "bm25", 10)[0]
 
 
 @register
@@ -229,12 +235,12 @@ def vector_topk(spark, folder):
 
 @register
 def rrf_topk(spark, folder):
-    return _ranked(spark, folder, "rrf", 10)[0]
+    return _one(spark, folder, "rrf", 10)[0]
 
 
 @register
 def flat_ce_topk(spark, folder):
-    return _ranked(spark, folder, "flat_ce", 10)[0]
+    return _one(spark, folder, "flat_ce", 10)[0]
 
 
 @register
@@ -254,7 +260,7 @@ def _tokens(ranking, c):
 
 @register
 def pack_400(spark, folder):
-    r, _, c = _ranked(spark, folder, "bm25")
+    r, _, c = _one(spark, folder, "bm25")
     return budget.pack_budget(_tokens(r, c), 400).select("query_id", "tokens_used", F.array_join("chunk_ids", "|").alias("chunk_ids"))
 
 
@@ -267,7 +273,7 @@ def pack_redundancy(spark, folder):
 
 @register
 def packed_metrics(spark, folder):
-    r, q, c = _ranked(spark, folder, "bm25")
+    r, q, c = _one(spark, folder, "bm25")
     g = inputs.gold(q)
     p = materialize(budget.pack_budget(_tokens(r, c), 400), "packed")
     means = metrics.system_means(metrics.per_query(metrics.packed_rankings(p), g), "bm25")
@@ -277,7 +283,7 @@ def packed_metrics(spark, folder):
 
 @register
 def token_efficiency_curve(spark, folder):
-    r, q, c = _ranked(spark, folder, "bm25")
+    r, q, c = _one(spark, folder, "bm25")
     return metrics.efficiency_curve(budget.pack_curve(_tokens(r, c), BUDGETS), inputs.gold(q))
 
 
@@ -285,7 +291,7 @@ def token_efficiency_curve(spark, folder):
 
 
 def _means(spark, folder, system):
-    r, q, _ = _ranked(spark, folder, system)
+    r, q, _ = _one(spark, folder, system)
     return metrics.system_means(metrics.per_query(r, inputs.gold(q)), system)
 
 
@@ -306,15 +312,16 @@ def ir_metrics_flatce(spark, folder):
 
 @register
 def per_query_metrics(spark, folder):
-    r, q, _ = _ranked(spark, folder, "bm25")
+    r, q, _ = _one(spark, folder, "bm25")
     return metrics.per_query(r, inputs.gold(q))
 
 
 def _all_systems(spark, folder):
+    found, q, _ = _ranked(spark, folder, SYSTEMS)
+    g = inputs.gold(q)
     out = None
     for system in SYSTEMS:
-        r, q, _ = _ranked(spark, folder, system)
-        m = metrics.per_query(r, inputs.gold(q)).withColumn("system", F.lit(system))
+        m = metrics.per_query(found[system], g).withColumn("system", F.lit(system))
         out = m if out is None else out.unionByName(m)
     return materialize(out, "systems"), q
 
@@ -492,6 +499,5 @@ def failfast_gate(spark, folder):
     """Distinctiveness and level-1 error of the label tree, and BM25 against the re-scored system."""
     v, nodes, edges, q, trace, _ = _beam(spark, folder)
     errors = metrics.routing_error(trace, _vector_gold(v, q), nodes, tree.closure(edges, nodes))
-    means = _means(spark, folder, "bm25").select("system", "ndcg_at_10").unionByName(_means(spark, folder, "flat_ce").select("system", "ndcg_at_10"))
-    delta = metrics.deltas(materialize(means, "means"), "flat_ce").where("system = 'bm25'")
+    delta = metrics.deltas(materialize(_system_means(_all_systems(spark, folder)[0]), "means"), "flat_ce").where("system = 'bm25'")
     return metrics.gate(tree.sibling_distinctiveness(nodes, edges), errors, delta)
