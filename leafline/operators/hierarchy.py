@@ -197,9 +197,12 @@ def resolve(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return rows, found, materialize(facts, "facts")
 
 
-def issues(nodes: DataFrame) -> DataFrame:
+Resolved = tuple[DataFrame, DataFrame, DataFrame]
+
+
+def issues(nodes: DataFrame, resolved: Resolved | None = None) -> DataFrame:
     """(issue, node_id): ``cycle`` for nodes that are their own ancestors, ``level`` for levels that contradict the depth."""
-    rows, _, facts = resolve(nodes)
+    rows, _, facts = resolved or resolve(nodes)
     wrong = facts.where("depth IS NOT NULL").join(rows, "id").where(F.col("level") != F.col("depth"))
     return (
         facts.where("in_cycle")
@@ -251,9 +254,9 @@ def heavy_paths(facts: DataFrame, found: DataFrame) -> DataFrame:
     return materialize(tree.join(chains.select("id", F.col("up").alias("chain"), F.col("steps").alias("pos")), "id"), "chains")
 
 
-def paths(nodes: DataFrame) -> DataFrame:
+def paths(nodes: DataFrame, resolved: Resolved | None = None) -> DataFrame:
     """(node_id, root_id, depth, level, level_matches, in_cycle, path, chain_id, chain_pos, n_descendants)."""
-    rows, found, facts = resolve(nodes)
+    rows, found, facts = resolved or resolve(nodes)
     tree = heavy_paths(facts, found)
     segments = tree.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("s"))
     heads = tree.where("pos = 0").select("chain", "parent")
@@ -282,7 +285,7 @@ def paths(nodes: DataFrame) -> DataFrame:
     )
 
 
-def descendants(nodes: DataFrame) -> DataFrame:
-    """(node_id, descendant_id, links): one row for each node and each of its descendants in the forest."""
-    at = paths(nodes).where("path IS NOT NULL").select(F.col("node_id").alias("descendant_id"), "depth", F.posexplode("path").alias("_ll_at", "node_id"))
+def descendants(full: DataFrame) -> DataFrame:
+    """(node_id, descendant_id, links) from :func:`paths`: one row for each node and each of its descendants in the forest."""
+    at = full.where("path IS NOT NULL").select(F.col("node_id").alias("descendant_id"), "depth", F.posexplode("path").alias("_ll_at", "node_id"))
     return at.where(F.col("_ll_at") < F.col("depth")).select("node_id", "descendant_id", (F.col("depth") - F.col("_ll_at")).alias("links"))

@@ -38,7 +38,7 @@ def p4_paths(spark, folder):
 
 @register
 def p4_descendants(spark, folder):
-    return hierarchy.descendants(table(spark, folder, "nodes"))
+    return hierarchy.descendants(hierarchy.paths(table(spark, folder, "nodes")))
 
 
 # corpus
