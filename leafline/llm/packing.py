@@ -169,6 +169,7 @@ def state_after(swept: DataFrame, pairs: DataFrame | None) -> DataFrame:
 def pack_items(sizes: DataFrame, capacity: int = CAPACITY, bundle: int = BUNDLE, range_rows: int = RANGE_ROWS, max_parts: int | None = None) -> DataFrame:
     """(doc, piece, container, start, size) for (doc, size): ``start`` is the place, the first token of the piece in its container."""
     spark = sizes.sparkSession
+    sizes = materialize(sizes.select("doc", "size"), "sizes")
     items, full = cut_items(sizes, capacity)
     items = materialize(items, "items")
     n = items.count()
