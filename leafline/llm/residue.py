@@ -9,7 +9,7 @@ weight that the exemplar covers; weights are inverse frequencies over all distin
 
 * A passage is residue if a residue exemplar covers at least ``COVER`` of it (``HELD`` of the exemplar
   being there, and two of its words if it has two) and fits better than any exemplar of real content, the fit
-  being the weight held times the share of the exemplar that is held. A value is residue if at least half of its passages are.
+  being the weight covered times the share of the exemplar that is held. A value is residue if at least half of its passages are.
 * A value with a slot is residue unless an exemplar of real content covers the words around the slot.
 
 Nodes without a summary, and null, empty or wordless values are no case. Of a repeated id the latest row counts.
@@ -139,12 +139,12 @@ def residue_values(values: DataFrame, cover: float = COVER) -> DataFrame:
     hits = (
         words.join(F.broadcast(full), "token")
         .groupBy("key", "kind", "at", "exemplar", "real")
-        .agg(F.sum(F.least("n", "times") * F.col("weight")).alias("held"), F.count(F.lit(1)).alias("words"), F.first("whole").alias("whole"), F.first("length").alias("length"))
+        .agg(F.sum(F.col("n") * F.col("weight")).alias("covered"), F.sum(F.least("n", "times") * F.col("weight")).alias("held"), F.count(F.lit(1)).alias("words"), F.first("whole").alias("whole"), F.first("length").alias("length"))
         .where((F.col("held") >= HELD * F.col("whole")) & (F.col("words") >= F.least(F.lit(2), F.col("length"))))
-        .withColumn("fit", F.col("held") * F.col("held") / F.col("whole"))
+        .withColumn("fit", F.col("covered") * F.col("held") / F.col("whole"))
         .groupBy("key", "kind", "at")
         .agg(
-            F.max(F.when(~F.col("real"), F.col("held"))).alias("residue"),
+            F.max(F.when(~F.col("real"), F.col("covered"))).alias("residue"),
             F.max(F.when(~F.col("real"), F.col("fit"))).alias("residue_fit"),
             F.max(F.when(F.col("real"), F.col("fit"))).alias("real_fit"),
         )
