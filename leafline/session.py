@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_WRITTEN: list[str] = []
 #: A side is broadcast only when it was counted and has at most this many rows.
 BROADCAST_ROWS = 20_000
 
@@ -29,6 +30,7 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/leafline-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._leafline_path = path
@@ -38,9 +40,21 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
 def drop_table(df: DataFrame | None) -> None:
     """Delete the files of a table that :func:`materialize` wrote and nothing reads any more."""
     path = getattr(df, "_leafline_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
+    if path is not None:
+        _delete(df.sparkSession, path)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete all tables that this process wrote; call it when their results have been read. Returns their number."""
+    paths = list(_WRITTEN)
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -53,13 +67,10 @@ def latest_rows(df: DataFrame, key: str, time: str, *columns: str) -> DataFrame:
     the shuffle. Rows with the same time are ordered by the remaining columns, so the result is defined.
     """
     columns = columns or tuple(c for c in df.columns if c not in (key, time))
-    picked = F.max(F.struct(F.col(time).alias("_ll_time"), *[F.col(c) for c in columns])).alias("_ll_row")
-    return (
-        df.where(F.col(key).isNotNull())
-        .groupBy(F.col(key))
-        .agg(picked)
-        .select(F.col(key), *[F.col(f"_ll_row.`{c}`").alias(c) for c in columns], F.col("_ll_row._ll_time").alias(time))
-    )
+    # fields are named by position: the table may hold a column of any name
+    fields = [F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate([time, *columns])]
+    rows = df.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("k"), F.struct(*fields).alias("v")).groupBy("k").agg(F.max("v").alias("v"))
+    return rows.select(F.col("k").alias(key), *[F.col(f"v.f{i + 1}").alias(c) for i, c in enumerate(columns)], F.col("v.f0").alias(time))
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

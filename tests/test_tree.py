@@ -121,3 +121,11 @@ def test_clusters_two_blobs(spark):
     assert sorted(groups(branching=2, depth=1)) == [10, 10]
     assert sum(groups(branching=5, depth=1)) == 20 and len(groups(branching=5, depth=1)) > 1
     assert tree.kmeans_paths(v.limit(1), 2, 3).collect()[0]["path"] == []
+
+
+def test_summaries_of_branches(spark, small_tree):
+    _, nodes, edges = small_tree
+    chunks = spark.createDataFrame([("a1", 2, "alpha delta words"), ("a2", 1, "gamma omega words"), ("b1", 3, None), ("b2", 4, "tiny")], "id string, pos long, content string")
+    got = {r["node_id"]: r["summary"] for r in tree.summarise(nodes, edges, chunks).collect()}
+    assert set(got) == {"r", "r.0", "r.1"} and got["r.0"]["includes"] == ["gamma", "omega", "words", "alpha", "delta"]
+    assert got["r.0"]["content_snippet"].startswith("gamma omega words alpha")
