@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafline.functions.text import words
@@ -47,10 +50,32 @@ def hash_buckets(df: DataFrame, id_col: str, text_col: str, buckets: int = BUCKE
     return sums.where("value <> 0")
 
 
-def hash_embedding(df: DataFrame, id_col: str, text_col: str, buckets: int = BUCKETS) -> DataFrame:
-    """(id, vec): unit-length hashed bag of words; texts without any word, or whose sums cancel, get no row."""
-    sums = hash_buckets(df, id_col, text_col, buckets)
-    scaled = sums.withColumn("value", F.col("value") / F.sqrt(F.sum(F.col("value") * F.col("value")).over(W.partitionBy(id_col))))
-    filled = F.map_from_arrays(F.collect_list("bucket"), F.collect_list("value"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0)))
-    return scaled.groupBy(id_col).agg(filled.alias("m")).select(id_col, vec.alias("vec"))
+def hash_embedding(df: DataFrame, id_col: str, text_col: str, buckets: int = BUCKETS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, ..keep, vec): unit-length hashed bag of words, the sums of :func:`hash_buckets` scaled to length one.
+
+    A row's vector depends on its own text, so nothing is shuffled: each batch hashes its distinct words once. Texts
+    without any word, or whose sums cancel, get no row; repeated ids give repeated rows.
+    """
+    src = df.select(id_col, *keep, words(F.lower(F.coalesce(F.col(text_col), F.lit("")))).alias("_words"))
+    names = [id_col, *keep]
+    kinds = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in names)
+
+    def run(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4096):
+                batch = whole.slice(start, 4096)
+                column = batch.column(len(names))
+                coded = column.flatten().dictionary_encode()
+                code = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in coded.dictionary.to_pylist()], np.int64)
+                word = coded.indices.to_numpy()
+                row = np.repeat(np.arange(batch.num_rows), np.diff(column.offsets.to_numpy()))
+                total = np.zeros((batch.num_rows, buckets))
+                if len(code):
+                    np.add.at(total, (row, (code % buckets)[word]), np.where(code // buckets % 2 == 0, 1.0, -1.0)[word])
+                n = np.sqrt((total * total).sum(1))
+                good = np.flatnonzero(n > 0)
+                vec = (total[good] / n[good, None]).ravel()
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(good) + 1, dtype=np.int32) * buckets), pa.array(vec))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(good)) for i in range(len(names))), lists], [*names, "vec"])
+
+    return src.mapInArrow(run, f"{kinds}, vec array<double>")

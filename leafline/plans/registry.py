@@ -204,7 +204,7 @@ def _ranked(spark, folder, systems, top_k: int = 50):
     first_k = 50 if "flat_ce" in systems else top_k
     words = materialize(bm25.rank(q, 3 * first_k), "words")
     vec_q = hash_embedding(q, "query_id", "text")
-    vec_c = hash_embedding(c, "id", "content").join(c.select("id", "pos"), "id").select(F.col("id").alias("chunk_id"), "pos", "vec")
+    vec_c = hash_embedding(c, "id", "content", keep=("pos",)).withColumnRenamed("id", "chunk_id")
     fused = materialize(retrieval.fuse(words, retrieval.vector_top_k(vec_q, vec_c, 3 * first_k), first_k), "fused")
     out = {"bm25": words.where(F.col("rank") <= top_k), "rrf": fused}
     if "flat_ce" in systems:
