@@ -11,9 +11,11 @@
    exactly: members with a cosine of ``threshold`` or more are one part.
 4. Splits may cut a cluster, so the parts (not the rows) go down the same tree again, into both children where
    their distance from the cut is under ``margin``, and parts whose centre-nearest members reach the threshold
-   are linked. Parts that touch only by outlying members, across a cut, stay apart: the recall against brute
-   force is measured, not proven (README).
-5. Links are closed by label propagation over parts.
+   are linked. These cheap links are closed by label propagation over parts.
+5. What they leave apart is checked exactly. All pairs of parts are met in tasks of two blocks of parts; a pair is
+   skipped only if it is linked already or if its centres are farther apart than both radii and the angle of the
+   threshold. Of the other pairs the members that can reach the other part's ball are compared. The number of
+   pairs grows with the square of the number of parts (not of rows), at one product of centres each.
 
 The tree is bounded by ``MAX_NODES`` nodes, so what the driver holds and sends out is bounded as well; it never
 sees rows, parts or links. Chunks without a usable vector, and chunks alone in a cluster, get a cluster of one.
@@ -37,6 +39,8 @@ DIM, THRESHOLD = 64, 0.75
 NODE_ROWS, LEAF_ROWS, MAX_NODES = 16_384, 256, 4_096
 MARGIN = 0.09
 SAMPLE = 96
+#: Parts in a block of the exact closing step, and radians that make up for centres sent as half floats.
+BLOCK, SLACK = 8_192, 1e-3
 
 
 def compactness(threshold: float) -> float:
@@ -280,7 +284,103 @@ def link_parts(centre: np.ndarray, typical: np.ndarray, threshold: float, block:
     return head
 
 
-PART = "part long, centre binary, typical binary, first_id string, n long, member string, cosine double"
+def open_pairs(left: np.ndarray, right: np.ndarray, rl: np.ndarray, rr: np.ndarray, angle: float, strip: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the balls (unit centres, radii in radians) that are not proven farther apart than ``angle``."""
+    a = rl + angle
+    # centre cosine >= cos(a + r), with the cosine of the sum written as two more terms of the product
+    x = np.column_stack([left, -np.cos(a), np.sin(a)]).astype(np.float32)
+    y = np.column_stack([right, np.cos(rr), np.sin(rr)]).astype(np.float32).T
+    wide = len(a) and len(rr) and a.max() + rr.max() >= np.pi
+    rows, cols = [np.zeros(0, int)], [np.zeros(0, int)]
+    for at in range(0, len(x), strip):
+        near = x[at : at + strip] @ y >= 0
+        if wide:
+            near |= a[at : at + strip, None] + rr[None, :] >= np.pi
+        i, j = np.nonzero(near)
+        rows.append(i + at)
+        cols.append(j)
+    return np.concatenate(rows), np.concatenate(cols)
+
+
+def touch(x: np.ndarray, y: np.ndarray, threshold: float, strip: int = 1024) -> bool:
+    """Whether any row of ``x`` reaches the threshold with any row of ``y``."""
+    return any(bool((x[at : at + strip] @ y.T >= threshold).any()) for at in range(0, len(x), strip))
+
+
+def exact_links(members: DataFrame, parts: DataFrame, dim: int, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): pairs of parts of different heads with members that reach the threshold, none left out.
+
+    ``members``: part, vec; ``parts``: part, head, centre, least (cosine of a member to the centre).
+    """
+    angle = float(np.arccos(threshold))
+    blocks = max(1, -(-parts.count() // block))
+
+    def halved(batches):
+        for batch in batches:
+            c = matrix(batch.column(2), dim).astype("<f2")
+            radius = np.arccos(np.clip(batch.column(3).to_numpy(), -1, 1)) + SLACK
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.tobytes() for v in c], pa.binary()), pa.array(radius)], ["part", "head", "c", "radius"])
+
+    def whole(column, kind="<f2"):
+        return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim).astype(np.float32)
+
+    def met(key, group):
+        i, j = divmod(key[0].as_py(), blocks)
+        part, head, own, radius = (group.column(c).to_numpy() for c in ("part", "head", "i", "radius"))
+        c = whole(group.column("c"))
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        p, q = open_pairs(c[left], c[right], radius[left], radius[right], angle)
+        p, q = left[p], right[q]
+        keep = (head[p] != head[q]) & ((part[p] < part[q]) | (i != j))
+        p, q = np.concatenate([p[keep], q[keep]]), np.concatenate([q[keep], p[keep]])
+        return pa.table({"cell": pa.array(part[p] // 1_000_000, pa.int64()), "p": pa.array(part[p], pa.int64()), "q": pa.array(part[q], pa.int64()), "c": group.column("c").combine_chunks().take(pa.array(q)), "radius": pa.array(radius[q])})
+
+    sent = parts.select("part", "head", "centre", "least").mapInArrow(halved, "part long, head long, c binary, radius double")
+    sent = sent.withColumn("i", F.pmod(F.xxhash64("part"), F.lit(blocks))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sent = sent.withColumn("pair", F.least("i", "j") * blocks + F.greatest("i", "j"))
+    pairs = sent.drop("j").groupBy("pair").applyInArrow(met, "cell long, p long, q long, c binary, radius double")
+
+    def reaching(rows, wanted):
+        out = {"a": [], "b": [], "low": [], "vec": []}
+        part = rows.column("part").to_numpy()
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        vec = rows.column("vec").combine_chunks().take(pa.array(order)) if wanted.num_rows else None
+        p, q = wanted.column("p").to_numpy(), wanted.column("q").to_numpy()
+        by = np.argsort(p, kind="stable")
+        if wanted.num_rows:
+            x, c = whole(vec, "<f4"), whole(wanted.column("c"))
+            least = np.cos(np.minimum(wanted.column("radius").to_numpy() + angle, np.pi)) - 1e-6
+            cuts = np.flatnonzero(np.r_[True, np.diff(p[by]) != 0, True])
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                mine = by[s:e]
+                lo, hi = np.searchsorted(part, [p[mine[0]], p[mine[0]] + 1])
+                for at in range(0, len(mine), 1024):
+                    some = mine[at : at + 1024]
+                    i, j = np.nonzero(x[lo:hi] @ c[some].T >= least[some])
+                    out["a"].append(np.minimum(p[some[j]], q[some[j]]))
+                    out["b"].append(np.maximum(p[some[j]], q[some[j]]))
+                    out["low"].append(p[some[j]] < q[some[j]])
+                    out["vec"].append(lo + i)
+        flat = {k: np.concatenate(v) if v else np.zeros(0, int) for k, v in out.items()}
+        vecs = vec.take(pa.array(flat["vec"])) if wanted.num_rows else pa.array([], pa.binary())
+        return pa.table({"a": pa.array(flat["a"], pa.int64()), "b": pa.array(flat["b"], pa.int64()), "low": pa.array(flat["low"].astype(bool)), "vec": vecs})
+
+    rows = members.select((F.col("part") / 1_000_000).cast("long").alias("cell"), "part", "vec")
+    left = rows.groupBy("cell").cogroup(pairs.groupBy("cell")).applyInArrow(reaching, "a long, b long, low boolean, vec binary")
+
+    def joined(key, group):
+        low = group.column("low").to_numpy()
+        x = whole(group.column("vec"), "<f4")
+        hit = touch(x[low], x[~low], threshold)
+        return pa.table({"a": pa.array([key[0].as_py()][:hit], pa.int64()), "b": pa.array([key[1].as_py()][:hit], pa.int64())})
+
+    reached = materialize(left, "reached")
+    both = reached.groupBy("a", "b").agg(F.bool_or("low").alias("l"), F.bool_and("low").alias("h")).where("l AND NOT h").select("a", "b")
+    return materialize(reached.join(both, ["a", "b"]).groupBy("a", "b").applyInArrow(joined, "a long, b long"), "exact")
+
+
+PART = "part long, centre binary, typical binary, first_id string, n long, least double, member string, vec binary, cosine double"
 
 
 def cluster(
@@ -337,17 +437,19 @@ def cluster(
         part = key[0].as_py() * 1_000_000 + code
         first = np.zeros(len(x), bool)
         first[best[np.searchsorted(code[best], np.arange(len(kept)))]] = True
-        size = np.bincount(code)
+        size, least = np.bincount(code), np.ones(len(kept))
+        np.minimum.at(least, code, cos)
         low = np.full(len(kept), len(x))
         np.minimum.at(low, code, np.arange(len(x)))
         pick = [pa.array([v if f else None for v, f in zip(col, first)], kind) for col, kind in (
             ([c.tobytes() for c in centre[code]], pa.binary()), ([c.tobytes() for c in typical[code]], pa.binary()),
-            (ids[low][code], pa.string()), (size[code], pa.int64()))]
-        return pa.table([pa.array(part, pa.int64()), *pick, pa.array(ids, pa.string()), pa.array(cos.astype(float))], names=["part", "centre", "typical", "first_id", "n", "member", "cosine"])
+            (ids[low][code], pa.string()), (size[code], pa.int64()), (least[code], pa.float64()))]
+        names = ["part", "centre", "typical", "first_id", "n", "least", "member", "vec", "cosine"]
+        return pa.table([pa.array(part, pa.int64()), *pick, pa.array(ids, pa.string()), pack(x), pa.array(cos.astype(float))], names=names)
 
     cells = vectors.select("id", "h", "vec").mapInArrow(routed, "cell long, id string, vec binary")
     members = materialize(cells.groupBy("cell").applyInArrow(parts_of_cell, PART), "members")
-    parts = members.where("n IS NOT NULL").select("part", "centre", "typical", "first_id", "n")
+    parts = members.where("n IS NOT NULL").select("part", "centre", "typical", "first_id", "n", "least")
 
     def spread(batches):
         for batch in batches:
@@ -369,6 +471,10 @@ def cluster(
     near = parts.select("part", "centre", "typical").mapInArrow(spread, "cell long, part long, typical binary")
     links = materialize(near.groupBy("cell").applyInArrow(linked, "a long, b long").distinct(), "links")
     heads = close_links(links)
+    headed = parts.join(heads, F.col("part") == F.col("id"), "left").select("part", F.coalesce("head", "part").alias("head"), "centre", "least")
+    more = exact_links(members, materialize(headed, "headed"), dim, threshold)
+    if not more.isEmpty():
+        heads = close_links(links.unionByName(more))
     whole = parts.join(heads, F.col("part") == F.col("id"), "left").select("part", "first_id", "n", F.coalesce("head", "part").alias("head"))
     named = whole.groupBy("head").agg(F.min("first_id").alias("cluster"), F.sum("n").alias("size"))
     lookup = materialize(whole.join(named, "head").select("part", "cluster", "size"), "lookup")

@@ -45,6 +45,32 @@ def test_equals_brute_force_over_many_nodes_with_a_hot_cluster(spark):
     assert len(want & got) >= 0.99 * len(want) and not got - want
 
 
+def arcs(rng, dim, families, n, degrees):
+    """Elongated clusters: ``n`` vectors evenly on each of some arcs in planes at right angles."""
+    axes = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
+    a = np.radians(np.linspace(0, degrees, n))
+    return np.vstack([np.outer(np.cos(a), axes[2 * k]) + np.outer(np.sin(a), axes[2 * k + 1]) for k in range(families)]).astype(np.float32)
+
+
+@pytest.mark.parametrize("options", [{}, {"node_rows": 150, "leaf_rows": 16}])
+def test_elongated_clusters_are_whole_across_cuts(spark, options):
+    rng = np.random.default_rng(5)
+    x = np.vstack([arcs(rng, 16, 4, 350, 85), blobs(rng, 200, 16, 40)])
+    ids = [f"d-{i:04d}" for i in rng.permutation(len(x))]
+    rows = [(f"n{k}", ids[k : k + 100], x[k : k + 100].tolist(), T1) for k in range(0, len(x), 100)]
+    got = {(r[0], r[1]) for r in C.found_pairs(frame(spark, rows), dim=16, **options).collect()}
+    assert got == brute(ids, x.astype(float), 0.75)
+
+
+def test_only_balls_proven_apart_are_skipped():
+    rng = np.random.default_rng(6)
+    c = C.unit(rng.normal(size=(300, 5)))
+    r = rng.uniform(0, 2, 300)
+    i, j = C.open_pairs(c[:200], c[200:], r[:200], r[200:], 0.7, strip=64)
+    want = np.arccos(np.clip(c[:200] @ c[200:].T, -1, 1)) <= r[:200, None] + r[None, 200:] + 0.7
+    assert (np.argwhere(want) == np.column_stack([i, j])).all()
+
+
 def test_dirty_entries(spark):
     a, b = [1.0, 0.0, 0.0], [0.9, 0.1, 0.0]
     rows = [
