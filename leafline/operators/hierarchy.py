@@ -11,8 +11,9 @@ Everything runs in a number of rounds logarithmic in the depth, not one round a
 * The links into nodes with several parents, taken from the anchors, are a contracted weighted graph. Shortest
   distances and strongly connected components are solved there and carried back along the stored jumps.
 * After cycle separation the shortest-path forest is cut into heavy paths by subtree sizes. A node's path is
-  the concatenation of chain segments, at most log2(n) of them; the descendants of a node are, on its chain,
-  the nodes whose segment leaves the chain at its position or later.
+  the concatenation of chain segments, at most log2(n) of them.
+* All descendants, over every link and through cycles, are found by doubling: from all pairs up to k links, those
+  of exactly k links are carried on by them to 2k, so each pair is made at its smallest number of links.
 
 Rows with a null id are ignored; of a repeated id the latest row counts. Nodes on or reachable only from cycles
 have null depth, root and path. An empty table gives empty results.
@@ -285,6 +286,36 @@ def paths(nodes: DataFrame, resolved: Resolved | None = None) -> DataFrame:
     )
 
 
+def all_descendants(found: DataFrame) -> DataFrame:
+    """(node_id, descendant_id, links): one row for each node and each node it reaches over (parent, child) links.
+
+    ``links`` is the smallest number of them, at least one; a node on a cycle is its own descendant.
+    """
+    pairs = lambda df, name: materialize(df.select("node_id", "descendant_id", F.col("links").cast("long").alias("links")), name)
+    known = last = pairs(found.select(F.col("parent").alias("node_id"), F.col("child").alias("descendant_id"), F.lit(1).alias("links")).distinct(), "reach")
+    for k in range(MAX_ROUNDS):
+        far = known.select(F.col("node_id").alias("via"), F.col("descendant_id").alias("to"), F.col("links").alias("more"))
+        reach = (
+            last.where(F.col("links") == 1 << k)  # only the last round made pairs of 2**k links
+            .join(far, F.col("descendant_id") == F.col("via"))
+            .groupBy("node_id", F.col("to").alias("descendant_id"))
+            .agg((F.min("more") + (1 << k)).alias("links"))
+        )
+        last = pairs(reach.join(known, ["node_id", "descendant_id"], "left_anti"), "reach")
+        if last.isEmpty():
+            break
+        known = known.unionByName(last)
+    return known
+
+
+def whole_paths(nodes: DataFrame) -> DataFrame:
+    """:func:`paths` with ``n_descendants`` counted over all links, for every node."""
+    resolved = resolve(nodes)
+    n = all_descendants(resolved[1]).groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
+    full = paths(nodes, resolved).drop("n_descendants")
+    return full.join(n, "node_id", "left").withColumn("n_descendants", F.coalesce("n", F.lit(0).cast("long"))).drop("n")
+
+
 def descendants(full: DataFrame) -> DataFrame:
     """(node_id, descendant_id, links) from :func:`paths`: one row for each node and each of its descendants in the forest."""
     at = full.where("path IS NOT NULL").select(F.col("node_id").alias("descendant_id"), "depth", F.posexplode("path").alias("_ll_at", "node_id"))

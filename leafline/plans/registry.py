@@ -33,12 +33,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def p4_paths(spark, folder):
-    return hierarchy.paths(table(spark, folder, "nodes"))
+    return hierarchy.whole_paths(table(spark, folder, "nodes"))
 
 
 @register
 def p4_descendants(spark, folder):
-    return hierarchy.descendants(hierarchy.paths(table(spark, folder, "nodes")))
+    return hierarchy.all_descendants(hierarchy.links(table(spark, folder, "nodes"))[1])
 
 
 # corpus

@@ -98,6 +98,33 @@ def test_equals_brute_force(spark, seed):
     assert all(r["path"][-1 - pairs[a, n]] == a for n, r in found.items() if r["path"] for a in r["path"][:-1])
 
 
+@pytest.mark.parametrize("rows", [
+    [r for k in range(8) for r in [tuple([f"{k}-{x}" if isinstance(x, str) else [f"{k}-{y}" if y else y for y in x] if isinstance(x, list) else x for x in row]) for row in random_graph(70 + k)]],
+    [("top", 0, None, ["a", "b"], T0), ("a", 1, None, ["low"], T0), ("b", 1, None, ["low"], T0), ("low", 2, None, None, T0), ("x", 0, ["y"], None, T0), ("y", 0, ["x"], None, T0), ("z", 0, ["y"], None, T0)],
+    [(f"{i:02d}", i, [f"{i - 1:02d}"] if i else None, None, T0) for i in range(40)], [],
+])
+def test_all_descendants_over_every_link(spark, rows):
+    last, parents, _, cyclic = brute(rows)
+    kids, want = defaultdict(set), {}
+    for child, ups in parents.items():
+        for up in ups:
+            kids[up].add(child)
+    for n in last:
+        todo = deque((k, 1) for k in kids[n])
+        while todo:
+            d, steps = todo.popleft()
+            if (n, d) not in want:
+                want[n, d] = steps
+                todo += [(k, steps + 1) for k in kids[d]]
+    df = frame(spark, rows)
+    got = hierarchy.all_descendants(hierarchy.links(df)[1]).collect()
+    assert len(got) == len(want) and {(r["node_id"], r["descendant_id"]): r["links"] for r in got} == want
+    assert {n for n, d in want if n == d} == cyclic
+    if rows and len(rows) < 10:
+        counts = {r["node_id"]: r["n_descendants"] for r in hierarchy.whole_paths(df).collect()}
+        assert counts == {n: sum(a == n for a, _ in want) for n in last} and counts["a"] == counts["b"] == 1 and counts["x"] == 3
+
+
 def test_edges_of_the_definition(spark):
     rows = [
         ("self", 0, ["self"], None, T0), ("a", 5, ["b"], None, T0), ("b", None, ["a"], None, T0), ("hang", 3, ["a"], None, T0),
