@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafline.session import drop_table, materialize
+from leafline.session import drop_table, materialize, small
 
 DIM, THRESHOLD = 64, 0.75
 NODE_ROWS, LEAF_ROWS, MAX_NODES = 16_384, 256, 4_096
@@ -387,7 +387,7 @@ def cluster(
     cluster_nodes: DataFrame, dim: int = DIM, threshold: float = THRESHOLD, node_rows: int = NODE_ROWS, leaf_rows: int = LEAF_ROWS,
     max_nodes: int = MAX_NODES, margin: float = MARGIN,
 ) -> tuple[DataFrame, DataFrame]:
-    """(members: id, cluster, cosine to the centre of its part; clusters: cluster, size, typical).
+    """(members: id, cluster, its size and parts, cosine to the centre of the member's part, vec; the unusable ids, each alone).
 
     ``cluster`` is the smallest id of the cluster.
     """
@@ -476,9 +476,9 @@ def cluster(
     if not more.isEmpty():
         heads = close_links(links.unionByName(more))
     whole = parts.join(heads, F.col("part") == F.col("id"), "left").select("part", "first_id", "n", F.coalesce("head", "part").alias("head"))
-    named = whole.groupBy("head").agg(F.min("first_id").alias("cluster"), F.sum("n").alias("size"))
-    lookup = materialize(whole.join(named, "head").select("part", "cluster", "size"), "lookup")
-    found = members.select("part", F.col("member").alias("id"), "cosine").join(lookup, "part").select("id", "cluster", "size", "cosine")
+    named = whole.groupBy("head").agg(F.min("first_id").alias("cluster"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"))
+    lookup = materialize(whole.join(named, "head").select("part", "cluster", "size", "parts"), "lookup")
+    found = members.select("part", F.col("member").alias("id"), "cosine", "vec").join(lookup, "part").select("id", "cluster", "size", "cosine", "parts", "vec")
     lone = all_rows.where(F.col("vec").isNull()).select("id", F.col("id").alias("cluster"), F.lit(1).cast("long").alias("size"), F.lit(None).cast("double").alias("cosine"))
     return found, lone
 
@@ -504,12 +504,42 @@ def found_pairs(cluster_nodes: DataFrame, **options) -> DataFrame:
     return members.where(F.col("id") != F.col("cluster")).select(F.col("cluster").alias("first_id"), F.col("id").alias("chunk_id"))
 
 
-def cluster_report(cluster_nodes: DataFrame, typical: int = 3, **options) -> DataFrame:
-    """(cluster, size, typical): each cluster of usable vectors with its members nearest to the centre.
+def to_cluster_centre(members: DataFrame, dim: int) -> DataFrame:
+    """(id, cluster, size, cosine): the cosine to the centre of the cluster; of a cluster in one part it is known."""
+    cut = members.where("parts > 1").select("id", "cluster", "size", "vec")
 
-    Each part first keeps its own best members, so a hot cluster is cut down before it is ranked as one.
+    def local(batches):
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            x, names = matrix(batch.column(1), dim), batch.column(0).dictionary_encode()
+            sums, code = np.zeros((len(names.dictionary), dim)), names.indices.to_numpy()
+            np.add.at(sums, code, x)
+            for name, s in zip(names.dictionary.to_pylist(), sums):
+                total[name] = total.get(name, 0) + s
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total)), pack64(np.stack(list(total.values())))], ["cluster", "total"])
+
+    def merged(key, group):
+        s = np.frombuffer(b"".join(group.column("total").to_pylist()), "<f8").reshape(-1, dim).sum(0)
+        return pa.table({"cluster": pa.array([key[0].as_py()]), "centre": pack(unit(s)[None])})
+
+    def measured(batches):
+        for batch in batches:
+            cos = np.einsum("ij,ij->i", matrix(batch.column(3), dim), matrix(batch.column(4), dim)).astype(float)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cos)], ["id", "cluster", "size", "cosine"])
+
+    centres = cut.select("cluster", "vec").mapInArrow(local, "cluster string, total binary").groupBy("cluster").applyInArrow(merged, "cluster string, centre binary")
+    centres = materialize(centres, "centres")
+    far = cut.join(small(centres), "cluster").select("id", "cluster", "size", "vec", "centre").mapInArrow(measured, "id string, cluster string, size long, cosine double")
+    return members.where("parts = 1").select("id", "cluster", "size", "cosine").unionByName(far)
+
+
+def cluster_report(cluster_nodes: DataFrame, typical: int = 3, dim: int = DIM, **options) -> DataFrame:
+    """(cluster, size, typical): each cluster of usable vectors with its members nearest to the centre of the cluster.
+
+    Each salt first keeps its own best members, so a hot cluster is cut down before it is ranked as one.
     """
-    members, _ = cluster(cluster_nodes, **options)
+    members = to_cluster_centre(cluster(cluster_nodes, dim=dim, **options)[0], dim)
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("cosine", 6)).alias("c"), "id"))), 1, typical)
     salted = members.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(64)))
     order = W.partitionBy("cluster", "_s").orderBy(F.desc(F.round("cosine", 6)), "id")

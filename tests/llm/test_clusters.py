@@ -62,6 +62,23 @@ def test_elongated_clusters_are_whole_across_cuts(spark, options):
     assert got == brute(ids, x.astype(float), 0.75)
 
 
+def test_typical_members_are_nearest_to_the_centre_of_the_whole_cluster(spark):
+    rng = np.random.default_rng(7)
+    x = np.vstack([arcs(rng, 16, 3, 300, 85), blobs(rng, 200, 16, 20)])
+    ids = [f"d-{i:04d}" for i in rng.permutation(len(x))]
+    rows = [(f"n{k}", ids[k : k + 100], x[k : k + 100].tolist(), T1) for k in range(0, len(x), 100)]
+    first = dict(map(reversed, brute(ids, x.astype(float), 0.75)))
+    unit, groups = C.unit(x.astype(float)), {}
+    for i, name in enumerate(ids):
+        groups.setdefault(first.get(name, name), []).append(i)
+    got = {r["cluster"]: (r["size"], r["typical"]) for r in C.cluster_report(frame(spark, rows), dim=16, node_rows=150, leaf_rows=16).collect()}
+    assert set(got) == set(groups)
+    for name, at in groups.items():
+        cos = dict(zip([ids[i] for i in at], unit[at] @ C.unit(unit[at].sum(0))))
+        best = sorted(cos.values(), reverse=True)[:3]
+        assert got[name][0] == len(at) and np.allclose([cos[i] for i in got[name][1]], best, atol=2e-6)
+
+
 def test_only_balls_proven_apart_are_skipped():
     rng = np.random.default_rng(6)
     c = C.unit(rng.normal(size=(300, 5)))
