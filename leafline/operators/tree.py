@@ -5,54 +5,43 @@ A node's id is its path from the root (``r.3.1``), so ancestors are prefixes and
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafline.functions import text as X
 from leafline.functions.vec import cosine, norm
-from leafline.session import materialize
+from leafline.session import materialize, small
 
 ROOT = "r"
-#: A node with more members than this is split from a bounded sample of its members; all members are assigned.
-SPLIT_SAMPLE = 20_000
+#: Nodes whose centres are fitted at a time: what the driver holds and sends out does not grow with the table.
+FIT_NODES = 4_096
 
 
-def kmeans_paths(vectors: DataFrame, branching: int = 10, depth: int = 2, rounds: int = 25, sample: int = SPLIT_SAMPLE) -> DataFrame:
+def kmeans_paths(vectors: DataFrame, branching: int = 10, depth: int = 2, rounds: int = 25) -> DataFrame:
     """(chunk_id, path) of a k-ary hierarchical k-means over (chunk_id, vec), level by level.
 
-    Each level fits the centres of every node that has more members than ``branching`` in one grouped job, from the
-    members with the smallest id hashes, and then assigns all members by a join with the centres. Empty clusters
-    vanish; a node whose split leaves one cluster stays a leaf. Repeated ids and vectors are kept as they are.
+    Each level fits the centres of every node that has more members than ``branching``, starting from the members
+    with the smallest id hashes, in Lloyd rounds over all members, and then assigns all members by a join with the
+    centres. Empty clusters vanish; a node whose split leaves one cluster stays a leaf. Repeated ids and vectors
+    are kept as they are.
     """
     state = vectors.select(F.col("chunk_id").cast("string"), F.col("vec").cast("array<double>").alias("vec"), F.array().cast("array<int>").alias("path"), F.lit(False).alias("closed"))
     state = materialize(state, "paths")
     for _ in range(depth):
         sizes = state.where(~F.col("closed")).groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > branching)
         sizes = materialize(sizes, "sizes")
-        if sizes.isEmpty():
+        nodes = sizes.count()
+        if nodes == 0:
             break
-        order = W.partitionBy("path", "_s").orderBy(F.md5("chunk_id"), "chunk_id")
-        salted = state.join(F.broadcast(sizes) if sizes.count() < 10_000 else sizes, "path").withColumn("_s", F.pmod(F.xxhash64("chunk_id"), F.lit(16)))
-        some = salted.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample // 16).select("path", "chunk_id", "vec")
-
-        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.assign(h=[hashlib.md5(c.encode()).hexdigest() for c in pdf["chunk_id"]]).sort_values(["h", "chunk_id"])
-            x = np.stack(pdf["vec"].to_list())
-            centre = x[:branching].copy()
-            for _ in range(rounds):
-                label = ((x[:, None, :] - centre[None, :, :]) ** 2).sum(2).argmin(1) if len(x) * branching < 200_000 else np.argmin((centre**2).sum(1) - 2 * x @ centre.T, 1)
-                new = np.stack([x[label == k].mean(0) if (label == k).any() else centre[k] for k in range(len(centre))])
-                if np.allclose(new, centre):
-                    break
-                centre = new
-            return pd.DataFrame({"path": [pdf["path"].iloc[0]] * len(centre), "label": range(len(centre)), "centre": list(centre)})
-
-        centres = materialize(some.groupBy("path").applyInPandas(fit, "path array<int>, label int, centre array<double>"), "centres")
+        passes, centres = -(-nodes // FIT_NODES), None
+        for k in range(passes):
+            mine = sizes.where(F.pmod(F.xxhash64("path"), F.lit(passes)) == k)
+            rows = state.where(~F.col("closed")).join(small(mine.select("path")), "path", "left_semi")
+            fitted = fit_centres(rows, branching, rounds)
+            centres = fitted if centres is None else centres.unionByName(fitted)
         packed = centres.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("label", "centre"))).alias("centres"))  # at most ``branching`` a node
         far = F.transform("centres", lambda c: F.struct(F.aggregate(F.zip_with(c["centre"], F.col("vec"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v).alias("d"), c["label"].alias("label")))
         moved = state.where(~F.col("closed")).join(packed, "path", "left").withColumn("label", F.array_min(far)["label"])
@@ -64,6 +53,56 @@ def kmeans_paths(vectors: DataFrame, branching: int = 10, depth: int = 2, rounds
     return state.select("chunk_id", "path")
 
 
+def fit_centres(rows: DataFrame, branching: int, rounds: int) -> DataFrame:
+    """(path, label, centre) of the nodes of (chunk_id, vec, path): Lloyd rounds over all members, sums added up in tasks."""
+    first = lambda df, *by: df.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(F.md5("chunk_id"), "chunk_id"))).where(F.col("_r") <= branching)
+    some = first(rows.withColumn("_s", F.pmod(F.xxhash64("chunk_id"), F.lit(16))), "path", "_s").drop("_r")
+    centre: dict[tuple, list] = {}
+    for r in first(some, "path").select("path", "_r", "vec").orderBy("path", "_r").collect():
+        centre.setdefault(tuple(r["path"]), []).append(r["vec"])
+    centre = {p: np.array(c) for p, c in centre.items()}
+    dim, moving = len(next(iter(centre.values()))[0]), list(centre)
+
+    def sums(nodes: list[tuple], now: list[np.ndarray]):
+        number = {p: k for k, p in enumerate(nodes)}
+
+        def run(batches):
+            total: dict[tuple[int, int], list] = {}
+            for batch in batches:
+                node = np.array([number.get(tuple(p), -1) for p in batch.column(0).to_pylist()], int)
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                for k in np.unique(node[node >= 0]):
+                    members = x[node == k]
+                    for at in range(0, len(members), 1024):
+                        some = members[at : at + 1024]
+                        label = ((some[:, None, :] - now[k][None, :, :]) ** 2).sum(2).argmin(1)
+                        for j in np.unique(label):
+                            n, s = total.get((k, j), (0, 0.0))
+                            total[k, j] = [n + int((label == j).sum()), s + some[label == j].sum(0)]
+            if total:
+                keys = list(total)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k for k, _ in keys], pa.int32()), pa.array([j for _, j in keys], pa.int32()), pa.array([total[k][0] for k in keys], pa.int64()), pa.array([total[k][1].tolist() for k in keys], pa.list_(pa.float64()))],
+                    ["node", "label", "n", "total"],
+                )
+
+        return run
+
+    for _ in range(rounds):
+        if not moving:
+            break
+        added = rows.select("path", "vec").mapInArrow(sums(moving, [centre[p] for p in moving]), "node int, label int, n long, total array<double>")
+        added = added.groupBy("node", "label").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("total")[i]) for i in range(dim)]).alias("total"))
+        new = [centre[p].copy() for p in moving]
+        for r in added.collect():
+            new[r["node"]][r["label"]] = np.array(r["total"]) / r["n"]
+        still = [k for k, p in enumerate(moving) if not np.allclose(new[k], centre[p])]
+        centre |= {moving[k]: new[k] for k in still}
+        moving = [moving[k] for k in still]
+    flat = [(list(p), k, c.tolist()) for p, cs in centre.items() for k, c in enumerate(cs)]
+    return materialize(rows.sparkSession.createDataFrame(flat, "path array<int>, label int, centre array<double>"), "centres")
+
+
 def build_tree(assignments: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) from (chunk_id, path): a cluster of one is a leaf, a larger one a branch with its members as leaves.
 

@@ -123,6 +123,22 @@ def test_clusters_two_blobs(spark):
     assert tree.kmeans_paths(v.limit(1), 2, 3).collect()[0]["path"] == []
 
 
+def test_centres_are_fitted_on_all_members(spark):
+    v = spark.range(30_000).select(F.format_string("c%05d", "id").alias("chunk_id"), F.array(F.sin(F.col("id") * 1.7) * F.sqrt("id"), F.cos(F.col("id") * F.col("id"))).alias("vec"))
+    rows = v.withColumn("h", F.md5("chunk_id")).orderBy("h").collect()
+    x = np.array([r["vec"] for r in rows])
+    centre = x[:3].copy()
+    for _ in range(25):
+        label = ((x[:, None] - centre[None]) ** 2).sum(2).argmin(1)
+        new = np.stack([x[label == k].mean(0) for k in range(3)])
+        if np.allclose(new, centre):
+            break
+        centre = new
+    label = ((x[:, None] - centre[None]) ** 2).sum(2).argmin(1)
+    got = {r["chunk_id"]: r["path"][0] for r in tree.kmeans_paths(v, 3, 1).collect()}
+    assert sum(got[r["chunk_id"]] != k for r, k in zip(rows, label)) <= 2
+
+
 def test_summaries_of_branches(spark, small_tree):
     _, nodes, edges = small_tree
     chunks = spark.createDataFrame([("a1", 2, "alpha delta words"), ("a2", 1, "gamma omega words"), ("b1", 3, None), ("b2", 4, "tiny")], "id string, pos long, content string")
