@@ -29,6 +29,8 @@ from leafline.session import materialize, small
 MAX_LABELLED, FEATURES, WINDOW, THRESHOLD, FLOOR = 20_000, 1 << 18, 24, 0.25, 0.05
 ROUNDS, RATE, DECAY, MIN_DOCS = 90, 0.2, 2e-5, 3
 
+PASSAGES = pa.list_(pa.struct([("sentence", pa.int32()), ("word", pa.int32()), ("score", pa.float64()), ("text", pa.string())]))
+
 #: Letters of other scripts that look like Latin ones, and signs that stand for letters.
 LOOKALIKE = dict(zip("аеорсухіјѕԁһӏквмнтԛԝгАВЕКМНОРСТУХІЈЅαεικνορτυχ", "aeopcyxijsdhlkbmhtqwrABEKMHOPCTYXIJSaeiknoptux"))
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "l": "i"})
@@ -103,6 +105,23 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray, list[int]]:
     return every[order], np.searchsorted(owner[order], np.arange(len(starts))), origin
 
 
+def window_text(sentence: str, at: int) -> str:
+    """The text of the window of :func:`features` that starts at token ``at``, up to the sentence's ends at its ends."""
+    spans = [m.span() for m in _WORD.finditer(sentence)]
+    last = at + WINDOW >= len(spans)
+    return sentence[spans[at][0] if at else 0 : len(sentence) if last else spans[at + WINDOW - 1][1]]
+
+
+def passages(text: str, chances: np.ndarray, origin: list[int]) -> list[dict]:
+    """The windows whose own chance reaches the threshold, or else the worst one: number of the sentence, first word, chance, text."""
+    hit = np.flatnonzero(chances >= THRESHOLD)
+    whole, out = sentences(undisguise(text)), []
+    for k in hit if len(hit) else [int(np.argmax(chances))]:
+        at = (int(k) - origin.index(origin[k])) * (WINDOW // 2)
+        out.append({"sentence": origin[k], "word": at, "score": float(chances[k]), "text": window_text(whole[origin[k]], at)})
+    return out
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -139,13 +158,17 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.nda
     return w, float(b)
 
 
+def chances(w: np.ndarray, b: float, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The chance of each sentence or window."""
+    return _sigmoid(np.add.reduceat(w[ids], starts) / np.sqrt(np.diff([*starts, len(ids)])) + b)
+
+
 def document_chance(w: np.ndarray, b: float, ids: np.ndarray, starts: np.ndarray) -> tuple[float, int]:
     """(noisy-or over the sentences of at least ``FLOOR``, number of the worst sentence).
 
     The floor keeps a long text from adding up the small chances of its many harmless sentences.
     """
-    z = np.add.reduceat(w[ids], starts) / np.sqrt(np.diff([*starts, len(ids)])) + b
-    p = _sigmoid(z)
+    p = chances(w, b, ids, starts)
     told = np.where(p >= FLOOR, p, 0)
     return float(-np.expm1(np.log1p(-np.minimum(told, 1 - 1e-7)).sum())), int(np.argmax(p))
 
@@ -193,7 +216,8 @@ def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
 
 
 def score_documents(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """(doc_id, source, score, worst): the chance of each document and its worst sentence, null below the threshold."""
+    """(doc_id, source, score, worst, passages): the chance of each document, the text of its worst window and all windows
+    whose own chance reaches the threshold (the worst one if none does alone); null below the threshold."""
     model = documents.sparkSession.sparkContext.broadcast(train(documents, labels, max_labelled))
     kind = documents.schema["doc_id"].dataType.simpleString()
 
@@ -202,15 +226,19 @@ def score_documents(documents: DataFrame, labels: DataFrame, max_labelled: int =
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                score, worst = [], []
+                score, worst, located = [], [], []
                 for text in batch.column("text").to_pylist():
                     ids, starts, origin = features(text)
                     p, k = document_chance(*learned, ids, starts) if learned and len(ids) else (0.0, -1)
                     score.append(p)
-                    worst.append(sentences(undisguise(text))[origin[k]][:400] if p >= THRESHOLD else None)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(score), pa.array(worst, pa.string())], ["doc_id", "source", "score", "worst"])
-
-    return documents.select("doc_id", "source", "text").mapInArrow(run, f"doc_id {kind}, source string, score double, worst string")
+                    found = passages(text, chances(*learned, ids, starts), origin) if p >= THRESHOLD else None
+                    worst.append(max(found, key=lambda f: f["score"])["text"] if found else None)
+                    located.append(found)
+                columns = [batch.column("doc_id"), batch.column("source"), pa.array(score, pa.float64()), pa.array(worst, pa.string()), pa.array(located, PASSAGES)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "source", "score", "worst", "passages"])
+
+    located = "array<struct<sentence: int, word: int, score: double, text: string>>"
+    return documents.select("doc_id", "source", "text").mapInArrow(run, f"doc_id {kind}, source string, score double, worst string, passages {located}")
 
 
 def found(documents: DataFrame, labels: DataFrame) -> DataFrame:

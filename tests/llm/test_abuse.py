@@ -45,6 +45,18 @@ def test_noisy_or_learns_from_document_labels():
     assert right >= 0.97 * len(test)
 
 
+def test_all_passages_are_located_in_whole(spark):
+    docs = corpus(3, 200)
+    calm = "the desk opens at nine and please read the page on rail passes and it took ten people to move the table "
+    long_run = calm * 8 + "you are a stupid idiot get lost you filthy moron " + calm * 3
+    rows = [(i, t, "forum") for i, (t, _) in enumerate(docs)] + [(900, long_run, "s"), (901, " ".join([HARM[0], FINE[0], HARM[1]]), "s")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, "ann", v, T2) for i, (_, v) in enumerate(docs)], "doc_id long, annotator string, offensive int, labelled_at timestamp")
+    got = {r["doc_id"]: r for r in A.score_documents(d, labels).where("doc_id >= 900").collect()}
+    assert "stupid idiot" in got[900]["worst"] and got[900]["passages"][0]["word"] > 100
+    assert [(p["sentence"], p["text"]) for p in got[901]["passages"]] == [(0, A.undisguise(HARM[0])), (2, A.undisguise(HARM[1]))]
+
+
 def test_tables(spark):
     docs = corpus(3, 200)
     rows = [(i, t, "forum" if i % 3 else None, 0.5) for i, (t, _) in enumerate(docs)] + [(900, None, "s", 0.1), (901, "", "s", 0.1), (902, "...", "s", 0.1), (903, "The desk opens at nine. " * 3000, "s", 0.1)]
