@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafline.functions import text as X
@@ -180,7 +181,9 @@ def json_extract(spark, folder):
 
 @register
 def prompt_samples(spark, folder):
-    c = inputs.chunks(spark, folder).groupBy("document_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "id", "content"))), 1, 20).alias("t"))
+    first = W.partitionBy("document_id", F.pmod(F.xxhash64("id"), F.lit(16))).orderBy("pos", "id")  # a hot document is cut before it is gathered
+    cut = inputs.chunks(spark, folder).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= 20)
+    c = cut.groupBy("document_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "id", "content"))), 1, 20).alias("t"))
     sample = X.prompt_sample(F.transform("t", lambda x: x["content"]))
     return c.select("document_id", F.md5(sample).alias("digest"), F.length(sample).alias("chars"))
 

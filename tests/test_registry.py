@@ -26,6 +26,12 @@ def test_other_queries_run(spark, folder, name):
     assert registry.QUERIES[name](spark, folder).collect() is not None
 
 
+def test_prompt_samples_cut_a_document_before_gathering_it(spark, folder, duck):
+    df = registry.QUERIES["prompt_samples"](spark, folder)
+    assert "row_number" in df._jdf.queryExecution().optimizedPlan().toString()
+    same_as_sql(spark, duck, folder, registry.QUERIES["prompt_samples"], SQL["prompt_samples"])
+
+
 def test_entry_names_are_registered():
     import __spark_entry__ as entry
 
