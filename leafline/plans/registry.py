@@ -34,12 +34,13 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def p4_paths(spark, folder):
-    return hierarchy.whole_paths(table(spark, folder, "nodes"))
+    """Full paths, written with ``|`` between the ids."""
+    return hierarchy.paths(hierarchy.label(table(spark, folder, "nodes"))).withColumn("path", F.array_join("path", "|"))
 
 
 @register
 def p4_descendants(spark, folder):
-    return hierarchy.all_descendants(hierarchy.links(table(spark, folder, "nodes"))[1])
+    return hierarchy.all_descendants(hierarchy.label(table(spark, folder, "nodes")))
 
 
 # corpus

@@ -199,11 +199,28 @@ walk AS (
   UNION SELECT l.c AS node_id, w.depth + 1 AS depth FROM walk w JOIN links l ON w.node_id = l.p WHERE w.depth < 200),
 depths AS (SELECT node_id, min(depth) AS depth FROM walk GROUP BY node_id)
 """
+_HOPS = "hops AS (SELECT p, c, 1 AS n FROM links UNION SELECT h.p, l.c, h.n + 1 FROM hops h JOIN links l ON h.c = l.p WHERE h.n < 150)"
+_FOREST = """
+loops AS (SELECT p AS node_id FROM reach WHERE p = c),
+forest AS (SELECT l.node_id, min(CASE WHEN d.depth IS NOT NULL THEN CASE WHEN u.depth + 1 = d.depth THEN k.p END WHEN l.node_id NOT IN (SELECT node_id FROM loops) THEN k.p END) AS up
+  FROM latest l LEFT JOIN links k ON k.c = l.node_id LEFT JOIN depths d ON d.node_id = l.node_id LEFT JOIN depths u ON u.node_id = k.p GROUP BY 1),
+over AS (SELECT node_id, node_id AS a FROM forest UNION ALL SELECT o.node_id, f.up FROM over o JOIN forest f ON f.node_id = o.a WHERE f.up IS NOT NULL),
+sizes AS (SELECT a AS node_id, count(*) AS size FROM over GROUP BY 1),
+heavy AS (SELECT node_id FROM (SELECT f.node_id, row_number() OVER (PARTITION BY f.up ORDER BY size DESC, f.node_id) AS r FROM forest f JOIN sizes USING (node_id) WHERE up IS NOT NULL) WHERE r = 1),
+chains AS (SELECT node_id, node_id AS chain, CAST(0 AS BIGINT) AS pos FROM forest WHERE node_id NOT IN (SELECT node_id FROM heavy)
+  UNION ALL SELECT f.node_id, chain, pos + 1 FROM chains JOIN forest f ON f.up = chains.node_id WHERE f.node_id IN (SELECT node_id FROM heavy)),
+trails AS (SELECT node_id, node_id AS root, node_id AS path FROM forest WHERE up IS NULL UNION ALL SELECT f.node_id, root, path || '|' || f.node_id FROM trails t JOIN forest f ON f.up = t.node_id),
+below AS (SELECT p AS node_id, count(*) AS n FROM reach GROUP BY 1)
+"""
 
 SQL: dict[str, str] = {
     "p4_found": f"""WITH RECURSIVE {_LINKS}
 SELECT 'cycle' AS issue, p AS node_id FROM reach WHERE p = c
 UNION ALL SELECT 'level' AS issue, node_id FROM depths JOIN latest USING (node_id) WHERE level IS NOT NULL AND level <> depth""",
+    "p4_descendants": f"""WITH RECURSIVE {_LINKS}, {_HOPS} SELECT p AS node_id, c AS descendant_id, CAST(min(n) AS BIGINT) AS links FROM hops GROUP BY 1, 2""",
+    "p4_paths": f"""WITH RECURSIVE {_LINKS}, {_FOREST} SELECT l.node_id, CASE WHEN depth IS NOT NULL THEN root END AS root_id, CAST(depth AS BIGINT) AS depth, level, level = depth AS level_matches,
+l.node_id IN (SELECT node_id FROM loops) AS in_cycle, CASE WHEN depth IS NOT NULL THEN path END AS path, chain AS chain_id, pos AS chain_pos, coalesce(n, 0) AS n_descendants
+FROM latest l LEFT JOIN depths USING (node_id) JOIN chains USING (node_id) JOIN trails USING (node_id) LEFT JOIN below USING (node_id)""",
     "corpus_stats": f"""WITH {CHUNKS} SELECT count(*) AS chunks, count(DISTINCT document_id) AS documents, CAST(sum(tokens) AS BIGINT) AS total_tokens, round(avg(tokens), 4) AS mean_tokens,
 min(tokens) AS min_tokens, max(tokens) AS max_tokens FROM lc""",
     "corpus_by_source": f"""WITH {CHUNKS}, {DOCS}, a AS (SELECT regexp_replace(document_id, '-[0-9]+$', '') AS source, count(*) AS chunks FROM lc GROUP BY 1), b AS (SELECT source, count(*) AS documents FROM ld GROUP BY 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: list[str] = []
@@ -14,29 +14,39 @@ BROADCAST_ROWS = 20_000
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a new temporary one only where that is unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``. Where that is unset a local session gets a new temporary
+    one; on a cluster, whose machines would not share it, that is an error."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="leafline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+def materialize(df: DataFrame, name: str = "t", **seen: Column) -> DataFrame:
     """Cut the lineage: write ``df`` to a table in the shared folder and read that table back.
 
-    The files outlive any executor, so a lost executor never forces earlier rounds of a loop to run again.
+    The files outlive any executor, so a lost executor never forces earlier rounds of a loop to run again. Aggregates
+    given as ``seen`` are taken while the rows are written, without a job of their own: see :func:`seen_value`.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/leafline-{name}-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
-    df.write.parquet(path)
+    watch = Observation()
+    (df.observe(watch, *[c.alias(k) for k, c in seen.items()]) if seen else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._leafline_path = path
+    out._leafline_path, out._leafline_seen = path, watch.get if seen else {}
     return out
 
 
+def seen_value(df: DataFrame, name: str):
+    """A value that :func:`materialize` took along; a retried task cannot count twice, as only a table's last stage is watched."""
+    return df._leafline_seen[name]
+
+
 def drop_table(df: DataFrame | None) -> None:
     """Delete the files of a table that :func:`materialize` wrote and nothing reads any more."""
     path = getattr(df, "_leafline_path", None)

@@ -73,29 +73,27 @@ def random_graph(seed):
 def test_equals_brute_force(spark, seed):
     rows = [r for k in range(20) for r in [tuple([f"{k}-{x}" if isinstance(x, str) else [f"{k}-{y}" if y else y for y in x] if isinstance(x, list) else x for x in row]) for row in random_graph(seed * 10 + k)]]
     last, parents, depth, cyclic = brute(rows)
-    df = frame(spark, rows)
-    resolved = hierarchy.resolve(df)
-    got = {(r["issue"], r["node_id"]) for r in hierarchy.issues(df, resolved).collect()}
+    labels = hierarchy.label(frame(spark, rows))
+    got = {(r["issue"], r["node_id"]) for r in hierarchy.issues(None, labels).collect()}
     want = {("cycle", n) for n in cyclic} | {("level", n) for n, d in depth.items() if last[n][1] is not None and last[n][1] != d}
     assert got == want
-    full = hierarchy.paths(df, resolved).cache()
-    found = {r["node_id"]: r for r in full.collect()}
+    found = {r["node_id"]: r for r in hierarchy.paths(labels).collect()}
     assert set(found) == set(last)
-    below = defaultdict(int)
     for n, r in found.items():
         assert r["depth"] == depth.get(n) and r["in_cycle"] == (n in cyclic)
         if n in depth:
             path = r["path"]
             assert path[-1] == n and path[0] == r["root_id"] and len(path) == depth[n] + 1
             assert all(a in parents[b] for a, b in zip(path, path[1:]))
-            for a in path[:-1]:
-                below[a] += 1
         else:
             assert r["path"] is None and r["root_id"] is None
-    assert all(r["n_descendants"] == below[n] for n, r in found.items() if n in depth)
-    pairs = {(r["node_id"], r["descendant_id"]): r["links"] for r in hierarchy.descendants(full).collect()}
-    assert len(pairs) == sum(below.values())
-    assert all(r["path"][-1 - pairs[a, n]] == a for n, r in found.items() if r["path"] for a in r["path"][:-1])
+    tree = {r["id"]: r for r in labels.tree.collect()}
+    for r in tree.values():  # heavy paths: a chain has the largest child next, and the places count up from its head
+        kids = [k for k in tree.values() if k["parent"] == r["id"]]
+        assert r["size"] == 1 + sum(k["size"] for k in kids)
+        if kids:
+            heavy = min(kids, key=lambda k: (-k["size"], k["id"]))
+            assert [(k["chain"] == r["chain"], k["chain"] == k["id"]) for k in kids] == [(k is heavy, k is not heavy) for k in kids] and heavy["pos"] == r["pos"] + 1
 
 
 @pytest.mark.parametrize("rows", [
@@ -116,12 +114,12 @@ def test_all_descendants_over_every_link(spark, rows):
             if (n, d) not in want:
                 want[n, d] = steps
                 todo += [(k, steps + 1) for k in kids[d]]
-    df = frame(spark, rows)
-    got = hierarchy.all_descendants(hierarchy.links(df)[1]).collect()
+    labels = hierarchy.label(frame(spark, rows))
+    got = hierarchy.all_descendants(labels).collect()
     assert len(got) == len(want) and {(r["node_id"], r["descendant_id"]): r["links"] for r in got} == want
     assert {n for n, d in want if n == d} == cyclic
     if rows and len(rows) < 10:
-        counts = {r["node_id"]: r["n_descendants"] for r in hierarchy.whole_paths(df).collect()}
+        counts = {r["node_id"]: r["n_descendants"] for r in hierarchy.paths(labels).collect()}
         assert counts == {n: sum(a == n for a, _ in want) for n in last} and counts["a"] == counts["b"] == 1 and counts["x"] == 3
 
 
@@ -136,9 +134,18 @@ def test_edges_of_the_definition(spark):
 
 def test_long_chain_and_empty(spark):
     rows = [(f"{i:04d}", i, [f"{i - 1:04d}"] if i else None, None, T0) for i in range(300)]
-    resolved = hierarchy.resolve(frame(spark, rows))
-    assert hierarchy.issues(None, resolved).collect() == []
-    last = [r for r in hierarchy.paths(None, resolved).collect() if r["node_id"] == "0299"][0]
+    labels = hierarchy.label(frame(spark, rows))
+    assert hierarchy.issues(None, labels).collect() == []
+    last = [r for r in hierarchy.paths(labels).collect() if r["node_id"] == "0299"][0]
     assert last["depth"] == 299 and last["path"] == [r[0] for r in rows]
-    nothing = hierarchy.resolve(frame(spark, []))
-    assert hierarchy.issues(None, nothing).collect() == [] and hierarchy.paths(None, nothing).collect() == []
+    nothing = hierarchy.label(frame(spark, []))
+    assert hierarchy.issues(None, nothing).collect() == [] and hierarchy.paths(nothing).collect() == [] and hierarchy.all_descendants(nothing).collect() == []
+
+
+def test_long_chains_are_opened_by_segments(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "SEGMENT", 7)
+    rows = [(f"{i:02d}", i, [f"{i - 1:02d}"] if i else None, None, T0) for i in range(40)] + [("side", 1, ["20"], None, T0), ("low", 1, ["side", "03"], None, T0)]
+    got = {(r["node_id"], r["descendant_id"]): r["links"] for r in hierarchy.all_descendants(hierarchy.label(frame(spark, rows))).collect()}
+    want = {(f"{i:02d}", f"{j:02d}"): j - i for i in range(40) for j in range(i + 1, 40)} | {(f"{i:02d}", "side"): 21 - i for i in range(21)}
+    want |= {(f"{i:02d}", "low"): 4 - i if i < 4 else 22 - i for i in range(21)} | {("side", "low"): 1}
+    assert got == want
