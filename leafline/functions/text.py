@@ -72,10 +72,14 @@ def matches_keywords(text: Column, keywords: list[str] | None = None) -> Column:
     return hit
 
 
+#: Headings of the sections at the end of an article that are left out.
+CLOSING_SECTIONS = ["References", "External links", "See also", "Notes", "Further reading"]
+
+
 def clean_article(text: Column) -> Column:
     """At most one blank line in a row; nothing from the first trailing section (references, links, notes) on."""
     fewer = F.regexp_replace(text, "\n{3,}", "\n\n")
-    cut = F.regexp_replace(fewer, rf"(?s)\n=={WS}*(?:References|External links|See also|Notes|Further reading){WS}*==.*", "")
+    cut = F.regexp_replace(fewer, rf"(?s)\n=={WS}*(?:{'|'.join(CLOSING_SECTIONS)}){WS}*==.*", "")
     return strip(cut)
 
 

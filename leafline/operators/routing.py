@@ -73,10 +73,12 @@ def beam_search(
     state = state.join(F.broadcast(nodes.where(F.col("level") == 0).select("node_id", "is_leaf", "chunk_id")), "node_id")
     state = materialize(state, "beam")
     trace = state
-    for level in range(1, MAX_LEVELS + 1):
+    for level in range(1, MAX_LEVELS + 2):
         inner = state.where(~F.col("is_leaf"))
         if inner.isEmpty():
             break
+        if level > MAX_LEVELS:
+            raise ValueError(f"no leaf after {MAX_LEVELS} levels: the edges hold a cycle")
         kids = cascade(inner.select("query_id", F.col("node_id").alias("parent_id")), nodes, edges, queries, pre_k, final_k, pair_scores)
         over = inner.select("query_id", F.col("node_id").alias("parent_id"), F.col("beam_pos").alias("above"), F.col("path_score").alias("parent_score"))
         fresh = kids.join(over, ["query_id", "parent_id"]).select(

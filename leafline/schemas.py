@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The names of categories and difficulties.
 CATEGORIES = ["single_branch", "entity_spanning", "dpi", "multi_hop", "comparative", "aggregation", "temporal", "ambiguous", "ood"]
 DIFFICULTIES = ["easy", "medium", "hard"]
 
@@ -26,8 +27,6 @@ def _blank(c: str) -> Column:
     return F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
 
 
-
-
 def rules(entity: str) -> tuple[str, dict[str, Column]]:
     """(id column, rule -> condition that breaks it)."""
     size = lambda c: F.coalesce(F.size(c), F.lit(0))

@@ -1,5 +1,3 @@
-import os
-
 import pytest
 
 from leafline.plans import registry
@@ -8,20 +6,12 @@ from leafline.plans.sql import SQL
 from .conftest import same_as_sql
 
 
-#: One query of each kind; all of them run where ALL_QUERIES is set.
-SOME = [
-    "corpus_stats", "source_proportional_sample", "suite_split", "category_quota", "sentence_segments", "force_split_chunks", "fallback_summaries", "summary_texts",
-    "hash_embed", "flat_ce_topk", "token_efficiency_curve", "beam_search", "routing_epsilon",
-]
-EVERY = "ALL_QUERIES" in os.environ
-
-
-@pytest.mark.parametrize("name", sorted(SQL) if EVERY else SOME)
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_its_sql(spark, duck, folder, name):
     same_as_sql(spark, duck, folder, registry.QUERIES[name], SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(SQL)) if EVERY else ["kmeans_tree", "failfast_gate"])
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(SQL)))
 def test_other_queries_run(spark, folder, name):
     assert registry.QUERIES[name](spark, folder).collect() is not None
 

@@ -61,7 +61,7 @@ def test_tree_store(spark, tmp_path):
 
 
 def test_arriving_queries(spark, tmp_path):
-    index = Bm25(spark.createDataFrame([("c1", 0, "python code"), ("c2", 1, "java code")], "id string, pos long, content string"))
+    index = Bm25(spark.createDataFrame([("c1", 0, "python code"), ("c2", 1, "java code"), ("c3", 2, "rust code"), ("c4", 3, "go code")], "id string, pos long, content string"))
     inbox = tmp_path / "in"
     spark.createDataFrame([("q1", "python"), ("q2", "java")], "query_id string, text string").write.parquet(str(inbox))
     arrivals = spark.readStream.schema("query_id string, text string").parquet(str(inbox))
