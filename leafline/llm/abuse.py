@@ -1,14 +1,18 @@
 """p8: abusive, hateful or sexual passages, by multiple-instance learning from document labels.
 
-A document is a bag of sentences. A sentence's (or of a long one, a window's) chance is a logistic function of its hashed word 1- to 3-grams;
-a document's chance is the noisy-or of its sentences', so labels of whole documents train a scorer that finds
-the sentences. Disguises are undone before words are counted: compatibility forms, invisible characters,
-look-alike letters, accents, digits for letters, letters set apart, stretched letters, masked letters.
-
-The model is trained in one task on at most ``MAX_LABELLED`` labelled documents (the smallest hashes of all
-labelled ones) and ``FEATURES`` weights, so its size does not depend on the corpus; every document is scored in
-full. Of an annotator's labels of a document the latest counts; null labels are ignored; annotators' labels are
-averaged. Labels that the first fit contradicts strongly are set aside for the second.
+A document is a bag of sentences; a sentence of more than ``WINDOW`` words is looked at in windows of that many, each
+overlapping the next by half. The chance of a sentence or window is a logistic function of its hashed word 1- to
+3-grams; a document's chance is the noisy-or of its windows' chances, the same in training and in scoring, so labels of
+whole documents train a scorer that finds the sentences. Disguises are undone before words are counted: compatibility
+forms, invisible characters, look-alike letters, accents, digits for letters, letters set apart, stretched letters,
+masked letters. Passages are returned in the words of the source, with their offsets.
+
+The model is trained on at most ``MAX_LABELLED`` labelled documents (the smallest hashes of all labelled ones). Each
+round every partition adds up the gradient of its documents, and the driver, which holds one number a word or word
+group seen in ``MIN_DOCS`` of these documents, sums them and takes a step; so its size does not depend on the corpus.
+Every document is scored in full. Of an annotator's labels of a document the latest counts; null labels are ignored;
+annotators' labels are averaged. Labels that the first ``ROUNDS`` contradict by ``CONTRADICTED`` or more are set aside
+for the last ``AGAIN`` rounds, as annotators err.
 
 Null, empty and wordless texts score 0. Without any usable label every score is 0. Rows are scored one by one,
 so repeated ids give repeated rows.
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,30 +31,43 @@ from pyspark.sql import functions as F
 
 from leafline.session import materialize, small
 
-MAX_LABELLED, FEATURES, WINDOW, THRESHOLD, FLOOR = 20_000, 1 << 18, 24, 0.25, 0.05
-ROUNDS, RATE, DECAY, MIN_DOCS = 90, 0.2, 2e-5, 3
+MAX_LABELLED, BITS, WINDOW, THRESHOLD, CONTRADICTED = 20_000, 18, 24, 0.4, 0.9
+ROUNDS, AGAIN, RATE, DECAY, MIN_DOCS = 45, 15, 0.3, 2e-5, 3
+#: Power of the logistic function in a chance: it keeps a long text from adding up the small chances of harmless sentences.
+SHARP, START = 3, -1.0
 
-PASSAGES = pa.list_(pa.struct([("sentence", pa.int32()), ("word", pa.int32()), ("score", pa.float64()), ("text", pa.string())]))
+PASSAGES = pa.list_(pa.struct([("sentence", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("text", pa.string())]))
 
 #: Letters of other scripts that look like Latin ones, and signs that stand for letters.
 LOOKALIKE = dict(zip("аеорсухіјѕԁһӏквмнтԛԝгАВЕКМНОРСТУХІЈЅαεικνορτυχ", "aeopcyxijsdhlkbmhtqwrABEKMHOPCTYXIJSaeiknoptux"))
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "l": "i"})
-_FOLD = {ord(k): v for k, v in LOOKALIKE.items()} | {c: None for c in [0xAD, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF]}
+_FOLD = {ord(k): v for k, v in LOOKALIKE.items()}
+_LOOKS = re.compile(f"[{''.join(LOOKALIKE)}]")
+_UNSEEN = re.compile(f"[\xad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff{''.join(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.combining(c))}]+")
 _APART = re.compile(r"(?<![^\W_])(?:[^\W_][._\-]){2,}[^\W_](?![^\W_])")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_] ){2,}[^\W_](?![^\W_])")
+#: What texts hold that one of the two can match: quick to look for.
+_MAY_APART, _MAY_SPACED = re.compile(r"[._\-][^\W_][._\-]"), re.compile(r" [^\W_] [^\W_](?![^\W_])")
 _END = re.compile(r"(?<=[.!?…。！？])[\"'»”)]*\s+|[\r\n]+")
-_WORD = re.compile(r"(?:[^\W_]|[@$](?=[^\W_])|!(?=[^\W_])|(?<=[^\W_])\*+)+")
+_WORD = re.compile(r"\n|[@$!]?[^\W_]+(?:[@$!][^\W_]+|\*+[^\W_]*)*")
+_RAW = re.compile(r"\S+")
 _RUN = re.compile(r"(.)\1+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
+BREAK = 0
 
 
 def undisguise(text: str) -> str:
+    """Line feeds stay as they are, and none are added."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).translate(_FOLD)
-        text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+        text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text))
+        if _LOOKS.search(text):
+            text = text.translate(_FOLD)
     text = text.lower()
-    text = _APART.sub(lambda m: re.sub(r"[._\-]", "", m.group()) if sum(c.isalpha() for c in m.group()) > 2 else m.group(), text)
-    return _SPACED.sub(lambda m: m.group().replace(" ", "") if sum(c.isalpha() for c in m.group()) > 2 else m.group(), text)
+    if _MAY_APART.search(text):
+        text = _APART.sub(lambda m: re.sub(r"[._\-]", "", m.group()) if sum(c.isalpha() for c in m.group()) > 2 else m.group(), text)
+    if _MAY_SPACED.search(text):
+        text = _SPACED.sub(lambda m: m.group().replace(" ", "") if sum(c.isalpha() for c in m.group()) > 2 else m.group(), text)
+    return text
 
 
 class Words(dict):
@@ -58,6 +76,8 @@ class Words(dict):
     def __missing__(self, token: str) -> int:
         if len(self) > 500_000:
             self.clear()
+        if token == "\n":
+            return BREAK
         if token.isdigit():
             canon = "0"
         elif "*" in token:
@@ -67,6 +87,7 @@ class Words(dict):
         value = 1469598103934665603
         for b in canon.encode("utf-8", "replace"):
             value = ((value ^ b) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
+        value = value or 1
         self[token] = value
         return value
 
@@ -74,103 +95,142 @@ class Words(dict):
 _WORDS = Words()
 
 
-def sentences(text: str | None) -> list[str]:
-    return [s for s in _END.split(text) if s and not s.isspace()] if text else []
-
-
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """(feature ids of all sentences, start of each sentence among them, number of the raw sentence of each)."""
-    ids: list[int] = []
-    starts: list[int] = []
-    origin: list[int] = []
-    for k, sentence in enumerate(sentences(undisguise(text)) if text else []):
-        tokens = _WORD.findall(sentence)
-        for at in range(0, max(1, len(tokens) - WINDOW // 2) if tokens else 0, WINDOW // 2):  # overlapping windows of long sentences
-            starts.append(len(ids))
-            origin.append(k)
-            ids += [_WORDS[t] for t in tokens[at : at + WINDOW]]
-    if not ids:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64), []
-    h = np.array(ids, np.uint64)
-    bag = np.repeat(np.arange(len(starts)), np.diff([*starts, len(ids)]))
+def stretches(text: str) -> list[tuple[int, int, int]]:
+    """(sentence, start, end) of the sentences of a text; of longer ones than a window, of stretches of half a window.
+
+    No stretch begins or ends between two letters that stand alone, as these may be a word set apart.
+    """
+    out, at, number = [], 0, 0
+    for start, end in [*(m.span() for m in _END.finditer(text)), (len(text), len(text))]:
+        sentence = text[at:start]
+        words = len(sentence.split())
+        if words > WINDOW:
+            spans = [m.span() for m in _RAW.finditer(sentence)]
+            alone = [e - s == 1 for s, e in spans]
+            first = 0
+            while first < len(spans):
+                last = first + WINDOW // 2
+                while last < len(spans) and alone[last - 1] and alone[last]:
+                    last += 1
+                last = min(last, len(spans))
+                out.append((number, at + spans[first][0], at + spans[last - 1][1]))
+                first = last
+        elif words:
+            out.append((number, at, start))
+        number += bool(words)
+        at = end
+    return out
+
+
+class Bags(NamedTuple):
+    """Features of many documents: ``ids`` with the slot of each; slot 2k is stretch k, slot 2k+1 what runs from k into k+1.
+
+    Windows are (first stretch, whether it goes on into the next one) in order, ``doc`` being the document of each.
+    """
+
+    ids: np.ndarray
+    slot: np.ndarray
+    first: np.ndarray
+    two: np.ndarray
+    doc: np.ndarray
+
+    def sums(self, value: np.ndarray) -> np.ndarray:
+        """Per window, the sum of a value per slot."""
+        return value[2 * self.first] + np.where(self.two, value[2 * self.first + 1] + value[2 * self.first + 2], 0)
+
+    def lengths(self) -> np.ndarray:
+        return np.maximum(self.sums(np.bincount(self.slot, minlength=2 * self.n_stretches + 1)), 1)
+
+    @property
+    def n_stretches(self) -> int:
+        return int(self.first.max() + 2) if len(self.first) else 0
+
+    def chances(self, w: np.ndarray, b: float) -> np.ndarray:
+        """The chance of each window."""
+        return self.logistic(w, b) ** SHARP
+
+    def logistic(self, w: np.ndarray, b: float) -> np.ndarray:
+        z = self.sums(np.bincount(self.slot, w[self.ids], 2 * self.n_stretches + 1))
+        return _sigmoid(z / np.sqrt(self.lengths()) + b)
+
+
+def features(texts: list[str | None]) -> tuple[Bags, list[list[tuple[int, int, int]]]]:
+    """The bags of the documents and the stretches of each."""
+    cuts = [stretches(t) if t else [] for t in texts]
+    tokens: list[int] = []
+    for text, cut in zip(texts, cuts):
+        if cut:
+            tokens += [_WORDS[t] for t in _WORD.findall(undisguise("\n".join([text[s:e] for _, s, e in cut])))]
+            tokens.append(BREAK)
+    h = np.array(tokens, np.uint64)
+    word = h != BREAK
+    stretch = (np.cumsum(~word) - ~word)[word] if len(h) else np.zeros(0, int)
+    h = h[word]
+    owner = np.repeat(np.arange(len(cuts)), [len(c) for c in cuts])
+    sentence = np.array([s for c in cuts for s, _, _ in c], int)
+    n = len(sentence)
+    goes_on = np.zeros(n, bool)
+    goes_on[:-1] = (owner[1:] == owner[:-1]) & (sentence[1:] == sentence[:-1])
+    comes = np.zeros(n, bool)
+    comes[1:] = goes_on[:-1]
+    ids, slots = [h], [2 * stretch]
     with np.errstate(over="ignore"):
-        two = (h[:-1] * _MULT) ^ (h[1:] + np.uint64(2))
+        two = (h[:-1] * _MULT) ^ (h[1:] + np.uint64(2)) if len(h) else h
         three = (two[:-1] * _MULT) ^ (h[2:] + np.uint64(3)) if len(h) > 2 else h[:0]
-        same2 = bag[1:] == bag[:-1]
-        same3 = bag[2:] == bag[:-2]
-        every = np.concatenate([h, two[same2], three[same3]])
-        every = ((every * _MULT) >> np.uint64(64 - 18)).astype(np.int32)
-    owner = np.concatenate([bag, bag[1:][same2], bag[2:][same3]])
-    order = np.argsort(owner, kind="stable")
-    return every[order], np.searchsorted(owner[order], np.arange(len(starts))), origin
-
-
-def window_text(sentence: str, at: int) -> str:
-    """The text of the window of :func:`features` that starts at token ``at``, up to the sentence's ends at its ends."""
-    spans = [m.span() for m in _WORD.finditer(sentence)]
-    last = at + WINDOW >= len(spans)
-    return sentence[spans[at][0] if at else 0 : len(sentence) if last else spans[at + WINDOW - 1][1]]
-
-
-def passages(text: str, chances: np.ndarray, origin: list[int]) -> list[dict]:
-    """The windows whose own chance reaches the threshold, or else the worst one: number of the sentence, first word, chance, text."""
-    hit = np.flatnonzero(chances >= THRESHOLD)
-    whole, out = sentences(undisguise(text)), []
-    for k in hit if len(hit) else [int(np.argmax(chances))]:
-        at = (int(k) - origin.index(origin[k])) * (WINDOW // 2)
-        out.append({"sentence": origin[k], "word": at, "score": float(chances[k]), "text": window_text(whole[origin[k]], at)})
-    return out
+        for gram, k in ((two, 1), (three, 2)):
+            a, z = stretch[: len(gram)], stretch[k : k + len(gram)]
+            ok = (z == a) | ((z == a + 1) & goes_on[np.minimum(a, max(n - 1, 0))]) if n else np.zeros(0, bool)
+            ids.append(gram[ok])
+            slots.append((a + z)[ok])
+        every = ((np.concatenate(ids) * _MULT) >> np.uint64(64 - BITS)).astype(np.int32)
+    first = np.flatnonzero(goes_on | ~comes)  # the last stretch of a longer sentence stands in the window before it
+    return Bags(every, np.concatenate(slots).astype(np.int32), first.astype(np.int32), goes_on[first], owner[first].astype(np.int32)), cuts
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """(weights, bias) that minimise the log loss of the noisy-or over documents (feature ids, sentence starts)."""
-    ids = np.concatenate([b[0] for b in bags])
-    docs = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
-    seen = np.bincount(np.unique(ids.astype(np.int64) * len(bags) + docs) // len(bags), minlength=FEATURES)
-    rare = seen < min(MIN_DOCS, 1 + len(bags) // 200)
-    shift = np.cumsum([0, *(len(b[0]) for b in bags)])
-    starts = np.concatenate([b[1] + s for b, s in zip(bags, shift)]).astype(np.int64)
-    first = np.cumsum([0, *(len(b[1]) for b in bags)])[:-1]
-    doc = np.repeat(np.arange(len(bags)), [len(b[1]) for b in bags])
-    length = np.diff([*starts, len(ids)])
-    scale = (1 / np.sqrt(length)).astype(np.float32)
-    w, b = np.zeros(FEATURES, np.float32), -3.0
-    m, v, mb, vb = np.zeros(FEATURES), np.zeros(FEATURES), 0.0, 0.0
-    total = weight.sum()
-    for k in range(1, rounds + 1):
-        z = np.add.reduceat(w[ids], starts) * scale + b
-        p = _sigmoid(z)
-        clean = np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-7)), first)
-        bad = np.maximum(-np.expm1(clean), 1e-6)
-        g = (p * (1 - (y / bad)[doc]) * weight[doc] / total).astype(np.float64)
-        gw = np.bincount(ids, np.repeat(g * scale, length), FEATURES) + DECAY * w
-        gw[rare] = 0
-        gb = g.sum()
-        m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        fix1, fix2 = 1 - 0.9**k, 1 - 0.99**k
-        w -= (RATE * (m / fix1) / (np.sqrt(v / fix2) + 1e-7)).astype(np.float32)
-        b -= RATE * (mb / fix1) / (np.sqrt(vb / fix2) + 1e-7)
-    return w, float(b)
-
-
-def chances(w: np.ndarray, b: float, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The chance of each sentence or window."""
-    return _sigmoid(np.add.reduceat(w[ids], starts) / np.sqrt(np.diff([*starts, len(ids)])) + b)
-
-
-def document_chance(w: np.ndarray, b: float, ids: np.ndarray, starts: np.ndarray) -> tuple[float, int]:
-    """(noisy-or over the sentences of at least ``FLOOR``, number of the worst sentence).
-
-    The floor keeps a long text from adding up the small chances of its many harmless sentences.
-    """
-    p = chances(w, b, ids, starts)
-    told = np.where(p >= FLOOR, p, 0)
-    return float(-np.expm1(np.log1p(-np.minimum(told, 1 - 1e-7)).sum())), int(np.argmax(p))
+def noisy_or(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    return -np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-7)), n)) if len(p) else np.zeros(n)
+
+
+def passages(text: str, p: np.ndarray, first: np.ndarray, two: np.ndarray, cut: list[tuple[int, int, int]]) -> list[dict]:
+    """The windows whose own chance reaches the threshold, or else the worst one, in the words of the source."""
+    hit = np.flatnonzero(p >= THRESHOLD)
+    out = []
+    for k in hit if len(hit) else [int(np.argmax(p))]:
+        number, start, _ = cut[first[k]]
+        end = cut[first[k] + bool(two[k])][2]
+        out.append({"sentence": number, "start": start, "end": end, "score": float(p[k]), "text": text[start:end]})
+    return out
+
+
+def gradient(bags: Bags, y: np.ndarray, weight: np.ndarray, w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
+    """Summed gradient, by weights and bias, of the log loss of the noisy-or over documents."""
+    one, length = bags.logistic(w, b), bags.lengths()
+    p = one**SHARP
+    bad = np.maximum(noisy_or(p, bags.doc, len(y)), 1e-6)
+    g = SHARP * p * (1 - one) / np.maximum(1 - p, 1e-7) * (1 - (y / bad)[bags.doc]) * weight[bags.doc]
+    per_slot = np.zeros(2 * bags.n_stretches + 1)
+    scaled = g / np.sqrt(length)
+    np.add.at(per_slot, 2 * bags.first, scaled)
+    for k in (1, 2):
+        np.add.at(per_slot, 2 * bags.first[bags.two] + k, scaled[bags.two])
+    return np.bincount(bags.ids, per_slot[bags.slot], len(w)), float(g.sum())
+
+
+class Steps:
+    """Adam over the weights and, last, the bias."""
+
+    def __init__(self, n: int):
+        self.w, self.m, self.v, self.k = np.r_[np.zeros(n), START], np.zeros(n + 1), np.zeros(n + 1), 0
+
+    def take(self, g: np.ndarray) -> None:
+        g = g + np.r_[DECAY * self.w[:-1], 0]
+        self.k += 1
+        self.m, self.v = 0.9 * self.m + 0.1 * g, 0.99 * self.v + 0.01 * g * g
+        self.w = self.w - RATE * (self.m / (1 - 0.9**self.k)) / (np.sqrt(self.v / (1 - 0.99**self.k)) + 1e-7)
 
 
 def votes(labels: DataFrame) -> DataFrame:
@@ -182,62 +242,120 @@ def votes(labels: DataFrame) -> DataFrame:
     return last.groupBy("doc_id").agg(F.avg("l.o").alias("y"), F.count(F.lit(1)).alias("n"))
 
 
+BLOB = "ids binary, slot binary, first binary, two binary, doc binary, y binary, weight binary"
+
+
+def _unpacked(batch: pa.RecordBatch):
+    kinds = ("<i4", "<i4", "<i4", "?", "<i4", "<f8", "<f8")
+    for row in zip(*(c.to_pylist() for c in batch.columns)):
+        *bag, y, weight = (np.frombuffer(v, k) for v, k in zip(row, kinds))
+        yield Bags(*bag), y, weight
+
+
 def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, float] | None:
-    """The weights, learned in one task from a bounded number of labelled documents."""
-    chosen = votes(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    chosen = materialize(chosen, "votes")
+    """The weights and the bias, learned by summed gradients from a bounded number of labelled documents."""
+    sc = documents.sparkSession.sparkContext
+    chosen = materialize(votes(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "votes")
     texts = documents.select("doc_id", "text").join(small(chosen), "doc_id")
 
     def featured(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                bags, _ = features(batch.column("text").to_pylist())
+                row = [*bags, batch.column("y").to_numpy(), np.sqrt(batch.column("n").to_numpy()).astype("<f8")]
+                yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for v in row], [c.split()[0] for c in BLOB.split(", ")])
+
+    rows = materialize(texts.select("text", "y", "n").mapInArrow(featured, BLOB), "bags")
+
+    def counted(batches):
+        seen, docs = np.zeros(1 << BITS, np.int64), 0
         for batch in batches:
-            made = [features(t) for t in batch.column("text").to_pylist()]
-            arrays = [pa.array([m[0].astype("<i4").tobytes() for m in made], pa.binary()), pa.array([m[1].astype("<i8").tobytes() for m in made], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*arrays, batch.column("y"), batch.column("n")], ["ids", "starts", "y", "n"])
-
-    rows = texts.select("text", "y", "n").mapInArrow(featured, "ids binary, starts binary, y double, n long").withColumn("one", F.lit(1))
-
-    def learned(table):
-        bags = [(np.frombuffer(i, "<i4"), np.frombuffer(s, "<i8")) for i, s in zip(table.column("ids").to_pylist(), table.column("starts").to_pylist())]
-        keep = [k for k, b in enumerate(bags) if len(b[0])]
-        y, n = table.column("y").to_numpy()[keep], table.column("n").to_numpy()[keep]
-        bags = [bags[k] for k in keep]
-        if not bags:
-            return pa.table({"w": pa.array([], pa.binary()), "b": pa.array([], pa.float64())})
-        weight = np.sqrt(n)
-        w, b = fit(bags, y, weight)
-        guess = np.array([document_chance(w, b, *bag)[0] for bag in bags])
-        agree = np.abs(guess - y) < 0.9
-        if agree.sum() > 10 and not agree.all():
-            w, b = fit([bag for bag, a in zip(bags, agree) if a], y[agree], weight[agree])
-        return pa.table({"w": pa.array([w.astype("<f4").tobytes()], pa.binary()), "b": pa.array([b], pa.float64())})
-
-    got = rows.groupBy("one").applyInArrow(learned, "w binary, b double").collect()
-    return (np.frombuffer(got[0]["w"], "<f4"), got[0]["b"]) if got else None
+            for bags, y, _ in _unpacked(batch):
+                owner = np.zeros(bags.n_stretches + 1, np.int64)
+                owner[bags.first], owner[bags.first + bags.two] = bags.doc, bags.doc
+                pair = np.unique(bags.ids.astype(np.int64) * len(y) + owner[bags.slot // 2])
+                seen += np.bincount(pair // len(y), minlength=1 << BITS)
+                docs += len(np.unique(bags.doc))
+        if docs:
+            at = np.flatnonzero(seen).astype("<i4")
+            yield pa.RecordBatch.from_arrays([pa.array([docs], pa.int64()), pa.array([at.tobytes()], pa.binary()), pa.array([seen[at].astype("<i4").tobytes()], pa.binary())], ["docs", "at", "n"])
+
+    seen, docs = np.zeros(1 << BITS, np.int64), 0
+    for r in rows.mapInArrow(counted, "docs long, at binary, n binary").collect():  # as many as tasks, of bounded size
+        docs += r["docs"]
+        seen[np.frombuffer(r["at"], "<i4")] += np.frombuffer(r["n"], "<i4")
+    if not docs:
+        return None
+    active = np.flatnonzero(seen >= min(MIN_DOCS, 1 + docs // 200))
+    where = sc.broadcast(active)
+    steps = Steps(len(active))
+
+    def spread_out(w: np.ndarray, active: np.ndarray) -> np.ndarray:
+        out = np.zeros(1 << BITS)
+        out[active] = w[:-1]
+        return out
+
+    def round_of(now, strict):
+        def run(batches):
+            active = where.value
+            w, total, mass = spread_out(now.value, active), np.zeros(len(active) + 1), 0.0
+            before = spread_out(strict[0].value, active) if strict else None
+            for batch in batches:
+                for bags, y, weight in _unpacked(batch):
+                    weight = weight * (np.bincount(bags.doc, minlength=len(y)) > 0)
+                    if strict:
+                        guess = noisy_or(bags.chances(before, strict[0].value[-1]), bags.doc, len(y))
+                        weight = weight * (np.abs(guess - y) < CONTRADICTED)
+                    g, gb = gradient(bags, y, weight, w, now.value[-1])
+                    total += np.r_[g[active], gb]
+                    mass += weight.sum()
+            yield pa.RecordBatch.from_arrays([pa.array([mass]), pa.array([total.astype("<f8").tobytes()], pa.binary())], ["mass", "g"])
+
+        return run
+
+    strict = ()
+    for k in range(ROUNDS + AGAIN):
+        if k == ROUNDS:
+            strict = (sc.broadcast(steps.w),)
+        now = sc.broadcast(steps.w)
+        got = rows.mapInArrow(round_of(now, strict), "mass double, g binary").collect()  # a row a task
+        mass = sum(r["mass"] for r in got)
+        if mass:
+            steps.take(sum(np.frombuffer(r["g"], "<f8") for r in got) / mass)
+        now.unpersist()
+    return spread_out(steps.w, active).astype(np.float32), float(steps.w[-1])
 
 
 def score_documents(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(doc_id, source, score, worst, passages): the chance of each document, the text of its worst window and all windows
-    whose own chance reaches the threshold (the worst one if none does alone); null below the threshold."""
+    whose own chance reaches the threshold (the worst one if none does alone); null below the threshold. ``start`` and
+    ``end`` of a passage count code points of the source text."""
     model = documents.sparkSession.sparkContext.broadcast(train(documents, labels, max_labelled))
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         learned = model.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                score, worst, located = [], [], []
-                for text in batch.column("text").to_pylist():
-                    ids, starts, origin = features(text)
-                    p, k = document_chance(*learned, ids, starts) if learned and len(ids) else (0.0, -1)
-                    score.append(p)
-                    found = passages(text, chances(*learned, ids, starts), origin) if p >= THRESHOLD else None
-                    worst.append(max(found, key=lambda f: f["score"])["text"] if found else None)
-                    located.append(found)
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                texts = batch.column("text").to_pylist()
+                score, worst, located = np.zeros(len(texts)), [None] * len(texts), [None] * len(texts)
+                if learned:
+                    bags, cuts = features(texts)
+                    p = bags.chances(*learned)
+                    p[bags.lengths() * (np.bincount(bags.slot, minlength=2 * bags.n_stretches + 1)[2 * bags.first] > 0) == 0] = 0
+                    score = noisy_or(p, bags.doc, len(texts))
+                    ends = np.searchsorted(bags.doc, np.arange(len(texts) + 1))
+                    begins = np.cumsum([0, *(len(c) for c in cuts)])
+                    for k in np.flatnonzero(score >= THRESHOLD):
+                        mine = slice(ends[k], ends[k + 1])
+                        located[k] = passages(texts[k], p[mine], bags.first[mine] - begins[k], bags.two[mine], cuts[k])
+                        worst[k] = max(located[k], key=lambda f: f["score"])["text"]
                 columns = [batch.column("doc_id"), batch.column("source"), pa.array(score, pa.float64()), pa.array(worst, pa.string()), pa.array(located, PASSAGES)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "source", "score", "worst", "passages"])
 
-    located = "array<struct<sentence: int, word: int, score: double, text: string>>"
+    located = "array<struct<sentence: int, start: int, end: int, score: double, text: string>>"
     return documents.select("doc_id", "source", "text").mapInArrow(run, f"doc_id {kind}, source string, score double, worst string, passages {located}")
 
 
