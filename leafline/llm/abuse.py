@@ -5,7 +5,8 @@ overlapping the next by half. The chance of a sentence or window is a logistic f
 3-grams; a document's chance is the noisy-or of its windows' chances, the same in training and in scoring, so labels of
 whole documents train a scorer that finds the sentences. Disguises are undone before words are counted: compatibility
 forms, invisible characters, look-alike letters, accents, digits for letters, letters set apart, stretched letters,
-masked letters. Passages are returned in the words of the source, with their offsets.
+masked letters. A document is offensive if it holds a passage, a window whose own chance reaches ``THRESHOLD``; passages
+are returned in the words of the source, with their offsets.
 
 The model is trained on at most ``MAX_LABELLED`` labelled documents (the smallest hashes of all labelled ones). Each
 round every partition adds up the gradient of its documents, and the driver, which holds one number a word or word
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 
 from leafline.session import materialize, small
 
-MAX_LABELLED, BITS, WINDOW, THRESHOLD, CONTRADICTED = 20_000, 18, 24, 0.4, 0.9
-ROUNDS, AGAIN, RATE, DECAY, MIN_DOCS = 45, 15, 0.3, 2e-5, 3
+MAX_LABELLED, BITS, WINDOW, THRESHOLD, CONTRADICTED = 20_000, 18, 24, 0.25, 0.9
+ROUNDS, AGAIN, RATE, DECAY, MIN_DOCS = 30, 10, 0.3, 2e-5, 3
 #: Power of the logistic function in a chance: it keeps a long text from adding up the small chances of harmless sentences.
 SHARP, START = 3, -1.0
 
@@ -48,8 +49,8 @@ _APART = re.compile(r"(?<![^\W_])(?:[^\W_][._\-]){2,}[^\W_](?![^\W_])")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_] ){2,}[^\W_](?![^\W_])")
 #: What texts hold that one of the two can match: quick to look for.
 _MAY_APART, _MAY_SPACED = re.compile(r"[._\-][^\W_][._\-]"), re.compile(r" [^\W_] [^\W_](?![^\W_])")
-_END = re.compile(r"(?<=[.!?…。！？])[\"'»”)]*\s+|[\r\n]+")
-_WORD = re.compile(r"\n|[@$!]?[^\W_]+(?:[@$!][^\W_]+|\*+[^\W_]*)*")
+_END = re.compile(r"[.!?…。！？]([\"'»”)]*\s+)|[\r\n]+")
+_WORD = re.compile(r"\n|[@$!]?\w+(?:[@$!]\w+|\*+\w*)*")
 _RAW = re.compile(r"\S+")
 _RUN = re.compile(r"(.)\1+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -57,7 +58,7 @@ BREAK = 0
 
 
 def undisguise(text: str) -> str:
-    """Line feeds stay as they are, and none are added."""
+    """Line feeds stay as they are, and none are added; underscores go."""
     if not text.isascii():
         text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text))
         if _LOOKS.search(text):
@@ -67,7 +68,7 @@ def undisguise(text: str) -> str:
         text = _APART.sub(lambda m: re.sub(r"[._\-]", "", m.group()) if sum(c.isalpha() for c in m.group()) > 2 else m.group(), text)
     if _MAY_SPACED.search(text):
         text = _SPACED.sub(lambda m: m.group().replace(" ", "") if sum(c.isalpha() for c in m.group()) > 2 else m.group(), text)
-    return text
+    return text.replace("_", " ")
 
 
 class Words(dict):
@@ -101,9 +102,9 @@ def stretches(text: str) -> list[tuple[int, int, int]]:
     No stretch begins or ends between two letters that stand alone, as these may be a word set apart.
     """
     out, at, number = [], 0, 0
-    for start, end in [*(m.span() for m in _END.finditer(text)), (len(text), len(text))]:
+    for start, end in [*((m.start(1) if m.group(1) else m.start(), m.end()) for m in _END.finditer(text)), (len(text), len(text))]:
         sentence = text[at:start]
-        words = len(sentence.split())
+        words = len(sentence.split()) if len(sentence) > 2 * WINDOW else int(bool(sentence) and not sentence.isspace())
         if words > WINDOW:
             spans = [m.span() for m in _RAW.finditer(sentence)]
             alone = [e - s == 1 for s, e in spans]
@@ -196,10 +197,9 @@ def noisy_or(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 
 
 def passages(text: str, p: np.ndarray, first: np.ndarray, two: np.ndarray, cut: list[tuple[int, int, int]]) -> list[dict]:
-    """The windows whose own chance reaches the threshold, or else the worst one, in the words of the source."""
-    hit = np.flatnonzero(p >= THRESHOLD)
+    """The windows whose own chance reaches the threshold, in the words of the source."""
     out = []
-    for k in hit if len(hit) else [int(np.argmax(p))]:
+    for k in np.flatnonzero(p >= THRESHOLD):
         number, start, _ = cut[first[k]]
         end = cut[first[k] + bool(two[k])][2]
         out.append({"sentence": number, "start": start, "end": end, "score": float(p[k]), "text": text[start:end]})
@@ -328,9 +328,9 @@ def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
 
 
 def score_documents(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """(doc_id, source, score, worst, passages): the chance of each document, the text of its worst window and all windows
-    whose own chance reaches the threshold (the worst one if none does alone); null below the threshold. ``start`` and
-    ``end`` of a passage count code points of the source text."""
+    """(doc_id, source, score, worst, passages): the chance of each document, all windows whose own chance reaches the
+    threshold, and the text of the worst of them; both null if there are none. ``start`` and ``end`` of a passage count
+    code points of the source text."""
     model = documents.sparkSession.sparkContext.broadcast(train(documents, labels, max_labelled))
     kind = documents.schema["doc_id"].dataType.simpleString()
 
@@ -348,7 +348,7 @@ def score_documents(documents: DataFrame, labels: DataFrame, max_labelled: int =
                     score = noisy_or(p, bags.doc, len(texts))
                     ends = np.searchsorted(bags.doc, np.arange(len(texts) + 1))
                     begins = np.cumsum([0, *(len(c) for c in cuts)])
-                    for k in np.flatnonzero(score >= THRESHOLD):
+                    for k in np.unique(bags.doc[p >= THRESHOLD]):
                         mine = slice(ends[k], ends[k + 1])
                         located[k] = passages(texts[k], p[mine], bags.first[mine] - begins[k], bags.two[mine], cuts[k])
                         worst[k] = max(located[k], key=lambda f: f["score"])["text"]
@@ -360,13 +360,13 @@ def score_documents(documents: DataFrame, labels: DataFrame, max_labelled: int =
 
 
 def found(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id) of the documents whose chance reaches the threshold."""
-    return score_documents(documents, labels).where(F.col("score") >= THRESHOLD).select("doc_id").distinct()
+    """(doc_id) of the documents that hold a passage."""
+    return score_documents(documents, labels).where("passages IS NOT NULL").select("doc_id").distinct()
 
 
 def source_rates(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(source, documents, offensive, share): rates per source, null sources as one."""
-    bad = F.count_if(F.col("score") >= THRESHOLD)
+    bad = F.count_if(F.col("passages").isNotNull())
     return score_documents(documents, labels).groupBy("source").agg(F.count(F.lit(1)).alias("documents"), bad.alias("offensive")).withColumn(
         "share", F.round(F.col("offensive") / F.col("documents"), 6)
     )
