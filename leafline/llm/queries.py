@@ -7,9 +7,18 @@ from pyspark.sql import functions as F
 
 from leafline.llm import abuse, clusters, packing, residue
 from leafline.llm.mixture import sample_by_targets
-from leafline.llm.split import split_oversized
+from leafline.llm.split import LIMIT, OVERLAP, split_oversized, word_count
 from leafline.llm.tokens import count_tokens, encode_ids
-from leafline.session import table
+from leafline.session import latest_rows, materialize, table
+
+
+def broken(*rules: tuple[str, DataFrame, str]) -> DataFrame:
+    """(rule, broken): for each (rule, rows, condition) the number of rows that meet the condition, which should be none."""
+    out = None
+    for rule, rows, condition in rules:
+        row = rows.agg(F.count_if(F.expr(condition)).alias("broken")).select(F.lit(rule).alias("rule"), "broken")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,9 +43,25 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _p2(spark, folder).select("kind", "id", "piece", "n_pieces", "first_word", "n_words", "overlap", "content")
 
 
+def p2_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """What every result of the splitting must keep, counted."""
+    pieces = materialize(_p2(spark, folder), "pieces")
+    sizes = None
+    for kind, name in (("document", "corpus_documents"), ("chunk", "chunks")):
+        rows = latest_rows(table(spark, folder, name), "id", "ingested_at", "content").select(F.lit(kind).alias("kind"), "id", word_count(F.col("content")).alias("words"))
+        sizes = rows if sizes is None else sizes.unionByName(rows)
+    told = pieces.groupBy("kind", "id").agg(F.sum(F.col("n_words") - F.col("overlap")).alias("told"), F.count_distinct("piece").alias("n"), F.max("n_pieces").alias("n_pieces"), F.max(F.col("first_word") + F.col("n_words")).alias("end"))
+    whole = sizes.where(F.col("words") > LIMIT).join(told, ["kind", "id"], "left")
+    counted = pieces.withColumn("counted", word_count(F.col("content")))
+    return broken(
+        (f"piece of more than {LIMIT} words", counted, f"counted > {LIMIT}"), ("words of a piece miscounted", counted, "counted <> n_words"), (f"overlap of more than {OVERLAP} words", pieces, f"overlap > {OVERLAP}"),
+        ("text not covered once by its pieces", whole, "coalesce(told, 0) <> words OR end <> words"), ("piece missing", whole, "coalesce(n, 0) <> coalesce(n_pieces, -1)"),
+    )
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     _, report = sample_by_targets(table(spark, folder, "queries"), table(spark, folder, "suite_targets"))
-    return report.where("unmet").select("suite_id", "category", "difficulty")
+    return report.where("cause = 'supply'").select("suite_id", "category", "difficulty")
 
 
 def p3_sample(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,6 +72,21 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     return sample_by_targets(table(spark, folder, "queries"), table(spark, folder, "suite_targets"))[1]
 
 
+def p3_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """What every sample must keep, counted."""
+    sample, report = sample_by_targets(table(spark, folder, "queries"), table(spark, folder, "suite_targets"))
+    report = materialize(report, "report")
+    drawn = sample.groupBy("suite_id", "category", "difficulty").agg(F.count_distinct("id").alias("ids"), F.count(F.lit(1)).alias("rows"))
+    cells = materialize(report.join(drawn, ["suite_id", "category", "difficulty"], "left"), "cells")
+    suites = report.groupBy("suite_id").agg(F.sum("sampled").alias("sampled"), F.sum("available").alias("available"), F.max("sample_rows").alias("wanted"), F.sum(F.least("available", "quota")).alias("owed"), F.sum(F.least("available", F.col("min_rows").cast("long"))).alias("least"))
+    short = report.where("cause = 'size'").join(suites.select("suite_id", "owed", "wanted"), "suite_id")
+    return broken(
+        ("cell without its minimum though it has rows", cells, "sampled < least(available, min_rows)"), ("cell with more rows than there are", cells, "sampled > available"),
+        ("report and sample differ", cells, "coalesce(rows, 0) <> sampled OR coalesce(ids, 0) <> sampled"), ("cell under its quota without a cause", cells, "gap < 0 AND cause IS NULL"),
+        ("sample of another size", suites, "sampled <> greatest(least(wanted, available), least)"), ("cell cut for size where the quotas fit", short, "owed <= wanted"),
+    )
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue.residue_nodes(table(spark, folder, "nodes"))
 
@@ -64,6 +104,20 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_items(sizes).withColumnRenamed("doc", "doc_id")
 
 
+def p7_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """What every packing must keep, counted."""
+    sizes = materialize(count_tokens(table(spark, folder, "documents")).select(F.col("doc_id").alias("doc"), F.col("n_tokens").alias("size")), "sizes")
+    packed = materialize(packing.pack_items(sizes), "packed")
+    docs = sizes.where("size > 0").join(packed.groupBy("doc").agg(F.sum("size").alias("packed"), F.count(F.lit(1)).alias("pieces")), "doc", "left")
+    docs = docs.withColumn("due", F.ceil(F.col("size") / packing.CAPACITY))
+    containers = packed.groupBy("container").agg(F.sum("size").alias("used"), F.max(F.col("start") + F.col("size")).alias("end"), F.count_distinct("start").alias("starts"), F.count(F.lit(1)).alias("pieces"))
+    fill = containers.agg(F.count(F.lit(1)).alias("n"), F.ceil(F.coalesce(F.sum("used"), F.lit(0)) / packing.CAPACITY).alias("bound"))
+    return broken(
+        ("container over its capacity", containers, f"used > {packing.CAPACITY}"), ("places that overlap or leave gaps", containers, "end <> used OR starts <> pieces"),
+        ("document lost or changed", docs, "coalesce(packed, 0) <> size"), ("document split though it fits", docs, "pieces > due"), ("more than one in a hundred containers over the bound", fill, "n > ceil(bound * 1.01)"),
+    )
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.found(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
 
@@ -80,8 +134,8 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_clusters, p2_found, p2_pieces, p3_found, p3_sample, p3_report, p5_found, p5_values, p6_ids, p7_containers,
-        p8_found, p8_scores, p8_rates,
+        p1_found, p1_clusters, p2_found, p2_pieces, p2_invariants, p3_found, p3_sample, p3_report, p3_invariants, p5_found, p5_values, p6_ids, p7_containers,
+        p7_invariants, p8_found, p8_scores, p8_rates,
     )
 }
 
@@ -93,7 +147,18 @@ latest AS (
   FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at DESC) AS rn FROM queries) WHERE rn = 1)
 """
 
+
+
+def _none(*rules: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{r}' AS rule, CAST(0 AS BIGINT) AS broken" for r in rules)
+
+
 SQL = {
+    "p2_invariants": _none(f"piece of more than {LIMIT} words", "words of a piece miscounted", f"overlap of more than {OVERLAP} words", "text not covered once by its pieces", "piece missing"),
+    "p3_invariants": _none(
+        "cell without its minimum though it has rows", "cell with more rows than there are", "report and sample differ", "cell under its quota without a cause", "sample of another size", "cell cut for size where the quotas fit",
+    ),
+    "p7_invariants": _none("container over its capacity", "places that overlap or leave gaps", "document lost or changed", "document split though it fits", "more than one in a hundred containers over the bound"),
     "p2_found": """
 WITH d AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) AS rn FROM corpus_documents),
      c AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) AS rn FROM chunks),

@@ -20,15 +20,30 @@ def test_raking_meets_margins():
     assert np.allclose(scarce, 5)
 
 
-def test_repair_keeps_bounds():
+def test_repair_gives_every_cell_with_rows_its_quota():
     rng = np.random.default_rng(0)
-    for _ in range(200):
+    for _ in range(300):
         have = rng.integers(0, 20, 6)
         fit = np.minimum(rng.uniform(0, 10, 6), have)
-        least = np.minimum(rng.integers(0, 3, 6), have)
+        least = rng.integers(0, 3, 6)
+        quota = np.maximum(least, rng.integers(0, 12, 6))
         n = int(rng.integers(0, 60))
-        out = M.whole_counts(fit, rng.integers(0, 12, 6), least, have, n)
-        assert (out <= have).all() and (out >= least).all() and (out.sum() == min(n, have.sum()) or (out == least).all())
+        out = M.whole_counts(fit, rng.integers(0, 12, 6), least, quota, have, n)
+        floor, want = np.minimum(least, have), np.minimum(quota, have)
+        assert (out <= have).all() and (out >= floor).all() and (out.sum() == min(n, have.sum()) or (out == floor).all())
+        assert (out >= want).all() or out.sum() <= max(n, floor.sum()) < want.sum() + (out - want).clip(0).sum() or want.sum() > n
+
+
+def test_first_ranks_equal_a_plain_window(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"i{k:04d}", "hot" if k % 3 else f"g{k % 7}", float(u)) for k, u in enumerate(np.round(rng.random(3000), 3))]
+    df = spark.createDataFrame(rows, "id string, g string, x double")
+    for buckets in (1, 16, 500):
+        got = {(r["id"], r["_ll_rank"]) for r in M.first_ranks(df, ["g"], "x", F.floor(F.col("x") * buckets), F.lit(40)).collect()}
+        want = set()
+        for g in {r[1] for r in rows}:
+            want |= {(r[0], k) for k, r in enumerate(sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0])), 1) if k <= 40}
+        assert got == want
 
 
 def test_sample_follows_targets_and_reports_gaps(spark):
@@ -41,7 +56,7 @@ def test_sample_follows_targets_and_reports_gaps(spark):
     assert sum(got.values()) == 50 and got[("temporal", "hard")] == 1 and ("ood", "easy") not in got
     assert abs(got[("multi_hop", "easy")] - 32) <= 2
     cells = {(r["suite_id"], r["category"], r["difficulty"]): r for r in report.collect()}
-    assert len(cells) == 5 and {k for k, r in cells.items() if r["unmet"]} == {("s", "ood", "easy"), ("s", "temporal", "hard"), ("none", "ood", "easy")}
+    assert len(cells) == 5 and {k for k, r in cells.items() if r["cause"] == "supply"} == {("s", "ood", "easy"), ("s", "temporal", "hard"), ("none", "ood", "easy")}
     assert cells[("s", "temporal", "hard")]["quota"] == 3 and cells[("s", "temporal", "hard")]["gap"] == -2
     again, _ = M.sample_by_targets(spark.createDataFrame(rows[::-1], Q), spark.createDataFrame(targets, T))
     assert {r["id"] for r in again.collect()} == {r["id"] for r in sample.collect()}
