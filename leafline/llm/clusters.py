@@ -4,21 +4,22 @@
    counts, even if its vector is unusable. A usable vector has ``dim`` finite numbers that are not all zero.
 2. Bisecting k-means across the cluster: every pass routes all rows down the tree of centres and returns each
    open node's count, vector sum and a few members by smallest hash. Nodes that are neither compact nor small
-   enough for one task are split, the one of largest dispersion first; all other centres move to their means.
-3. Every open node of at most ``NODE_ROWS`` rows is bisected on inside one task until its leaves are compact or
-   have ``LEAF_ROWS`` rows; larger nodes are dealt over several tasks by a hash of the id. A compact leaf (all
-   cosines to its centre at least ``compactness``) cannot hold a pair under the threshold. Leaves are checked
-   exactly: members with a cosine of ``threshold`` or more are one part.
-4. Splits may cut a cluster, so the parts (not the rows) go down the same tree again, into both children where
-   their distance from the cut is under ``margin``, and parts whose centre-nearest members reach the threshold
-   are linked. These cheap links are closed by label propagation over parts.
-5. What they leave apart is checked exactly. All pairs of parts are met in tasks of two blocks of parts; a pair is
-   skipped only if it is linked already or if its centres are farther apart than both radii and the angle of the
-   threshold. Of the other pairs the members that can reach the other part's ball are compared. The number of
-   pairs grows with the square of the number of parts (not of rows), at one product of centres each.
-
-The tree is bounded by ``MAX_NODES`` nodes, so what the driver holds and sends out is bounded as well; it never
-sees rows, parts or links. Chunks without a usable vector, and chunks alone in a cluster, get a cluster of one.
+   enough for one task are split, the one of largest dispersion first; all other centres move to their means. A tree
+   has at most ``MAX_NODES`` nodes; a node that it leaves too large is split on by a tree of its own.
+3. Every node of at most ``NODE_ROWS`` rows is bisected on inside one task until its leaves are compact or
+   have ``LEAF_ROWS`` rows; larger compact nodes are dealt over several tasks by a hash of the id. A compact leaf (all
+   cosines to its centre at least ``compactness``) cannot hold a pair under the threshold. Other leaves are checked
+   exactly: members with a cosine of ``threshold`` or more are one part. Parts of a task whose centre-nearest members
+   reach the threshold are one part as well.
+4. Splits may cut a cluster, so all parts are checked against each other, exactly. Parts stand in blocks, in the order
+   of the tree, and blocks and parts have balls (centre and radius). Two blocks meet in one task unless their balls are
+   farther apart than the angle of the threshold; so do two parts there, and of two parts that may touch the members
+   that can reach the other's ball are compared. Links are closed by label propagation over parts. No part or row
+   is copied for nearness to a cut. Where balls prove nothing, which is so for blocks of unrelated directions, the
+   pairs of parts (not of rows) grow with the square of their number, at one product of centres each.
+
+What the driver holds is bounded: a tree, and a ball for each of at most ``MAX_BLOCKS`` blocks; it never sees rows, parts
+or links. Chunks without a usable vector, and chunks alone in a cluster, get a cluster of one.
 Entries with a null id are ignored; an empty table gives an empty result.
 """
 
@@ -37,10 +38,11 @@ from leafline.session import drop_table, materialize, small
 
 DIM, THRESHOLD = 64, 0.75
 NODE_ROWS, LEAF_ROWS, MAX_NODES = 16_384, 256, 4_096
-MARGIN = 0.09
 SAMPLE = 96
-#: Parts in a block of the exact closing step, and radians that make up for centres sent as half floats.
-BLOCK, SLACK = 8_192, 1e-3
+#: Parts in a block of the closing step, blocks at most, and radians that make up for centres sent as half floats.
+BLOCK, LARGE_BLOCK, MAX_BLOCKS, SLACK = 8_192, 65_536, 4_096, 1e-3
+#: A part's number is that of its cell times this, plus its place in it; a cell's that of its node times ``DEALS``, plus its deal.
+PLACES, DEALS = 1_000_000, 10_000
 
 
 def compactness(threshold: float) -> float:
@@ -134,51 +136,46 @@ class Tree:
         self.centre += [pair[0].astype(np.float32), pair[1].astype(np.float32)]
         self.kids += [(), ()]
 
-    def route(self, x: np.ndarray, margin: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) pairs; with a margin a row also goes to the other side of a cut that is nearer than it."""
-        rows, leaves = [], []
+    def route(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of every row."""
+        out = np.zeros(len(x), int)
         stack = [(0, np.arange(len(x)))]
         while stack:
             node, at = stack.pop()
-            if len(at) == 0:
-                continue
-            if not self.kids[node]:
-                rows.append(at)
-                leaves.append(np.full(len(at), node))
+            if len(at) == 0 or not self.kids[node]:
+                out[at] = node
                 continue
             a, b = self.kids[node]
-            d = self.centre[b] - self.centre[a]
-            s = (x[at] @ d) / max(float(np.linalg.norm(d)), 1e-9)
-            stack.append((a, at[s <= margin]))
-            stack.append((b, at[s > -margin] if margin else at[s > 0]))
-        if not rows:
-            return np.zeros(0, int), np.zeros(0, int)
-        return np.concatenate(rows), np.concatenate(leaves)
+            right = (x[at] @ (self.centre[b] - self.centre[a])) > 0
+            stack += [(a, at[~right]), (b, at[right])]
+        return out
 
 
 def node_statistics(vectors: DataFrame, tree: Tree, dim: int, node_rows: int, limit: float) -> list:
     """One row per open node: count, sum, least cosine to the present centre, and some members if it must be split."""
 
+    keyed = vectors.select("h", "vec")
+    share = max(2, -(-2 * SAMPLE // keyed.rdd.getNumPartitions()))  # all tasks together send about twice the sample of a node
+
     def local(batches):
         total: dict[int, list] = {}
         for batch in batches:
             x = matrix(batch.column(1), dim)
-            order = np.argsort(batch.column(0).to_numpy(), kind="stable")[: 4 * SAMPLE * max(1, len(tree.kids))]
-            rows, leaves = tree.route(x)
-            leaf_of = np.empty(len(x), int)
-            leaf_of[rows] = leaves
+            leaf_of = tree.route(x)
+            order = np.lexsort((batch.column(0).to_numpy(), leaf_of))
             cos = np.einsum("ij,ij->i", x, np.stack(tree.centre)[leaf_of])
-            for leaf in np.unique(leaves):
-                mine = leaf_of == leaf
-                picked = order[leaf_of[order] == leaf][:SAMPLE]
+            cuts = np.flatnonzero(np.r_[True, np.diff(leaf_of[order]) != 0, True]) if len(x) else [0]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                mine, leaf = order[lo:hi], int(leaf_of[order[lo]])
                 n, s, least, some = total.get(leaf, (0, np.zeros(dim), 2.0, np.zeros((0, dim), np.float32)))
-                total[leaf] = [n + int(mine.sum()), s + x[mine].sum(0, dtype=np.float64), min(least, float(cos[mine].min())), np.concatenate([some, x[picked]])[: 2 * SAMPLE]]
+                some = np.concatenate([some, x[mine[: share - len(some)]]]) if len(some) < share else some
+                total[leaf] = [n + len(mine), s + x[mine].sum(0, dtype=np.float64), min(least, float(cos[mine].min())), some]
         if total:
             keys = list(total)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(keys, pa.int32()), pa.array([total[k][0] for k in keys], pa.int64()), pack64(np.stack([total[k][1] for k in keys])),
-                    pa.array([total[k][2] for k in keys], pa.float64()), pa.array([total[k][3][:SAMPLE].tobytes() for k in keys], pa.binary()),
+                    pa.array([total[k][2] for k in keys], pa.float64()), pa.array([total[k][3].tobytes() for k in keys], pa.binary()),
                 ],
                 ["node", "n", "total", "least", "some"],
             )
@@ -196,7 +193,6 @@ def node_statistics(vectors: DataFrame, tree: Tree, dim: int, node_rows: int, li
         )
 
     shape = "node int, n long, total binary, least double, some binary"
-    keyed = vectors.select("h", "vec")
     return keyed.mapInArrow(local, shape).groupBy("node").applyInArrow(merged, shape).collect()
 
 
@@ -204,12 +200,12 @@ def pack64(x: np.ndarray) -> pa.Array:
     return pa.array([row.astype("<f8").tobytes() for row in x], pa.binary())
 
 
-def grow(vectors: DataFrame, dim: int, threshold: float, node_rows: int, max_nodes: int) -> tuple[Tree, dict[int, int]]:
-    """The tree whose open nodes are compact or small, and the rows of each open node."""
+def grow(vectors: DataFrame, dim: int, threshold: float, node_rows: int, max_nodes: int) -> tuple[Tree, dict[int, int], set[int]]:
+    """The tree, the rows of each open node, and the open nodes that are too large only because the tree is full."""
     tree, limit = Tree(dim), compactness(threshold)
     while True:
         stats = node_statistics(vectors, tree, dim, node_rows, limit)
-        sizes, wanted = {}, []
+        sizes, wanted, full = {}, [], set()
         for row in stats:
             s = np.frombuffer(row["total"], "<f8")
             sizes[row["node"]] = row["n"]
@@ -221,11 +217,46 @@ def grow(vectors: DataFrame, dim: int, threshold: float, node_rows: int, max_nod
         split = False
         for _, node, some in sorted(wanted, key=lambda w: -w[0]):
             pair = two_means(some)
-            if len(tree.kids) + 2 <= max_nodes and float(np.linalg.norm(pair[1] - pair[0])) > 1e-3:
+            if float(np.linalg.norm(pair[1] - pair[0])) <= 1e-3:  # cannot be told apart by its sample
+                continue
+            if len(tree.kids) + 2 <= max_nodes:
                 tree.split(node, pair)
                 split = True
+            else:
+                full.add(node)
         if not split:
-            return tree, sizes
+            return tree, sizes, full
+
+
+def cells_of(vectors: DataFrame, dim: int, threshold: float, node_rows: int, max_nodes: int, base: int = 0) -> tuple[DataFrame, int]:
+    """((cell, id, vec) of all (id, h, vec), the next free node number)."""
+    tree, sizes, full = grow(vectors, dim, threshold, node_rows, max_nodes)
+
+    def routed(batches):
+        for batch in batches:
+            if batch.num_rows:
+                node = base + tree.route(matrix(batch.column(2), dim))
+                yield pa.RecordBatch.from_arrays([pa.array(node), *batch.columns], ["node", "id", "h", "vec"])
+
+    def dealt(batches):
+        deals = np.array([min(DEALS, max(1, -(-sizes.get(k, 1) // node_rows))) for k in range(len(tree.kids))])
+        for batch in batches:
+            if batch.num_rows:
+                node = batch.column(0).to_numpy()
+                cell = node * DEALS + (batch.column(2).to_numpy() % 1_000_003) % deals[node - base]
+                yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column(1), batch.column(3)], ["cell", "id", "vec"])
+
+    rows = vectors.select("id", "h", "vec").mapInArrow(routed, "node long, id string, h long, vec binary")
+    after = base + len(tree.kids)
+    if not full:
+        return rows.mapInArrow(dealt, "cell long, id string, vec binary"), after
+    rows = materialize(rows.repartitionByRange("node").sortWithinPartitions("node"), "routed")  # a node's rows are read without the others
+    large = {base + k for k in full}
+    cells = rows.where(~F.col("node").isin(large)).mapInArrow(dealt, "cell long, id string, vec binary")
+    for node in sorted(large):
+        more, after = cells_of(rows.where(F.col("node") == node), dim, threshold, node_rows, max_nodes, after)
+        cells = cells.unionByName(more)
+    return cells, after
 
 
 def leaves_of(x: np.ndarray, limit: float, leaf_rows: int) -> list[np.ndarray]:
@@ -307,38 +338,78 @@ def touch(x: np.ndarray, y: np.ndarray, threshold: float, strip: int = 1024) ->
     return any(bool((x[at : at + strip] @ y.T >= threshold).any()) for at in range(0, len(x), strip))
 
 
-def exact_links(members: DataFrame, parts: DataFrame, dim: int, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(a, b): pairs of parts of different heads with members that reach the threshold, none left out.
+def block_balls(parts: DataFrame, dim: int, blocks: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """((block, part, c, radius) of the parts, the centre and the radius of the ball of each block).
 
-    ``members``: part, vec; ``parts``: part, head, centre, least (cosine of a member to the centre).
+    Blocks are runs of cells, so of neighbours in the tree; parts are counted by cell, never gathered.
     """
-    angle = float(np.arccos(threshold))
-    blocks = max(1, -(-parts.count() // block))
 
     def halved(batches):
         for batch in batches:
-            c = matrix(batch.column(2), dim).astype("<f2")
-            radius = np.arccos(np.clip(batch.column(3).to_numpy(), -1, 1)) + SLACK
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.tobytes() for v in c], pa.binary()), pa.array(radius)], ["part", "head", "c", "radius"])
+            c = matrix(batch.column(1), dim).astype("<f2")
+            radius = np.arccos(np.clip(batch.column(2).to_numpy(), -1, 1)) + SLACK
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in c], pa.binary()), pa.array(radius)], ["part", "c", "radius"])
+
+    cell = F.floor(F.col("part") / PLACES)
+    cells = parts.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    before, total = F.sum("n").over(W.orderBy("cell")) - F.col("n"), F.sum("n").over(W.partitionBy())
+    cells = materialize(cells.select("cell", F.least(F.floor(before * blocks / total), F.lit(blocks - 1)).cast("int").alias("block")), "cells")  # a row a cell
+    sent = parts.select("part", "centre", "least").mapInArrow(halved, "part long, c binary, radius double").withColumn("cell", cell)
+    sent = materialize(sent.join(small(cells), "cell").select("block", "part", "c", "radius"), "blocks")
+
+    def folded(start, step):
+        """Per block, what ``step`` makes of its centres and radii; tasks send one row a block."""
+
+        def run(batches):
+            held: dict[int, np.ndarray] = {}
+            for batch in batches:
+                block, c, r = batch.column(0).to_numpy(), unpack(batch.column(1), dim), batch.column(2).to_numpy()
+                for k in np.unique(block):
+                    held[k] = step(held.get(k, start), c[block == k], r[block == k], k)
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.astype("<f8").tobytes() for v in held.values()], pa.binary())], ["block", "v"])
+
+        return [(r["block"], np.frombuffer(r["v"], "<f8")) for r in sent.select("block", "c", "radius").mapInArrow(run, "block int, v binary").collect()]
 
-    def whole(column, kind="<f2"):
-        return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim).astype(np.float32)
+    centre, reach = np.zeros((blocks, dim)), np.zeros(blocks)
+    for k, v in folded(np.zeros(dim), lambda s, c, r, k: s + c.sum(0, dtype=np.float64)):
+        centre[k] += v
+    centre = unit(centre)
+    for k, v in folded(np.zeros(1), lambda s, c, r, k: np.maximum(s, (np.arccos(np.clip(unit(c) @ centre[k], -1, 1)) + r).max())):
+        reach[k] = max(reach[k], v[0])
+    return sent, centre, reach
+
+
+def unpack(column, dim: int, kind: str = "<f2") -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim).astype(np.float32)
+
+
+def exact_links(members: DataFrame, parts: DataFrame, dim: int, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): all pairs of parts with members that reach the threshold.
+
+    ``members``: part, vec; ``parts``: part, centre, least (cosine of a member to the centre).
+    """
+    angle, n = float(np.arccos(threshold)), parts.count()
+    # enough pairs of blocks for all tasks, but no more copies of a part than that; blocks of bounded size, and not too many
+    enough = 2 + int(np.ceil(np.sqrt(8 * members.sparkSession.sparkContext.defaultParallelism)))
+    blocks = max(1, min(-(-n // block), max(enough, -(-n // LARGE_BLOCK)), MAX_BLOCKS))
+    sent, centre, reach = block_balls(parts, dim, blocks)
+    apart = np.arccos(np.clip(centre @ centre.T, -1, 1)) > reach[:, None] + reach[None, :] + angle + SLACK
+    meets = members.sparkSession.createDataFrame([(i, [j for j in range(blocks) if not apart[i, j] or i == j]) for i in range(blocks)], "block int, js array<int>")
 
     def met(key, group):
         i, j = divmod(key[0].as_py(), blocks)
-        part, head, own, radius = (group.column(c).to_numpy() for c in ("part", "head", "i", "radius"))
-        c = whole(group.column("c"))
+        part, own, radius = (group.column(c).to_numpy() for c in ("part", "block", "radius"))
+        c = unpack(group.column("c"), dim)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         p, q = open_pairs(c[left], c[right], radius[left], radius[right], angle)
         p, q = left[p], right[q]
-        keep = (head[p] != head[q]) & ((part[p] < part[q]) | (i != j))
+        keep = (part[p] < part[q]) | ((i != j) & (part[p] != part[q]))
         p, q = np.concatenate([p[keep], q[keep]]), np.concatenate([q[keep], p[keep]])
-        return pa.table({"cell": pa.array(part[p] // 1_000_000, pa.int64()), "p": pa.array(part[p], pa.int64()), "q": pa.array(part[q], pa.int64()), "c": group.column("c").combine_chunks().take(pa.array(q)), "radius": pa.array(radius[q])})
+        return pa.table({"cell": pa.array(part[p] // PLACES, pa.int64()), "p": pa.array(part[p], pa.int64()), "q": pa.array(part[q], pa.int64()), "c": group.column("c").combine_chunks().take(pa.array(q)), "radius": pa.array(radius[q])})
 
-    sent = parts.select("part", "head", "centre", "least").mapInArrow(halved, "part long, head long, c binary, radius double")
-    sent = sent.withColumn("i", F.pmod(F.xxhash64("part"), F.lit(blocks))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    sent = sent.withColumn("pair", F.least("i", "j") * blocks + F.greatest("i", "j"))
-    pairs = sent.drop("j").groupBy("pair").applyInArrow(met, "cell long, p long, q long, c binary, radius double")
+    pair = F.least("block", "j") * blocks + F.greatest("block", "j")
+    asked = sent.join(F.broadcast(meets), "block").withColumn("j", F.explode("js")).select("block", "part", "c", "radius", pair.alias("pair"))  # a row a block, at most MAX_BLOCKS
+    pairs = asked.groupBy("pair").applyInArrow(met, "cell long, p long, q long, c binary, radius double")
 
     def reaching(rows, wanted):
         out = {"a": [], "b": [], "low": [], "vec": []}
@@ -349,7 +420,7 @@ def exact_links(members: DataFrame, parts: DataFrame, dim: int, threshold: float
         p, q = wanted.column("p").to_numpy(), wanted.column("q").to_numpy()
         by = np.argsort(p, kind="stable")
         if wanted.num_rows:
-            x, c = whole(vec, "<f4"), whole(wanted.column("c"))
+            x, c = unpack(vec, dim, "<f4"), unpack(wanted.column("c"), dim)
             least = np.cos(np.minimum(wanted.column("radius").to_numpy() + angle, np.pi)) - 1e-6
             cuts = np.flatnonzero(np.r_[True, np.diff(p[by]) != 0, True])
             for s, e in zip(cuts[:-1], cuts[1:]):
@@ -366,12 +437,12 @@ def exact_links(members: DataFrame, parts: DataFrame, dim: int, threshold: float
         vecs = vec.take(pa.array(flat["vec"])) if wanted.num_rows else pa.array([], pa.binary())
         return pa.table({"a": pa.array(flat["a"], pa.int64()), "b": pa.array(flat["b"], pa.int64()), "low": pa.array(flat["low"].astype(bool)), "vec": vecs})
 
-    rows = members.select((F.col("part") / 1_000_000).cast("long").alias("cell"), "part", "vec")
+    rows = members.select(F.floor(F.col("part") / PLACES).alias("cell"), "part", "vec")
     left = rows.groupBy("cell").cogroup(pairs.groupBy("cell")).applyInArrow(reaching, "a long, b long, low boolean, vec binary")
 
     def joined(key, group):
         low = group.column("low").to_numpy()
-        x = whole(group.column("vec"), "<f4")
+        x = unpack(group.column("vec"), dim, "<f4")
         hit = touch(x[low], x[~low], threshold)
         return pa.table({"a": pa.array([key[0].as_py()][:hit], pa.int64()), "b": pa.array([key[1].as_py()][:hit], pa.int64())})
 
@@ -380,12 +451,12 @@ def exact_links(members: DataFrame, parts: DataFrame, dim: int, threshold: float
     return materialize(reached.join(both, ["a", "b"]).groupBy("a", "b").applyInArrow(joined, "a long, b long"), "exact")
 
 
-PART = "part long, centre binary, typical binary, first_id string, n long, least double, member string, vec binary, cosine double"
+PART = "part long, centre binary, first_id string, n long, least double, member string, vec binary, cosine double"
 
 
 def cluster(
     cluster_nodes: DataFrame, dim: int = DIM, threshold: float = THRESHOLD, node_rows: int = NODE_ROWS, leaf_rows: int = LEAF_ROWS,
-    max_nodes: int = MAX_NODES, margin: float = MARGIN,
+    max_nodes: int = MAX_NODES,
 ) -> tuple[DataFrame, DataFrame]:
     """(members: id, cluster, its size and parts, cosine to the centre of the member's part, vec; the unusable ids, each alone).
 
@@ -393,21 +464,8 @@ def cluster(
     """
     all_rows = materialize(latest_vectors(cluster_nodes, dim).withColumn("h", F.xxhash64("id")), "vectors")
     vectors = all_rows.where(F.col("vec").isNotNull())
-    tree, sizes = grow(vectors, dim, threshold, node_rows, max_nodes)
     limit = compactness(threshold)
 
-    def routed(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x, h = matrix(batch.column(2), dim), batch.column(1).to_numpy()
-            rows, leaves = tree.route(x)
-            node = np.empty(len(x), np.int64)
-            node[rows] = leaves
-            deals = np.array([max(1, -(-sizes.get(k, 1) // node_rows)) for k in range(len(tree.kids))])
-            cell = node * 1_000_000 + (h % 1_000_003) % deals[node]
-            yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column(0), batch.column(2)], ["cell", "id", "vec"])
-
     def parts_of_cell(key, group):
         group = group.combine_chunks()
         x = matrix(group.column("vec").chunk(0), dim)
@@ -434,47 +492,23 @@ def cluster(
         cos = np.einsum("ij,ij->i", x, centre[code])
         best = np.lexsort((np.arange(len(x)), -cos, code))
         typical = x[best[np.searchsorted(code[best], np.arange(len(kept)))]]
-        part = key[0].as_py() * 1_000_000 + code
+        part = key[0].as_py() * PLACES + code
         first = np.zeros(len(x), bool)
         first[best[np.searchsorted(code[best], np.arange(len(kept)))]] = True
         size, least = np.bincount(code), np.ones(len(kept))
         np.minimum.at(least, code, cos)
         low = np.full(len(kept), len(x))
         np.minimum.at(low, code, np.arange(len(x)))
-        pick = [pa.array([v if f else None for v, f in zip(col, first)], kind) for col, kind in (
-            ([c.tobytes() for c in centre[code]], pa.binary()), ([c.tobytes() for c in typical[code]], pa.binary()),
-            (ids[low][code], pa.string()), (size[code], pa.int64()), (least[code], pa.float64()))]
-        names = ["part", "centre", "typical", "first_id", "n", "least", "member", "vec", "cosine"]
+        at = pa.array(np.where(first, code, -1))
+        at = pc.if_else(pc.equal(at, -1), pa.scalar(None, pa.int64()), at)
+        pick = [col.take(at) for col in (pack(centre), pa.array(ids[low], pa.string()), pa.array(size, pa.int64()), pa.array(least, pa.float64()))]  # only at a part's first row
+        names = ["part", "centre", "first_id", "n", "least", "member", "vec", "cosine"]
         return pa.table([pa.array(part, pa.int64()), *pick, pa.array(ids, pa.string()), pack(x), pa.array(cos.astype(float))], names=names)
 
-    cells = vectors.select("id", "h", "vec").mapInArrow(routed, "cell long, id string, vec binary")
+    cells, _ = cells_of(vectors, dim, threshold, node_rows, max_nodes)
     members = materialize(cells.groupBy("cell").applyInArrow(parts_of_cell, PART), "members")
-    parts = members.where("n IS NOT NULL").select("part", "centre", "typical", "first_id", "n", "least")
-
-    def spread(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            rows, leaves = tree.route(matrix(batch.column(1), dim), margin)
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(leaves.astype(np.int64)), batch.column(0).take(take), batch.column(2).take(take)], ["cell", "part", "typical"])
-
-    def linked(key, group):
-        group = group.combine_chunks()
-        part = group.column("part").to_numpy()
-        order = np.argsort(part)
-        part, x = part[order], matrix(group.column("typical").chunk(0), dim)[order]
-        head = link_parts(x, x, threshold)
-        other = head != np.arange(len(part))
-        return pa.table({"a": pa.array(part[head[other]], pa.int64()), "b": pa.array(part[other], pa.int64())})
-
-    near = parts.select("part", "centre", "typical").mapInArrow(spread, "cell long, part long, typical binary")
-    links = materialize(near.groupBy("cell").applyInArrow(linked, "a long, b long").distinct(), "links")
-    heads = close_links(links)
-    headed = parts.join(heads, F.col("part") == F.col("id"), "left").select("part", F.coalesce("head", "part").alias("head"), "centre", "least")
-    more = exact_links(members, materialize(headed, "headed"), dim, threshold)
-    if not more.isEmpty():
-        heads = close_links(links.unionByName(more))
+    parts = materialize(members.where("n IS NOT NULL").select("part", "centre", "first_id", "n", "least"), "parts")
+    heads = close_links(exact_links(members, parts, dim, threshold))
     whole = parts.join(heads, F.col("part") == F.col("id"), "left").select("part", "first_id", "n", F.coalesce("head", "part").alias("head"))
     named = whole.groupBy("head").agg(F.min("first_id").alias("cluster"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"))
     lookup = materialize(whole.join(named, "head").select("part", "cluster", "size", "parts"), "lookup")

@@ -40,9 +40,8 @@ def test_equals_brute_force_over_many_nodes_with_a_hot_cluster(spark):
     x = blobs(rng, 900, 16, 90, hot=300)
     ids = [f"d-{i:04d}" for i in rng.permutation(900)]
     rows = [(f"n{k}", ids[k : k + 45], x[k : k + 45].tolist(), T1) for k in range(0, 900, 45)]
-    got = {(r[0], r[1]) for r in C.found_pairs(frame(spark, rows), dim=16, node_rows=120, leaf_rows=16, margin=0.2).collect()}
-    want = brute(ids, x.astype(float), 0.75)
-    assert len(want & got) >= 0.99 * len(want) and not got - want
+    got = {(r[0], r[1]) for r in C.found_pairs(frame(spark, rows), dim=16, node_rows=120, leaf_rows=16).collect()}
+    assert got == brute(ids, x.astype(float), 0.75)
 
 
 def arcs(rng, dim, families, n, degrees):
@@ -52,7 +51,7 @@ def arcs(rng, dim, families, n, degrees):
     return np.vstack([np.outer(np.cos(a), axes[2 * k]) + np.outer(np.sin(a), axes[2 * k + 1]) for k in range(families)]).astype(np.float32)
 
 
-@pytest.mark.parametrize("options", [{}, {"node_rows": 150, "leaf_rows": 16}])
+@pytest.mark.parametrize("options", [{}, {"node_rows": 150, "leaf_rows": 16}, {"node_rows": 40, "leaf_rows": 16, "max_nodes": 5}])
 def test_elongated_clusters_are_whole_across_cuts(spark, options):
     rng = np.random.default_rng(5)
     x = np.vstack([arcs(rng, 16, 4, 350, 85), blobs(rng, 200, 16, 40)])
@@ -120,8 +119,46 @@ def test_driver_side_is_bounded(spark):
     from pyspark.sql import functions as F
 
     vectors = C.latest_vectors(df, 8).withColumn("h", F.xxhash64("id"))
-    tree, sizes = C.grow(vectors, 8, 0.75, 10, 15)
-    assert len(tree.kids) <= 15 and sum(sizes.values()) == 400
+    tree, sizes, full = C.grow(vectors, 8, 0.75, 10, 15)
+    assert len(tree.kids) <= 15 and sum(sizes.values()) == 400 and full
+    cells, after = C.cells_of(vectors, 8, 0.75, 10, 15)
+    counts = [r["count"] for r in cells.groupBy("cell").count().collect()]
+    assert sum(counts) == 400 and max(counts) <= 10 and after > 40
+
+
+def chains(rng, n, length, cosine, dim=64):
+    """Chains of unit vectors whose neighbours have the given cosine."""
+    out = []
+    for _ in range(n):
+        v = C.unit(rng.normal(size=dim))
+        for _ in range(length):
+            out.append(v)
+            side = rng.normal(size=dim)
+            v = cosine * v + np.sqrt(1 - cosine**2) * C.unit(side - (side @ v) * v)
+    return np.array(out, np.float32)
+
+
+@pytest.mark.parametrize("options", [{}, {"node_rows": 500}])
+def test_chains_are_whole(spark, options):
+    rng = np.random.default_rng(11)
+    x = chains(rng, 20, 80, 0.85)
+    ids = [f"d-{i:05d}" for i in rng.permutation(len(x))]
+    rows = [(f"n{k}", ids[k : k + 100], x[k : k + 100].tolist(), T1) for k in range(0, len(x), 100)]
+    got = {(r[0], r[1]) for r in C.found_pairs(frame(spark, rows), **options).collect()}
+    assert got == brute(ids, x.astype(float), 0.75)
+
+
+def test_blocks_proven_apart_do_not_meet(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    axes = np.linalg.qr(rng.normal(size=(8, 8)))[0]
+    x = np.vstack([C.unit(axes[k] + rng.normal(scale=0.05, size=(60, 8))) for k in (0, 1)]).astype(np.float32)
+    parts = spark.createDataFrame([(int(i // 60) * C.PLACES + i % 60, v.astype("<f4").tobytes(), 1.0) for i, v in enumerate(x)], "part long, centre binary, least double")
+    _, centre, reach = C.block_balls(parts, 8, 2)
+    assert np.arccos(centre[0] @ centre[1]) > reach.sum() + np.arccos(0.75)
+    members = parts.select("part", parts.centre.alias("vec"))
+    links = {(r["a"], r["b"]) for r in C.exact_links(members, parts, 8, 0.75, block=60).collect()}
+    near = x @ x.T >= 0.75
+    assert links == {(int(i // 60) * C.PLACES + i % 60, int(j // 60) * C.PLACES + j % 60) for i, j in np.argwhere(near) if i < j}
 
 
 @pytest.mark.parametrize("n", [0, 1, 7])
