@@ -290,24 +290,25 @@ def components(x: np.ndarray, threshold: float, block: int = 2048) -> np.ndarray
         label = new
 
 
-def link_parts(centre: np.ndarray, typical: np.ndarray, threshold: float, block: int = 1024) -> np.ndarray:
+def link_parts(typical: np.ndarray, threshold: float, block: int = 1024) -> np.ndarray:
     """Component labels of parts: linked if their typical members reach the threshold."""
-    n = len(centre)
-    head = np.arange(n)
-    src, dst = [], []
-    for a in range(0, n, block):
+    src, dst = [np.zeros(0, int)], [np.zeros(0, int)]
+    for a in range(0, len(typical), block):
         i, j = np.nonzero(typical[a : a + block] @ typical[a:].T >= threshold)
         keep = i < j
         src.append(i[keep] + a)
         dst.append(j[keep] + a)
-    src, dst = np.concatenate(src or [np.zeros(0, int)]), np.concatenate(dst or [np.zeros(0, int)])
+    return heads_of(len(typical), np.concatenate(src), np.concatenate(dst))
+
+
+def heads_of(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """The smallest number of the component of each of ``n`` under the links."""
+    head = np.arange(n)
     while len(src):
         low = np.minimum(head[src], head[dst])
         new = head.copy()
-        np.minimum.at(new, src, low)
-        np.minimum.at(new, dst, low)
-        np.minimum.at(new, head[src], low)
-        np.minimum.at(new, head[dst], low)
+        for at in (src, dst, head[src], head[dst]):
+            np.minimum.at(new, at, low)
         new = new[new]
         if (new == head).all():
             break
@@ -339,7 +340,7 @@ def touch(x: np.ndarray, y: np.ndarray, threshold: float, strip: int = 1024) ->
 
 
 def block_balls(parts: DataFrame, dim: int, blocks: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """((block, part, c, radius) of the parts, the centre and the radius of the ball of each block).
+    """((block, part, c, radius, near) of the parts, the centre and the radius of the ball of each block).
 
     Blocks are runs of cells, so of neighbours in the tree; parts are counted by cell, never gathered.
     """
@@ -348,14 +349,15 @@ def block_balls(parts: DataFrame, dim: int, blocks: int) -> tuple[DataFrame, np.
         for batch in batches:
             c = matrix(batch.column(1), dim).astype("<f2")
             radius = np.arccos(np.clip(batch.column(2).to_numpy(), -1, 1)) + SLACK
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in c], pa.binary()), pa.array(radius)], ["part", "c", "radius"])
+            near = np.arccos(np.clip(batch.column(3).to_numpy(), -1, 1)) + SLACK
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in c], pa.binary()), pa.array(radius), pa.array(near)], ["part", "c", "radius", "near"])
 
     cell = F.floor(F.col("part") / PLACES)
     cells = parts.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     before, total = F.sum("n").over(W.orderBy("cell")) - F.col("n"), F.sum("n").over(W.partitionBy())
     cells = materialize(cells.select("cell", F.least(F.floor(before * blocks / total), F.lit(blocks - 1)).cast("int").alias("block")), "cells")  # a row a cell
-    sent = parts.select("part", "centre", "least").mapInArrow(halved, "part long, c binary, radius double").withColumn("cell", cell)
-    sent = materialize(sent.join(small(cells), "cell").select("block", "part", "c", "radius"), "blocks")
+    sent = parts.select("part", "centre", "least", "most").mapInArrow(halved, "part long, c binary, radius double, near double").withColumn("cell", cell)
+    sent = materialize(sent.join(small(cells), "cell").select("block", "part", "c", "radius", "near"), "blocks")
 
     def folded(start, step):
         """Per block, what ``step`` makes of its centres and radii; tasks send one row a block."""
@@ -386,7 +388,9 @@ def unpack(column, dim: int, kind: str = "<f2") -> np.ndarray:
 def exact_links(members: DataFrame, parts: DataFrame, dim: int, threshold: float, block: int = BLOCK) -> DataFrame:
     """(a, b): all pairs of parts with members that reach the threshold.
 
-    ``members``: part, vec; ``parts``: part, centre, least (cosine of a member to the centre).
+    ``members``: part, vec; ``parts``: part, centre, least and most (cosine of a member to the centre). A pair is linked
+    without its members where the centres are near enough for the most typical ones, or by one side's members where
+    one of them is near enough for the other's most typical one; only of the rest members are brought together.
     """
     angle, n = float(np.arccos(threshold)), parts.count()
     # enough pairs of blocks for all tasks, but no more copies of a part than that; blocks of bounded size, and not too many
@@ -398,44 +402,54 @@ def exact_links(members: DataFrame, parts: DataFrame, dim: int, threshold: float
 
     def met(key, group):
         i, j = divmod(key[0].as_py(), blocks)
-        part, own, radius = (group.column(c).to_numpy() for c in ("part", "block", "radius"))
+        part, own, radius, near = (group.column(c).to_numpy() for c in ("part", "block", "radius", "near"))
         c = unpack(group.column("c"), dim)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         p, q = open_pairs(c[left], c[right], radius[left], radius[right], angle)
         p, q = left[p], right[q]
         keep = (part[p] < part[q]) | ((i != j) & (part[p] != part[q]))
-        p, q = np.concatenate([p[keep], q[keep]]), np.concatenate([q[keep], p[keep]])
-        return pa.table({"cell": pa.array(part[p] // PLACES, pa.int64()), "p": pa.array(part[p], pa.int64()), "q": pa.array(part[q], pa.int64()), "c": group.column("c").combine_chunks().take(pa.array(q)), "radius": pa.array(radius[q])})
+        p, q = p[keep], q[keep]
+        sure = near[p] + near[q]
+        sure = (np.einsum("ij,ij->i", unit(c[p]), unit(c[q])) >= np.cos(np.minimum(angle - sure, np.pi))) & (sure < angle)
+        head = heads_of(len(part), p[sure], q[sure])
+        linked, keep = np.flatnonzero(head != np.arange(len(part))), head[p] != head[q]
+        p, q = np.concatenate([p[keep], q[keep], head[linked]]), np.concatenate([q[keep], p[keep], linked])
+        told = group.column("c").combine_chunks().take(pa.array(np.r_[q[: len(q) - len(linked)], np.full(len(linked), -1)], mask=np.arange(len(q)) >= len(q) - len(linked)))
+        columns = [part[p] // PLACES, part[p], part[q], told, radius[q], near[q]]
+        return pa.table([pa.array(v) for v in columns], names=["cell", "p", "q", "c", "radius", "near"])
 
     pair = F.least("block", "j") * blocks + F.greatest("block", "j")
-    asked = sent.join(F.broadcast(meets), "block").withColumn("j", F.explode("js")).select("block", "part", "c", "radius", pair.alias("pair"))  # a row a block, at most MAX_BLOCKS
-    pairs = asked.groupBy("pair").applyInArrow(met, "cell long, p long, q long, c binary, radius double")
+    asked = sent.join(F.broadcast(meets), "block").withColumn("j", F.explode("js")).select("block", "part", "c", "radius", "near", pair.alias("pair"))  # a row a block, at most MAX_BLOCKS
+    pairs = asked.groupBy("pair").applyInArrow(met, "cell long, p long, q long, c binary, radius double, near double")
 
     def reaching(rows, wanted):
-        out = {"a": [], "b": [], "low": [], "vec": []}
+        sure = wanted.filter(pc.is_null(wanted.column("c")))
+        wanted = wanted.filter(pc.is_valid(wanted.column("c")))
+        a, b = sure.column("p").to_numpy(), sure.column("q").to_numpy()
+        found = [(np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), bool), np.full(len(a), -1))]
         part = rows.column("part").to_numpy()
         order = np.argsort(part, kind="stable")
         part = part[order]
-        vec = rows.column("vec").combine_chunks().take(pa.array(order)) if wanted.num_rows else None
-        p, q = wanted.column("p").to_numpy(), wanted.column("q").to_numpy()
-        by = np.argsort(p, kind="stable")
+        vec = rows.column("vec").combine_chunks().take(pa.array(order)) if wanted.num_rows else pa.array([], pa.binary())
         if wanted.num_rows:
+            p, q, near = (wanted.column(k).to_numpy() for k in ("p", "q", "near"))
+            by = np.argsort(p, kind="stable")
             x, c = unpack(vec, dim, "<f4"), unpack(wanted.column("c"), dim)
             least = np.cos(np.minimum(wanted.column("radius").to_numpy() + angle, np.pi)) - 1e-6
+            enough = np.where(near < angle, np.cos(np.clip(angle - near, 0, np.pi)), 2)
             cuts = np.flatnonzero(np.r_[True, np.diff(p[by]) != 0, True])
             for s, e in zip(cuts[:-1], cuts[1:]):
-                mine = by[s:e]
-                lo, hi = np.searchsorted(part, [p[mine[0]], p[mine[0]] + 1])
-                for at in range(0, len(mine), 1024):
-                    some = mine[at : at + 1024]
-                    i, j = np.nonzero(x[lo:hi] @ c[some].T >= least[some])
-                    out["a"].append(np.minimum(p[some[j]], q[some[j]]))
-                    out["b"].append(np.maximum(p[some[j]], q[some[j]]))
-                    out["low"].append(p[some[j]] < q[some[j]])
-                    out["vec"].append(lo + i)
-        flat = {k: np.concatenate(v) if v else np.zeros(0, int) for k, v in out.items()}
-        vecs = vec.take(pa.array(flat["vec"])) if wanted.num_rows else pa.array([], pa.binary())
-        return pa.table({"a": pa.array(flat["a"], pa.int64()), "b": pa.array(flat["b"], pa.int64()), "low": pa.array(flat["low"].astype(bool)), "vec": vecs})
+                lo, hi = np.searchsorted(part, [p[by[s]], p[by[s]] + 1])
+                for at in range(s, e, 1024):
+                    some = by[at : min(at + 1024, e)]
+                    cos = x[lo:hi] @ unit(c[some]).T
+                    sure = (cos >= enough[some]).any(axis=0)
+                    i, j = np.nonzero((cos >= least[some]) & ~sure)
+                    for k, members, told in ((some[sure], np.full(int(sure.sum()), -1), False), (some[j], lo + i, True)):
+                        found.append((np.minimum(p[k], q[k]), np.maximum(p[k], q[k]), (p[k] < q[k]) & told, members))
+        a, b, low, at = (np.concatenate(f) for f in zip(*found))
+        vecs = vec.take(pa.array(at, mask=at < 0)) if len(vec) else pa.nulls(len(at), pa.binary())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "low": pa.array(low), "vec": vecs})
 
     rows = members.select(F.floor(F.col("part") / PLACES).alias("cell"), "part", "vec")
     left = rows.groupBy("cell").cogroup(pairs.groupBy("cell")).applyInArrow(reaching, "a long, b long, low boolean, vec binary")
@@ -447,11 +461,13 @@ def exact_links(members: DataFrame, parts: DataFrame, dim: int, threshold: float
         return pa.table({"a": pa.array([key[0].as_py()][:hit], pa.int64()), "b": pa.array([key[1].as_py()][:hit], pa.int64())})
 
     reached = materialize(left, "reached")
-    both = reached.groupBy("a", "b").agg(F.bool_or("low").alias("l"), F.bool_and("low").alias("h")).where("l AND NOT h").select("a", "b")
-    return materialize(reached.join(both, ["a", "b"]).groupBy("a", "b").applyInArrow(joined, "a long, b long"), "exact")
+    sure = reached.where("vec IS NULL").select("a", "b").distinct()
+    told = reached.where("vec IS NOT NULL")
+    both = told.groupBy("a", "b").agg(F.bool_or("low").alias("l"), F.bool_and("low").alias("h")).where("l AND NOT h").select("a", "b").join(sure, ["a", "b"], "left_anti")
+    return sure.unionByName(told.join(both, ["a", "b"]).groupBy("a", "b").applyInArrow(joined, "a long, b long"))
 
 
-PART = "part long, centre binary, first_id string, n long, least double, member string, vec binary, cosine double"
+PART = "part long, centre binary, first_id string, n long, least double, most double, member string, vec binary, cosine double"
 
 
 def cluster(
@@ -483,7 +499,7 @@ def cluster(
         cos = np.einsum("ij,ij->i", x, centre[code])
         best = np.lexsort((np.arange(len(x)), -cos, code))
         typical = x[best[np.searchsorted(code[best], np.arange(len(starts)))]]
-        head = link_parts(centre, typical, threshold)  # parts that a split inside this task cut
+        head = link_parts(typical, threshold)  # parts that a split inside this task cut
         code = head[code]
         kept, code = np.unique(code, return_inverse=True)
         total = np.zeros((len(kept), dim))
@@ -497,17 +513,19 @@ def cluster(
         first[best[np.searchsorted(code[best], np.arange(len(kept)))]] = True
         size, least = np.bincount(code), np.ones(len(kept))
         np.minimum.at(least, code, cos)
+        most = np.full(len(kept), -1.0)
+        np.maximum.at(most, code, cos)
         low = np.full(len(kept), len(x))
         np.minimum.at(low, code, np.arange(len(x)))
         at = pa.array(np.where(first, code, -1))
         at = pc.if_else(pc.equal(at, -1), pa.scalar(None, pa.int64()), at)
-        pick = [col.take(at) for col in (pack(centre), pa.array(ids[low], pa.string()), pa.array(size, pa.int64()), pa.array(least, pa.float64()))]  # only at a part's first row
-        names = ["part", "centre", "first_id", "n", "least", "member", "vec", "cosine"]
+        pick = [col.take(at) for col in (pack(centre), pa.array(ids[low], pa.string()), pa.array(size, pa.int64()), pa.array(least, pa.float64()), pa.array(most, pa.float64()))]  # only at a part's first row
+        names = ["part", "centre", "first_id", "n", "least", "most", "member", "vec", "cosine"]
         return pa.table([pa.array(part, pa.int64()), *pick, pa.array(ids, pa.string()), pack(x), pa.array(cos.astype(float))], names=names)
 
     cells, _ = cells_of(vectors, dim, threshold, node_rows, max_nodes)
     members = materialize(cells.groupBy("cell").applyInArrow(parts_of_cell, PART), "members")
-    parts = materialize(members.where("n IS NOT NULL").select("part", "centre", "first_id", "n", "least"), "parts")
+    parts = materialize(members.where("n IS NOT NULL").select("part", "centre", "first_id", "n", "least", "most"), "parts")
     heads = close_links(exact_links(members, parts, dim, threshold))
     whole = parts.join(heads, F.col("part") == F.col("id"), "left").select("part", "first_id", "n", F.coalesce("head", "part").alias("head"))
     named = whole.groupBy("head").agg(F.min("first_id").alias("cluster"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"))
