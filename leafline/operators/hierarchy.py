@@ -12,7 +12,7 @@ node without any parent link is a root. The depth of a node is the smallest numb
    from a root hangs on its smallest parent, or on none if it is on a cycle.
 3. *Heavy paths.* Subtree sizes come from the same jumps that find each node's root. The largest child of a node (of
    several the smallest id) continues its chain, so every node has a chain and a place in it, and no chain lies
-   under more than log2(n) others. ``above`` lists these with the place where the chain hangs.
+   under more than log2(n) others.
 4. *Answers from labels.* A node's depth is its place plus the depth of its chain's head; its path is the chain
    segments above it, then its own; its descendants are intervals: the rest of its own chain and whole chains that
    hang at or below its place. Links that are not in the forest (further parents, links on cycles) are closed over
@@ -79,19 +79,17 @@ def _onward(state: DataFrame, *rest: str) -> DataFrame:
 
 def jump(start: DataFrame, keep: bool = False) -> tuple[DataFrame, list[DataFrame]]:
     """Pointer jumping over (id, up, steps, done); done rows point at their end. Returns the last state and the states before."""
-    state, before = _state(start), []
+    state, before, was = start, [], None
     for _ in range(MAX_ROUNDS):
-        was = seen_value(state, "open")
-        if was == 0:
-            return state, before
         after = _state(_onward(state))
         if keep:
             before.append(state)
         else:
             drop_table(state)
         state = after
-        if seen_value(state, "open") == was:  # chain lengths have no holes: nothing ends in the next round either
+        if seen_value(state, "open") in (0, was):  # chain lengths have no holes: if nothing ended, nothing does in the next round either
             return state, before
+        was = seen_value(state, "open")
     raise ValueError(f"chains of more than 3**{MAX_ROUNDS} links")
 
 
@@ -145,7 +143,9 @@ def _spread(seed: DataFrame, edges: DataFrame) -> DataFrame:
     known = front = seed
     while True:
         colors = known.groupBy("id").agg(F.max("color").alias("color"))
-        sent = front.join(edges.withColumnRenamed("src", "id"), "id").groupBy(F.col("dst").alias("id")).agg(F.max("color").alias("new"))
+        hop = lambda df: df.join(edges.withColumnRenamed("src", "id"), "id").select(F.col("dst").alias("id"), "color")
+        one = hop(front)
+        sent = one.unionByName(hop(one.distinct())).groupBy("id").agg(F.max("color").alias("new"))
         better = sent.join(colors, "id", "left").where(F.col("color").isNull() | (F.col("new") > F.col("color"))).select("id", F.col("new").alias("color"))
         front = _count(better, "front")
         if not seen_value(front, "n"):
@@ -175,15 +175,14 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 
 class Labels(NamedTuple):
-    """``rows`` (id, level); ``found`` (parent, child); ``tree`` (id, parent, root, size, chain, pos, reached, in_cycle); ``above`` (chain, over, at, gap).
+    """``rows`` (id, level); ``found`` (parent, child); ``tree`` (id, parent, root, links, size, chain, pos, reached, in_cycle).
 
-    ``gap`` is the number of links from place ``at`` of chain ``over`` to the head of ``chain``.
+    ``links`` counts those from the root of the forest.
     """
 
     rows: DataFrame
     found: DataFrame
     tree: DataFrame
-    above: DataFrame
 
 
 def separate(found: DataFrame, rows: DataFrame) -> DataFrame:
@@ -204,10 +203,11 @@ def separate(found: DataFrame, rows: DataFrame) -> DataFrame:
     inside = inner.join(scc.select(F.col("id").alias("src"), F.col("component").alias("c1")), "src").join(
         scc.select(F.col("id").alias("dst"), F.col("component").alias("c2")), "dst"
     )
-    inside = _count(inside.where("c1 = c2"), "inside")
+    inside = materialize(inside.where("c1 = c2"), "inside", n=F.count(F.lit(1)), far=F.max("weight"))
     if seen_value(inside, "n"):
         on = inside.select(F.col("parent").alias("id")).distinct()
-        for step in [*before, state] * 2:  # jumps of 1, 3, 9 ... links, each twice, mark every node between a parent and its anchor
+        near = [step for k, step in enumerate([*before, state]) if 3**k <= seen_value(inside, "far")]
+        for step in near * 2:  # jumps of 1, 3, 9 ... links, each twice, mark every node between a parent and its anchor
             on = on.join(step.select("id", "up"), "id").select(F.explode(F.array("id", "up")).alias("id")).distinct()
         on = materialize(on, "on")
         cycles = cycles.unionByName(on.unionByName(inside.select(F.col("dst").alias("id")))).distinct()
@@ -227,10 +227,10 @@ def separate(found: DataFrame, rows: DataFrame) -> DataFrame:
     return facts
 
 
-def heavy_paths(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``tree`` and ``above`` of :class:`Labels`."""
-    state, k = _state(ends_at(facts.select("id", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size")))), 0
-    while (seen_value(state, "far") or 0) >= 3**k:
+def heavy_paths(facts: DataFrame) -> DataFrame:
+    """``tree`` of :class:`Labels`."""
+    state, k = ends_at(facts.select("id", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size"))), 0
+    while k == 0 or (seen_value(state, "far") or 0) >= 3**k:
         # rows at exactly 3**k links, and at twice that, add what lies less than 3**k links below them to the ends of their jumps
         exact = state.where(F.col("steps") == 3**k)
         next_jump = exact.select(F.col("id").alias("up"), F.col("up").alias("up2"))
@@ -240,7 +240,7 @@ def heavy_paths(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
         after, k = _state(grown), k + 1
         drop_table(state)
         state = after
-    sized = facts.join(state.select("id", F.col("up").alias("root"), "size"), "id")
+    sized = facts.join(state.select("id", F.col("up").alias("root"), F.col("steps").alias("links"), "size"), "id")
     heavy = (
         sized.where("parent IS NOT NULL")
         .groupBy("parent")
@@ -250,6 +250,11 @@ def heavy_paths(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     chains, _ = jump(ends_at(facts.select("id").join(heavy, "id", "left")))
     tree = materialize(sized.join(chains.select("id", F.col("up").alias("chain"), F.col("steps").alias("pos")), "id"), "tree")
     drop_table(chains)
+    return tree
+
+
+def chains_above(tree: DataFrame) -> DataFrame:
+    """(chain, over, at, gap): the chains that a chain hangs under, with the place where; ``gap`` is the number of links from there to its head."""
     heads = tree.where("pos = 0 AND parent IS NOT NULL").select("chain", F.col("parent").alias("id"))
     hang = _count(heads.join(tree.select("id", F.col("chain").alias("over"), F.col("pos").alias("at")), "id").select("chain", "over", "at", F.lit(1).cast("long").alias("gap")), "hang")
     above = front = hang
@@ -257,19 +262,18 @@ def heavy_paths(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
         up = hang.select(F.col("chain").alias("over"), F.col("over").alias("over2"), F.col("at").alias("at2"))
         front = _count(front.join(up, "over").select("chain", F.col("over2").alias("over"), F.col("at2").alias("at"), (F.col("gap") + F.col("at") + 1).alias("gap")), "hang")
         above = above.unionByName(front)
-    return tree, above
+    return above
 
 
 def label(nodes: DataFrame) -> Labels:
     rows, found = links(nodes)
-    return Labels(rows, found, *heavy_paths(separate(found, rows)))
+    return Labels(rows, found, heavy_paths(separate(found, rows)))
 
 
 def depths(labels: Labels) -> DataFrame:
     """(.. of the tree, depth): place in the chain plus the depth of the chain's head; null for nodes no root reaches."""
-    head = labels.above.groupBy("chain").agg(F.max(F.col("at") + F.col("gap")).alias("head"))
-    depth = F.when(F.col("reached"), F.col("pos") + F.coalesce("head", F.lit(0)))
-    return labels.tree.join(head, "chain", "left").withColumn("depth", depth).drop("head")
+    head = labels.tree.where("pos = 0").select("chain", F.col("links").alias("head"))
+    return labels.tree.join(head, "chain").withColumn("depth", F.when(F.col("reached"), F.col("head") + F.col("pos"))).drop("head", "links")
 
 
 def issues(nodes: DataFrame | None, labels: Labels | None = None) -> DataFrame:
@@ -280,13 +284,13 @@ def issues(nodes: DataFrame | None, labels: Labels | None = None) -> DataFrame:
     return told.select(F.explode(bad).alias("issue"), F.col("id").alias("node_id"))
 
 
-def intervals(labels: Labels) -> DataFrame:
+def intervals(labels: Labels, above: DataFrame) -> DataFrame:
     """(node, chain, first, offset): what lies below each node in the forest, as chains from place ``first`` on.
 
     A place is ``offset`` + place links below the node.
     """
     own = labels.tree.select(F.col("id").alias("node"), "chain", (F.col("pos") + 1).alias("first"), (-F.col("pos")).alias("offset"))
-    hung = labels.tree.select(F.col("id").alias("node"), F.col("chain").alias("over"), "pos").join(labels.above, "over").where("pos <= at")
+    hung = labels.tree.select(F.col("id").alias("node"), F.col("chain").alias("over"), "pos").join(above, "over").where("pos <= at")
     return own.unionByName(hung.select("node", "chain", F.lit(0).cast("long").alias("first"), (F.col("at") - F.col("pos") + F.col("gap")).alias("offset")))
 
 
@@ -300,19 +304,20 @@ def opened(spans: DataFrame, tree: DataFrame) -> DataFrame:
     return hit.select(F.col("node").alias("node_id"), "descendant_id", (F.col("offset") + F.col("pos")).alias("links"))
 
 
-def all_descendants(labels: Labels) -> DataFrame:
+def all_descendants(labels: Labels, above: DataFrame | None = None) -> DataFrame:
     """(node_id, descendant_id, links): one row for each node and each node it reaches over (parent, child) links.
 
     ``links`` is the smallest number of them, at least one; a node on a cycle is its own descendant.
     """
-    tree, spans = labels.tree, intervals(labels)
+    above = chains_above(labels.tree) if above is None else above
+    tree, spans = labels.tree, intervals(labels, above)
     extra = labels.found.join(tree.select(F.col("parent"), F.col("id").alias("child")), ["parent", "child"], "left_anti")
     extra = _count(extra.join(tree.select(F.col("id").alias("parent"), "chain", "pos"), "parent").select("parent", "chain", "pos", "child"), "extra")
     if not seen_value(extra, "n"):
         return opened(spans, tree)
     # every node at or above the source of an extra link reaches its target: along the source's chain and the chains above it
     own = extra.select("chain", F.col("pos").alias("at"), F.lit(0).cast("long").alias("gap"), "child")
-    over = extra.join(labels.above, "chain").select(F.col("over").alias("chain"), "at", (F.col("gap") + F.col("pos")).alias("gap"), "child")
+    over = extra.join(above, "chain").select(F.col("over").alias("chain"), "at", (F.col("gap") + F.col("pos")).alias("gap"), "child")
     base = tree.select("id", "chain", "pos").join(own.unionByName(over), "chain").where("pos <= at")
     base = base.groupBy(F.col("id").alias("node"), F.col("child").alias("target")).agg(F.min(F.col("at") - F.col("pos") + F.col("gap") + 1).alias("links"))
     base = materialize(base, "base")
@@ -345,11 +350,12 @@ def paths(labels: Labels) -> DataFrame:
     """
     chains = labels.tree.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("s"))
     chains = materialize(chains.select("chain", F.transform("s", lambda x: x["id"]).alias("ids")), "segments")
-    upper = labels.above.join(chains.withColumnRenamed("chain", "over"), "over")
+    above = chains_above(labels.tree)
+    upper = above.join(chains.withColumnRenamed("chain", "over"), "over")
     upper = upper.select("chain", F.struct((-F.col("gap")).alias("g"), F.slice("ids", F.lit(1), F.col("at").cast("int") + 1).alias("ids")).alias("s"))
     prefix = upper.groupBy("chain").agg(F.array_sort(F.collect_list("s")).alias("s")).select("chain", F.flatten(F.transform("s", lambda x: x["ids"])).alias("prefix"))
     whole = chains.join(prefix, "chain", "left").select("chain", F.coalesce("prefix", F.array().cast("array<string>")).alias("prefix"), "ids")
-    n = all_descendants(labels).groupBy(F.col("node_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    n = all_descendants(labels, above).groupBy(F.col("node_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     full = depths(labels).join(whole, "chain").join(labels.rows, "id").join(n, "id", "left")
     known = F.col("depth").isNotNull()
     return full.select(
