@@ -76,6 +76,24 @@ def routing_error(trace: DataFrame, gold: DataFrame, nodes: DataFrame, ancestors
     )
 
 
+def group_routing_error(trace: DataFrame, queries: DataFrame, members: DataFrame, nodes: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """As :func:`routing_error` where all other chunks of a query's group are gold: (query_id, label, self) and (chunk_id, label).
+
+    Nodes are counted by the labels below them, so no query meets the members of its group.
+    """
+    leaf = nodes.where("is_leaf").groupBy("chunk_id").agg(F.min("node_id").alias("node_id")).join(members.select("chunk_id", "label"), "chunk_id")
+    of_label = members.groupBy("label").agg(F.count(F.lit(1)).alias("all"))
+    under = ancestors.join(leaf, "node_id").groupBy(F.col("ancestor_id").alias("node_id"), F.col("ancestor_level").alias("level"), "label")
+    under = under.agg(F.count(F.lit(1)).alias("n"), F.min("chunk_id").alias("one"))
+    asked = queries.select("query_id", "label", "self").join(of_label.where(F.col("all") > 1).select("label"), "label")
+    judged = trace.select("query_id", "level", "node_id").join(asked, "query_id").join(under, ["node_id", "level", "label"], "left")
+    hit = F.coalesce((F.col("n") > 1) | ((F.col("n") == 1) & (F.col("one") != F.col("self"))), F.lit(False))
+    flags = judged.groupBy("query_id", "level").agg(F.max(hit.cast("int")).alias("ok"))
+    return flags.groupBy("level").agg(
+        F.count(F.lit(1)).alias("queries_evaluated"), F.sum("ok").alias("correct_branch_in_beam"), F.round(1 - F.sum("ok") / F.count(F.lit(1)), 6).alias("epsilon")
+    )
+
+
 def compound_recall(errors: DataFrame) -> DataFrame:
     """(levels, compound_recall): the product of 1 - epsilon over levels; 0 if any epsilon is 1."""
     keep = 1 - F.col("epsilon")
@@ -128,3 +146,35 @@ def gate(distinctiveness: DataFrame, errors: DataFrame, delta: DataFrame) -> Dat
     row = distinctiveness.crossJoin(level1).crossJoin(delta.select("ndcg_delta"))
     outcome = F.when(F.col("distinctiveness") < DISTINCT_LEAST, "killed: distinctiveness").when(F.col("ndcg_delta") < NDCG_DROP, "killed: ndcg").otherwise("passed")
     return row.select("distinctiveness", "epsilon_l1", "ndcg_delta", (F.col("epsilon_l1") > EPSILON_MOST).alias("epsilon_warning"), outcome.alias("outcome"))
+
+
+def score_spread(scores: DataFrame) -> DataFrame:
+    """(level, right, n, mean, least, most): the scores of right and wrong children of a trace, apart."""
+    return scores.groupBy("level", "right").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 5).alias("mean"), F.round(F.min("score"), 6).alias("least"), F.round(F.max("score"), 6).alias("most"))
+
+
+def failures(trace: DataFrame, queries: DataFrame, category: str | None = None, level: int | None = None) -> DataFrame:
+    """(query_id, category, first_miss, misses, worst_place, severity): queries whose right child was not placed first, worst first.
+
+    ``severity`` adds up how far from the first place the right child was, the upper levels counting double those below
+    them. ``category`` and ``level`` (of the first miss) filter.
+    """
+    miss = trace.where(~F.col("hit_top1")).groupBy("query_id").agg(
+        F.min("level").alias("first_miss"), F.count(F.lit(1)).alias("misses"), F.max("place").alias("worst_place"), F.round(F.sum((F.col("place") - 1) / F.pow(F.lit(2.0), F.col("level") - 1)), 6).alias("severity")
+    )
+    rows = miss.join(queries.select("query_id", "category"), "query_id")
+    rows = rows.where(F.col("category") == category) if category else rows
+    return rows.where(F.col("first_miss") == level) if level is not None else rows
+
+
+def failure_rates(trace: DataFrame, queries: DataFrame) -> DataFrame:
+    """(category, queries, failed, rate): traced queries of each category and those with a miss at any level."""
+    flags = trace.groupBy("query_id").agg(F.max((~F.col("hit_top1")).cast("int")).alias("failed")).join(queries.select("query_id", "category"), "query_id")
+    return flags.groupBy("category").agg(F.count(F.lit(1)).alias("queries"), F.sum("failed").alias("failed"), F.round(F.avg("failed"), 5).alias("rate"))
+
+
+def token_deltas(tokens: DataFrame, baseline: str) -> DataFrame:
+    """(system, mean_tokens, token_delta) of (system, tokens_used) rows against one system."""
+    means = tokens.groupBy("system").agg(F.round(F.avg("tokens_used"), 4).alias("mean_tokens"))
+    base = means.where(F.col("system") == baseline).select(F.col("mean_tokens").alias("base"))
+    return means.crossJoin(F.broadcast(base)).select("system", "mean_tokens", F.round(F.col("mean_tokens") - F.col("base"), 4).alias("token_delta"))  # one row

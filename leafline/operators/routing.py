@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafline.functions.vec import cosine, path_ema
-from leafline.operators.tree import ROOT, child_scores
+from leafline.functions.vec import norm, normalise, path_ema
+from leafline.operators.retrieval import PairScorer, vector_top_k
+from leafline.operators.tree import ROOT, child_scores, descendant_leaves
 from leafline.session import materialize
 
 #: More levels than this mean that the edges hold a cycle.
@@ -23,7 +24,7 @@ MAX_LEVELS = 100
 def cascade(frontier: DataFrame, nodes: DataFrame, edges: DataFrame, queries: DataFrame, pre_k: int = 5, final_k: int = 3, pair_scores: DataFrame | None = None) -> DataFrame:
     """(query_id, parent_id, child_id, score, child_rank, is_leaf, chunk_id) for (query_id, parent_id).
 
-    Children pass by cosine to the best ``pre_k``. Only if all of these are leaves are they scored as pairs; those
+    ``pair_scores`` may be a function that scores the (query_id, chunk_id) it is given. Children pass by cosine to the best ``pre_k``. Only if all of these are leaves are they scored as pairs; those
     without a pair score are dropped then, unless none has one.
     """
     asked = frontier.select("query_id", "parent_id").join(queries.select("query_id", "vec"), "query_id")
@@ -32,6 +33,9 @@ def cascade(frontier: DataFrame, nodes: DataFrame, edges: DataFrame, queries: Da
     if pair_scores is None:
         scored = first.withColumn("score", F.col("cosine"))
     else:
+        if callable(pair_scores):
+            first = materialize(first, "first")
+            pair_scores = pair_scores(first.where("is_leaf").select("query_id", "chunk_id").distinct())
         paired = first.withColumn("leaves", F.min("is_leaf").over(by_parent)).join(
             pair_scores.select("query_id", "chunk_id", F.col("score").alias("pair")), ["query_id", "chunk_id"], "left"
         )
@@ -98,24 +102,27 @@ def beam_search(
     return trace.select("query_id", "level", "beam_pos", "node_id", "path_score"), leaves
 
 
-def collapsed_search(queries: DataFrame, nodes: DataFrame, below: DataFrame, top_k: int = 10, pair_scores: DataFrame | None = None) -> DataFrame:
-    """(query_id, leaf_id, chunk_id, score, place, confidence): the best branches by cosine, opened into their leaves.
+def collapsed_search(queries: DataFrame, nodes: DataFrame, below: DataFrame, top_k: int = 10, pair_scores: DataFrame | None = None, most: int = 10) -> DataFrame:
+    """(query_id, leaf_id, chunk_id, score, place, confidence): the best ``top_k`` branches by cosine, opened into their first ``most`` leaves.
 
     ``below`` is (node_id, leaf_id). A leaf keeps its first place; leaves of a branch follow in leaf order.
-    ``pair_scores`` (query_id, node_id, score) re-rank the branches.
+    ``pair_scores`` (query_id, node_id, score) re-rank the branches. No more than the first ``most`` leaves of any branch
+    can be among a query's first ``most``, so a branch is cut to these, by salts first, before queries meet it.
     """
-    branches = nodes.where(~F.col("is_leaf") & F.col("embedding").isNotNull()).select("node_id", "embedding")
-    scored = queries.select("query_id", "vec").crossJoin(branches)  # a stated query set against all branches
-    scored = scored.select("query_id", "node_id", F.round(cosine(F.col("vec"), F.col("embedding")), 9).alias("cosine")).where("cosine IS NOT NULL")
+    branches = nodes.where(~F.col("is_leaf") & (norm(F.col("embedding")) > 0)).select(F.col("node_id").alias("chunk_id"), F.lit(0).alias("pos"), normalise(F.col("embedding")).alias("vec"))
+    asked = queries.where(norm(F.col("vec")) > 0).select("query_id", normalise(F.col("vec")).alias("vec"))
+    top = vector_top_k(asked, branches, top_k, digits=9).select("query_id", F.col("chunk_id").alias("node_id"), F.col("score").alias("cosine"), F.col("rank").alias("r"))
     by_query = W.partitionBy("query_id")
-    top = scored.withColumn("r", F.row_number().over(by_query.orderBy(F.desc("cosine"), "node_id"))).where(F.col("r") <= top_k)
     if pair_scores is not None:
         top = top.join(pair_scores, ["query_id", "node_id"]).select("query_id", "node_id", "r", F.round("score", 9).alias("cosine"))
     top = top.withColumn("place", F.row_number().over(by_query.orderBy(F.desc("cosine"), "r"))).withColumn("confidence", F.max("cosine").over(by_query))
-    leaves = top.join(below, "node_id").groupBy("query_id", "leaf_id", "confidence").agg(F.min(F.struct("place", F.col("cosine").alias("score"))).alias("first"))
-    out = leaves.join(nodes.select(F.col("node_id").alias("leaf_id"), "chunk_id"), "leaf_id")
-    order = by_query.orderBy("first.place", "leaf_id")
-    return out.select("query_id", "leaf_id", "chunk_id", F.col("first.score").alias("score"), F.row_number().over(order).alias("place"), "confidence")
+    cut = below.join(branches.select(F.col("chunk_id").alias("node_id")), "node_id", "left_semi")
+    for keys in (["node_id", F.pmod(F.xxhash64("leaf_id"), F.lit(64))], ["node_id"]):
+        cut = cut.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy("leaf_id"))).where(F.col("_r") <= most)
+    leaves = top.join(cut.drop("_r"), "node_id").groupBy("query_id", "leaf_id", "confidence").agg(F.min(F.struct("place", F.col("cosine").alias("score"))).alias("first"))
+    out = leaves.withColumn("place", F.row_number().over(by_query.orderBy("first.place", "leaf_id"))).where(F.col("place") <= most)
+    out = out.join(nodes.select(F.col("node_id").alias("leaf_id"), "chunk_id"), "leaf_id")
+    return out.select("query_id", "leaf_id", "chunk_id", F.col("first.score").alias("score"), "place", "confidence")
 
 
 def dual_path(beam_leaves: DataFrame, collapsed: DataFrame) -> DataFrame:
@@ -140,17 +147,61 @@ def resolve_leaves(result: DataFrame, top_k: int) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "chunk_id", F.col("f.score").alias("score"), "rank")
 
 
-def routing_trace(queries: DataFrame, gold: DataFrame, nodes: DataFrame, edges: DataFrame, ancestors: DataFrame) -> DataFrame:
-    """(query_id, level, node_id, cosine, place, siblings, hit_top1, hit_top3): along the gold path, the place of the
-    right child among all children. ``gold`` is (query_id, chunk_id), one a query; the first leaf of the chunk counts."""
+def gold_path(gold: DataFrame, nodes: DataFrame, edges: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """(query_id, parent_id, right_id, level): the links from the root to the first leaf of each query's gold chunk."""
     leaf = nodes.where("is_leaf").groupBy("chunk_id").agg(F.min("node_id").alias("leaf"))
     path = gold.join(leaf, "chunk_id").join(ancestors.select(F.col("node_id").alias("leaf"), F.col("ancestor_id").alias("right_id"), "ancestor_level"), "leaf").where("ancestor_level > 0")
-    path = path.join(edges.select("parent_id", F.col("child_id").alias("right_id")), "right_id").select("query_id", "parent_id", "right_id", F.col("ancestor_level").alias("level"))
-    scores = child_scores(nodes, edges, path.join(queries.select("query_id", "vec"), "query_id"))
+    return path.join(edges.select("parent_id", F.col("child_id").alias("right_id")), "right_id").select("query_id", "parent_id", "right_id", F.col("ancestor_level").alias("level"))
+
+
+def placed_trace(scores: DataFrame, path: DataFrame, score: str) -> DataFrame:
     family = W.partitionBy("query_id", "parent_id")
-    placed = scores.withColumn("place", F.row_number().over(family.orderBy(F.desc("cosine"), "child_pos"))).withColumn("siblings", F.count(F.lit(1)).over(family))
+    placed = scores.withColumn("place", F.row_number().over(family.orderBy(F.desc(score), "child_pos"))).withColumn("siblings", F.count(F.lit(1)).over(family))
     right = placed.join(path, ["query_id", "parent_id"]).where(F.col("child_id") == F.col("right_id"))
     return right.select(
-        "query_id", "level", F.col("right_id").alias("node_id"), F.round("cosine", 6).alias("cosine"), F.col("place").cast("int").alias("place"), "siblings",
+        "query_id", "level", F.col("right_id").alias("node_id"), F.round(score, 6).alias(score), F.col("place").cast("int").alias("place"), "siblings",
         (F.col("place") <= 1).alias("hit_top1"), (F.col("place") <= 3).alias("hit_top3"),
     )
+
+
+def routing_trace(queries: DataFrame, gold: DataFrame, nodes: DataFrame, edges: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """(query_id, level, node_id, cosine, place, siblings, hit_top1, hit_top3): along the gold path, the place of the
+    right child among all children. ``gold`` is (query_id, chunk_id), one a query; the first leaf of the chunk counts."""
+    path = gold_path(gold, nodes, edges, ancestors)
+    return placed_trace(child_scores(nodes, edges, path.join(queries.select("query_id", "vec"), "query_id")), path, "cosine")
+
+
+def pair_trace(queries: DataFrame, gold: DataFrame, nodes: DataFrame, edges: DataFrame, ancestors: DataFrame, texts: DataFrame, scorer: PairScorer) -> tuple[DataFrame, DataFrame]:
+    """(the same trace by a pair scorer over (query_id, text) and (node_id, content), scores of all children: query_id, level, score, right)."""
+    path = materialize(gold_path(gold, nodes, edges, ancestors), "path")
+    kids = materialize(path.join(edges, "parent_id").select("query_id", "parent_id", "level", "child_id", "child_pos", (F.col("child_id") == F.col("right_id")).alias("right")), "kids")
+    pairs = kids.select("query_id", F.col("child_id").alias("node_id")).join(texts, "node_id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
+    scores = scorer.score(pairs.select("query_id", F.col("node_id").alias("chunk_id"), "query", "content")).withColumnRenamed("chunk_id", "child_id")
+    scored = materialize(kids.join(scores, ["query_id", "child_id"], "left").withColumn("pair", F.coalesce("score", F.lit(0.0))).drop("score"), "scored")
+    return placed_trace(scored.drop("level"), path, "pair"), scored.select("query_id", "level", F.col("pair").alias("score"), "right")
+
+
+class TreeRetriever:
+    """Ranks texts by a summary tree: beam search, raced by flat search over the branches, with leaves scored as pairs.
+
+    ``embed`` maps (id, text) to (id, vec) in the space of the tree; ``scorer`` scores pairs over ``chunks`` (id, content).
+    """
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, embed, scorer: PairScorer | None = None, width: int = 5):
+        self.nodes, self.edges, self.chunks, self.embed, self.scorer, self.width = nodes, edges, chunks, embed, scorer, width
+        self.below = descendant_leaves(edges, nodes)
+
+    def search(self, queries: DataFrame, top_k: int) -> tuple[DataFrame, DataFrame]:
+        """(trace of the beam, ranking)."""
+        asked = materialize(self.embed(queries, "query_id", "text"), "asked")
+        texts = self.chunks.select(F.col("id").alias("chunk_id"), "content")
+
+        def pair_scores(pairs: DataFrame) -> DataFrame:
+            return self.scorer.score(pairs.join(texts, "chunk_id").join(queries.select("query_id", F.col("text").alias("query")), "query_id"))
+
+        trace, leaves = beam_search(asked, self.nodes, self.edges, width=self.width, pair_scores=pair_scores if self.scorer else None)
+        flat = materialize(collapsed_search(asked, self.nodes, self.below, most=top_k), "flat")
+        return trace, resolve_leaves(dual_path(leaves, flat), top_k)
+
+    def rank(self, queries: DataFrame, top_k: int = 50) -> DataFrame:
+        return self.search(queries, top_k)[1]

@@ -27,6 +27,12 @@ def of_difficulty(queries: DataFrame, difficulty: str) -> DataFrame:
     return queries.where(F.col("difficulty") == difficulty)
 
 
+def first_of(queries: DataFrame, wanted, most: int = 50, least: int = 10, id_col: str = "query_id") -> DataFrame:
+    """The first ``most`` queries that are ``wanted``, by id; the first of all where fewer than ``least`` are."""
+    some = queries.where(wanted).orderBy(id_col).limit(most)
+    return some if some.limit(least).count() >= least else queries.orderBy(id_col).limit(most)
+
+
 def _numbered(rows: DataFrame, id_col: str, seed: int) -> DataFrame:
     """``n`` from 0 in the order of a seeded hash, without one task that sorts all rows: the leading hash digits are
     numbered by counts, the rows inside each by a window."""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from leafline.functions import text as X
 from leafline.functions.vec import cosine, norm
 from leafline.session import materialize, small
+from leafline.sources.files import numbered
 
 ROOT = "r"
 #: Nodes whose centres are fitted at a time: what the driver holds and sends out does not grow with the table.
@@ -132,9 +133,21 @@ def build_tree(assignments: DataFrame, vectors: DataFrame) -> tuple[DataFrame, D
         F.col("node_id").alias("child_id"),
         F.col("chunk_id").alias("c"),
     )
-    # the root has at most ``branching`` children, other hot parents hold the members of one cluster
-    order = W.partitionBy("parent_id").orderBy(F.expr("try_cast(regexp_extract(child_id, '([^.]+)$', 1) AS bigint)").asc_nulls_last(), "child_id")
-    return nodes, materialize(child.select("parent_id", "child_id", (F.row_number().over(order) - 1).cast("int").alias("child_pos")), "edges")
+    # a hot parent's children are numbered in ranges, not in one task
+    last = F.coalesce(F.expr("try_cast(regexp_extract(child_id, '([^.]+)$', 1) AS bigint)"), F.lit((1 << 63) - 1))
+    placed = materialize(numbered(child.select("parent_id", "child_id", last.alias("label")), "parent_id", "label", "child_id"), "placed")
+    first = placed.groupBy("parent_id").agg(F.min("n").alias("first"))
+    return nodes, materialize(placed.join(first, "parent_id").select("parent_id", "child_id", (F.col("n") - F.col("first")).cast("int").alias("child_pos")), "edges")
+
+
+def reembed(nodes: DataFrame, summaries: DataFrame, embed) -> DataFrame:
+    """``nodes`` with every branch's vector taken from its summary (node_id, summary); without a vector of its own text it keeps its mean.
+
+    ``embed`` maps (id, text) to (id, vec), as :func:`leafline.functions.vec.hash_embedding` does.
+    """
+    vectors = embed(summaries.select("node_id", X.summary_text(F.col("summary")).alias("text")), "node_id", "text")
+    joined = nodes.join(vectors.select("node_id", F.col("vec").cast("array<double>").alias("told")), "node_id", "left")
+    return joined.withColumn("embedding", F.when(F.col("is_leaf"), F.col("embedding")).otherwise(F.coalesce("told", "embedding"))).drop("told")
 
 
 def closure(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -462,13 +464,19 @@ def dual_path(spark, folder):
     return r.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-def _vector_gold(v, q):
-    return q.join(v.select("chunk_id", "label"), "label").where(F.col("chunk_id") != F.col("self")).select("query_id", "chunk_id")
+def _first_gold(v, q):
+    """(query_id, chunk_id): the smallest other id of each asked vector's label, from the two smallest of the label."""
+    number = F.col("chunk_id").cast("long")
+    one = v.groupBy("label").agg(F.min(number).alias("one"))
+    two = v.join(one, "label").where(number != F.col("one")).groupBy("label").agg(F.min(number).alias("two"))
+    rows = q.join(one.join(two, "label", "left"), "label")
+    pick = F.when(F.col("one") != F.col("self").cast("long"), F.col("one")).otherwise(F.col("two"))
+    return rows.select("query_id", pick.cast("string").alias("chunk_id")).where("chunk_id IS NOT NULL")
 
 
 def _errors(spark, folder):
     v, nodes, edges, q, trace, _ = _beam(spark, folder)
-    return metrics.routing_error(trace, _vector_gold(v, q), nodes, tree.closure(edges, nodes))
+    return metrics.group_routing_error(trace, q, v, nodes, tree.closure(edges, nodes))
 
 
 @register
@@ -484,8 +492,7 @@ def compound_recall(spark, folder):
 def _trace(spark, folder):
     v, nodes, edges = _label_tree(spark, folder)
     q = inputs.asked_vectors(v)
-    one = _vector_gold(v, q).groupBy("query_id").agg(F.min(F.col("chunk_id").cast("long")).cast("string").alias("chunk_id"))
-    return routing.routing_trace(q, one, nodes, edges, tree.closure(edges, nodes))
+    return routing.routing_trace(q, _first_gold(v, q), nodes, edges, tree.closure(edges, nodes))
 
 
 @register
@@ -498,10 +505,119 @@ def trace_summary(spark, folder):
     return metrics.trace_summary(_trace(spark, folder))
 
 
+# the tree system over texts
+
+
+def _text_tree(spark, folder, branching: int = 8):
+    """(asked queries, chunks, nodes, edges, summaries, scorer): k-means over hashed texts, deep enough for small leaf families, branches embedded by their summaries."""
+    c = materialize(inputs.chunks(spark, folder), "chunks")
+    v = materialize(hash_embedding(c, "id", "content").withColumnRenamed("id", "chunk_id"), "vectors")
+    depth = max(1, math.ceil(math.log(max(2, v.count() / branching), branching)))
+    nodes, edges = tree.build_tree(tree.kmeans_paths(v, branching, depth, rounds=8), v)
+    summaries = materialize(tree.summarise(nodes, edges, c), "summaries")
+    nodes = materialize(tree.reembed(nodes, summaries, hash_embedding), "nodes")
+    return inputs.asked(spark, folder), c, nodes, edges, summaries, retrieval.LexicalScorer(retrieval.Bm25(c).idf)
+
+
+def _tree_ranking(q, c, nodes, edges, scorer):
+    trace, ranking = routing.TreeRetriever(nodes, edges, c, hash_embedding, scorer).search(q, 50)
+    return materialize(trace, "trace"), materialize(ranking, "ranking")
+
+
+@register
+def tree_topk(spark, folder):
+    q, c, nodes, edges, _, scorer = _text_tree(spark, folder)
+    return _tree_ranking(q, c, nodes, edges, scorer)[1].where("rank <= 10").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@register
+def ir_metrics_tree(spark, folder):
+    q, c, nodes, edges, _, scorer = _text_tree(spark, folder)
+    r, g = _tree_ranking(q, c, nodes, edges, scorer)[1], inputs.gold(q)
+    ok = budget.pack_budget(_tokens(r, c), 400).join(g.select("query_id").distinct(), "query_id", "left_semi").agg(F.round(F.avg("tokens_used"), 4).alias("mean_tokens_used"))
+    return metrics.system_means(metrics.per_query(r, g), "tree").crossJoin(ok)
+
+
+@register
+def system_tokens(spark, folder):
+    """Mean tokens that each flat system packs into 400, against the re-scored one."""
+    found, _, c = _ranked(spark, folder, SYSTEMS)
+    used = None
+    for system in SYSTEMS:
+        one = budget.pack_budget(_tokens(found[system], c), 400).select(F.lit(system).alias("system"), "tokens_used")
+        used = one if used is None else used.unionByName(one)
+    return metrics.token_deltas(materialize(used, "used"), "flat_ce")
+
+
+def _pair_trace(spark, folder):
+    q, c, nodes, edges, summaries, scorer = _text_tree(spark, folder)
+    texts = nodes.where("is_leaf").select("node_id", "chunk_id").join(c.select(F.col("id").alias("chunk_id"), "content"), "chunk_id").select("node_id", "content")
+    texts = texts.unionByName(summaries.select("node_id", X.summary_text(F.col("summary")).alias("content")))
+    one = inputs.gold(q).join(c.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").groupBy("query_id").agg(F.min("chunk_id").alias("chunk_id"))
+    ancestors = materialize(tree.closure(edges, nodes), "ancestors")
+    by_cosine = routing.routing_trace(hash_embedding(q, "query_id", "text"), one, nodes, edges, ancestors)
+    by_pair, scores = routing.pair_trace(q, one, nodes, edges, ancestors, texts, scorer)
+    return q, materialize(by_cosine, "cosine"), materialize(by_pair, "pair"), scores
+
+
+@register
+def trace_agreement(spark, folder):
+    """How often the right child came first by cosine, by the pair scorer, by both."""
+    _, one, two, _ = _pair_trace(spark, folder)
+    return metrics.agreement(one, two)
+
+
+@register
+def trace_scores(spark, folder):
+    return metrics.score_spread(_pair_trace(spark, folder)[3])
+
+
+@register
+def trace_failures(spark, folder):
+    q, _, two, _ = _pair_trace(spark, folder)
+    return metrics.failures(two, q)
+
+
+@register
+def trace_failure_rates(spark, folder):
+    q, _, two, _ = _pair_trace(spark, folder)
+    return metrics.failure_rates(two, q)
+
+
 @register
 def failfast_gate(spark, folder):
-    """Distinctiveness and level-1 error of the label tree, and BM25 against the re-scored system."""
-    v, nodes, edges, q, trace, _ = _beam(spark, folder)
-    errors = metrics.routing_error(trace, _vector_gold(v, q), nodes, tree.closure(edges, nodes))
-    delta = metrics.deltas(materialize(_system_means(_all_systems(spark, folder)[0]), "means"), "flat_ce").where("system = 'bm25'")
+    """The tree system before it is run in full: distinctiveness, level-1 error on the first easy queries, nDCG against the re-scored system on the first hundred."""
+    q, c, nodes, edges, _, scorer = _text_tree(spark, folder)
+    easy, first = suite.first_of(q, F.col("difficulty") == "easy"), q.orderBy("query_id").limit(100)
+    trace, ranking = _tree_ranking(q, c, nodes, edges, scorer)
+    errors = metrics.routing_error(trace.join(easy.select("query_id"), "query_id", "left_semi"), inputs.gold(easy), nodes, tree.closure(edges, nodes))
+    flat = _ranked(spark, folder, ["flat_ce"])[0]["flat_ce"]
+    both = [metrics.per_query(r, inputs.gold(first)).withColumn("system", F.lit(s)) for r, s in ((ranking, "tree"), (flat, "flat_ce"))]
+    delta = metrics.deltas(materialize(_system_means(both[0].unionByName(both[1])), "means"), "flat_ce").where("system = 'tree'")
     return metrics.gate(tree.sibling_distinctiveness(nodes, edges), errors, delta)
+
+
+@register
+def sanity_run(spark, folder):
+    """One row of what a run must show before it is trusted: tables that are not empty, gold that exists, rankings within bounds."""
+    found, q, c = _ranked(spark, folder, ["bm25"])
+    g, r = inputs.gold(q), found["bm25"]
+    missing = g.join(c.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti").agg(F.count(F.lit(1)).alias("gold_without_chunk"))
+    bad = r.agg(F.count_if((F.col("rank") < 1) | (F.col("rank") > 50)).alias("ranks_out_of_bounds"), F.count_distinct("query_id").alias("queries_ranked"))
+    return q.agg(F.count(F.lit(1)).alias("queries")).crossJoin(c.agg(F.count(F.lit(1)).alias("chunks"))).crossJoin(missing).crossJoin(bad)
+
+
+@register
+def kmeans_invariants(spark, folder):
+    """What the k-means tree must keep, counted: every vector in one leaf, no more children than asked for, no orphan."""
+    v = materialize(inputs.vectors(spark, folder), "vectors")
+    nodes, edges = tree.build_tree(tree.kmeans_paths(v, 8, 3), v)
+    leaf = v.select("chunk_id").join(nodes.where("is_leaf").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")), "chunk_id", "left")
+    inner = edges.join(nodes.where(~F.col("is_leaf")).select(F.col("node_id").alias("child_id")), "child_id", "left_semi").groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"))
+    orphan = nodes.where("level > 0").join(edges.select(F.col("child_id").alias("node_id")), "node_id", "left_anti")
+    rules = [("vector not in exactly one leaf", leaf.where("coalesce(n, 0) <> 1")), ("more than 8 branches below a node", inner.where("n > 8")), ("node without a parent", orphan), ("level beyond the depth", nodes.where("level > 4"))]
+    out = None
+    for name, rows in rules:
+        one = rows.agg(F.count(F.lit(1)).alias("broken")).select(F.lit(name).alias("rule"), "broken")
+        out = one if out is None else out.unionByName(one)
+    return out

