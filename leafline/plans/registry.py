@@ -272,8 +272,10 @@ def pack_400(spark, folder):
 
 @register
 def pack_redundancy(spark, folder):
-    v = inputs.vectors(spark, folder)
-    r = retrieval.vector_top_k(inputs.asked_vectors(v), v, 50).join(v.select("chunk_id", "vec", (50 + F.col("pos") * 37 % 200).alias("tokens")), "chunk_id")
+    """Hashed texts by vector search, packed without what repeats what is there; tokens are words."""
+    c, q = materialize(inputs.chunks(spark, folder), "chunks"), inputs.asked(spark, folder)
+    v = materialize(hash_embedding(c, "id", "content", keep=("pos", "tokens")).withColumnRenamed("id", "chunk_id"), "vectors")
+    r = retrieval.vector_top_k(hash_embedding(q, "query_id", "text"), v, 50).join(v.select("chunk_id", "vec", "tokens"), "chunk_id")
     return budget.pack_diverse(r, 1200, 0.9).select("query_id", "tokens_used", F.array_join("chunk_ids", "|").alias("chunk_ids"))
 
 

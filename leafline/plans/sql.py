@@ -213,6 +213,39 @@ trails AS (SELECT node_id, node_id AS root, node_id AS path FROM forest WHERE up
 below AS (SELECT p AS node_id, count(*) AS n FROM reach GROUP BY 1)
 """
 
+def _n(x: str) -> str:
+    return f"len({words(x)})"
+
+
+_JOINED = "array_to_string(list_filter(list_transform({0}, lambda g: " + strip("g") + "), lambda g: g <> ''), ' ')"
+_FLUSHED = f"CASE WHEN len(a.open) > 0 THEN list_append(a.out, {_JOINED.format('a.open')}) ELSE a.out END"
+_TAIL = f"list_filter(a.open, lambda g, i: list_sum(list_transform(a.open[i:], lambda y: {_n('y')})) <= 50)"
+_WINDOWS = f"list_transform(range(0, {_n('x')}, 462), lambda w: array_to_string(({words('x')})[w + 1:w + 512], ' '))"
+_GREEDY = f"""WITH {DOCS}, s AS (SELECT id AS document_id, {strip('content')} AS text FROM ld), p AS (SELECT document_id, text, {PARAGRAPHS} AS p, {SEGMENT} AS g FROM s WHERE text <> ''),
+r AS (SELECT document_id, text, CASE WHEN len(p) > 1 THEN p WHEN len(g) > 0 THEN g ELSE [text] END AS parts FROM p),
+f AS (SELECT document_id, text, list_reduce(parts, lambda a, x: CASE WHEN {_n('x')} > 512 THEN {{'out': list_concat({_FLUSHED}, {_WINDOWS}), 'open': CAST([] AS VARCHAR[]), 'n': CAST(0 AS BIGINT)}}
+  WHEN a.n + {_n('x')} > 512 THEN {{'out': {_FLUSHED}, 'open': list_append({_TAIL}, x), 'n': CAST(coalesce(list_sum(list_transform({_TAIL}, lambda y: {_n('y')})), 0) + {_n('x')} AS BIGINT)}}
+  ELSE {{'out': a.out, 'open': list_append(a.open, x), 'n': CAST(a.n + {_n('x')} AS BIGINT)}} END, {{'out': CAST([] AS VARCHAR[]), 'open': CAST([] AS VARCHAR[]), 'n': CAST(0 AS BIGINT)}}) AS a FROM r),
+c AS (SELECT document_id, CASE WHEN {_n('text')} <= 512 THEN [text] ELSE list_filter({_FLUSHED}, lambda y: y <> '') END AS c FROM f),
+u AS (SELECT document_id, CAST(generate_subscripts(c, 1) - 1 AS INT) AS chunk_no, unnest(c) AS content FROM c)
+SELECT document_id || '-' || chunk_no AS chunk_id, document_id, chunk_no, content, CAST({_n('content')} AS INT) AS token_count FROM u"""
+
+
+def _violations() -> str:
+    kinds = {
+        "chunk": ("chunks", "id", "ingested_at", {"blank content": "coalesce(trim(content), '') = ''", "token_count not positive": "coalesce(token_count, 0) <= 0"}),
+        "query": ("queries", "id", "created_at", {
+            "unknown category": f"NOT coalesce(category IN ({', '.join(map(repr, CATEGORIES))}), false)", "unknown difficulty": f"NOT coalesce(difficulty IN ({', '.join(map(repr, DIFFICULTIES))}), false)",
+            "no gold chunk": "coalesce(len(gold_chunk_ids), 0) = 0"}),
+        "node": ("nodes", "node_id", "built_at", {
+            "negative level": "coalesce(level, -1) < 0", "leaf without chunk": "is_leaf AND chunk_id IS NULL", "internal without children": "NOT is_leaf AND coalesce(len(child_ids), 0) = 0",
+            "blank theme": "summary IS NOT NULL AND coalesce(trim(summary.theme), '') = ''"}),
+    }
+    tables = ", ".join(latest(f"l_{k}", table, key, time) for k, (table, key, time, _) in kinds.items())
+    rows = [f"SELECT '{k}' AS entity, '{rule}' AS rule, count(*) AS rows FROM l_{k} WHERE {cond} HAVING count(*) > 0" for k, (*_, rules) in kinds.items() for rule, cond in rules.items()]
+    return f"WITH {tables} " + " UNION ALL ".join(rows)
+
+
 SQL: dict[str, str] = {
     "p4_found": f"""WITH RECURSIVE {_LINKS}
 SELECT 'cycle' AS issue, p AS node_id FROM reach WHERE p = c
@@ -319,4 +352,13 @@ SELECT system, mean_tokens, round(mean_tokens - (SELECT mean_tokens FROM u WHERE
 (SELECT count(*) FROM gold WHERE chunk_id NOT IN (SELECT id FROM lc)) AS gold_without_chunk, (SELECT count(*) FROM r WHERE rank < 1 OR rank > 50) AS ranks_out_of_bounds, (SELECT count(DISTINCT query_id) FROM r) AS queries_ranked""",
     "cache_keys": f"""WITH {QUERIES}, g AS (SELECT query_id, text, list_filter(list_distinct(list_filter(gold_chunk_ids, lambda x: x IS NOT NULL)), lambda x: true) AS s, list_filter(gold_chunk_ids, lambda x: x IS NOT NULL) AS o FROM lq)
 SELECT query_id, left(sha256(coalesce(text, '')), 16) || '_' || o[1] AS pair_key, sha256(array_to_string(list_sort(s), ',')) AS judge_key FROM g WHERE len(o) > 0""",
+    "greedy_chunks": _GREEDY,
+    "model_violations": _violations(),
+    "pack_redundancy": f"""WITH {FLAT}, dense AS (SELECT nc.id, list(coalesce(hc.value, 0) / n ORDER BY t.b) AS vec FROM nc CROSS JOIN (SELECT CAST(unnest(range(64)) AS INT) AS b) t LEFT JOIN hc ON hc.id = nc.id AND hc.b = t.b GROUP BY 1),
+top AS (SELECT vr.query_id, vr.chunk_id, vr.rank, round(coalesce(s, 0) / (nq.n * nc.n), 6) AS score FROM vr JOIN nq USING (query_id) JOIN nc ON nc.id = vr.chunk_id LEFT JOIN vs ON vs.query_id = vr.query_id AND vs.chunk_id = vr.chunk_id WHERE rank <= 50),
+it AS (SELECT query_id, list({{'chunk_id': chunk_id, 'tokens': tokens, 'score': score, 'vec': vec}} ORDER BY rank) AS items FROM top JOIN dense ON dense.id = chunk_id JOIN lc ON lc.id = chunk_id GROUP BY 1),
+p AS (SELECT query_id, list_reduce(items, lambda a, x: CASE WHEN a.used + x.tokens <= 1200 AND (len(a.vecs) = 0 OR x.score - 0.9 * greatest(0, list_max(list_transform(a.vecs, lambda v: list_inner_product(v, x.vec)))) >= 0)
+  THEN {{'used': CAST(a.used + x.tokens AS BIGINT), 'ids': list_append(a.ids, x.chunk_id), 'vecs': list_append(a.vecs, x.vec)}} ELSE a END,
+  {{'used': CAST(0 AS BIGINT), 'ids': CAST([] AS VARCHAR[]), 'vecs': CAST([] AS DOUBLE[][])}}) AS p FROM it)
+SELECT query_id, p.used AS tokens_used, array_to_string(p.ids, '|') AS chunk_ids FROM p""",
 }
