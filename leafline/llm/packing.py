@@ -12,9 +12,7 @@ empty containers are opened as the other items need at least. Then, round by rou
 4. Gaps shrink by what they took, and the next round begins. When nothing fits any more, containers are opened
    for what is left.
 
-Very small items are first strung together to bundles of at most ``bundle`` tokens, which bounds the number of
-rounds by the items a container can hold; a bundle stays together. Null, empty and zero-size items get no
-place; items with a null id are ignored; repeated ids are separate items.
+Null, empty and zero-size items get no place; items with a null id are ignored; repeated ids are separate items.
 """
 
 from __future__ import annotations
@@ -29,7 +27,7 @@ from pyspark.sql import functions as F
 
 from leafline.session import materialize
 
-CAPACITY, BUNDLE, RANGE_ROWS = 2_048, 32, 32_768
+CAPACITY, RANGE_ROWS = 2_048, 32_768
 
 
 def cut_items(sizes: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame]:
@@ -41,29 +39,6 @@ def cut_items(sizes: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame]:
     return items, full
 
 
-def bundles(items: DataFrame, bundle: int, parts: int) -> DataFrame:
-    """(doc, piece, size, item, start): items with their bundle and their place inside it."""
-
-    def string(batches):
-        import pyspark
-
-        task = pyspark.TaskContext.get().partitionId()
-        number, held = 0, 0
-        for batch in batches:
-            size = batch.column(2).to_numpy()
-            item, start = np.empty(len(size), np.int64), np.zeros(len(size), np.int32)
-            for k, s in enumerate(size):
-                if s > bundle // 2 or held + s > bundle:
-                    number, held = number + 1, 0
-                item[k], start[k] = task * (1 << 40) + number, held
-                held += s
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(item), pa.array(start)], ["doc", "piece", "size", "item", "start"])
-
-    spread = items.select("doc", "piece", "size").repartitionByRange(parts, "size", F.xxhash64("doc", "piece")).sortWithinPartitions("size", "doc", "piece")
-    kind = items.schema["doc"].dataType.simpleString()
-    return spread.mapInArrow(string, f"doc {kind}, piece int, size int, item long, start int")
-
-
 ROUND = "range int, gap long, item long, size int, room int, rank long"
 
 
@@ -166,17 +141,13 @@ def state_after(swept: DataFrame, pairs: DataFrame | None) -> DataFrame:
     return items.select("size", "is_item", "id").unionByName(gaps)
 
 
-def pack_items(sizes: DataFrame, capacity: int = CAPACITY, bundle: int = BUNDLE, range_rows: int = RANGE_ROWS, max_parts: int | None = None) -> DataFrame:
+def pack_items(sizes: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_ROWS, max_parts: int | None = None) -> DataFrame:
     """(doc, piece, container, start, size) for (doc, size): ``start`` is the place, the first token of the piece in its container."""
     spark = sizes.sparkSession
     sizes = materialize(sizes.select("doc", "size"), "sizes")
     items, full = cut_items(sizes, capacity)
-    items = materialize(items, "items")
-    n = items.count()
-    parts = max(1, math.ceil(n / range_rows)) if max_parts is None else max_parts
-    inner = materialize(bundles(items, bundle, parts), "bundles")
-    todo = inner.groupBy("item").agg(F.sum("size").cast("int").alias("size"))
-    state = materialize(todo.select("size", F.lit(True).alias("is_item"), F.col("item").alias("id")), "state")
+    inner = materialize(items.withColumn("item", F.monotonically_increasing_id()), "items")  # written, so that numbers stay
+    state = inner.select("size", F.lit(True).alias("is_item"), F.col("item").alias("id"))
     left = state.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"), F.count_if(F.col("size") > capacity // 2).alias("big")).first()
     n_items, tokens, n_gaps, opened = left["n"], left["s"] or 0, 0, 0
     need = max(left["big"], math.ceil(tokens / capacity))
@@ -212,7 +183,7 @@ def pack_items(sizes: DataFrame, capacity: int = CAPACITY, bundle: int = BUNDLE,
     else:
         at = inner.join(reduce(DataFrame.unionByName, placed), "item").select(
             "doc", "piece", F.concat(F.lit("c"), F.col("gap").cast("string")).alias("container"),
-            (F.lit(capacity) - F.col("room") + F.col("start")).cast("int").alias("start"), "size",
+            (F.lit(capacity) - F.col("room")).cast("int").alias("start"), "size",
         )
     alone = full.select(
         "doc", "piece", F.concat(F.lit("f"), F.col("doc").cast("string"), F.lit("-"), F.col("piece").cast("string")).alias("container"),

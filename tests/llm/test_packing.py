@@ -30,7 +30,7 @@ def test_random_sizes(spark, parts):
     rng = random.Random(parts)
     sizes = [(i, rng.choice([rng.randint(1, 100), rng.randint(1, 20), rng.randint(60, 100), 250])) for i in range(400)]
     df = spark.createDataFrame(sizes, "doc long, size int")
-    rows = P.pack_items(df, capacity=100, bundle=4, max_parts=parts).collect()
+    rows = P.pack_items(df, capacity=100, max_parts=parts).collect()
     bins = check(rows, sizes, 100)
     big = sum(1 for _, s in sizes if s % 100 > 50) + sum(s // 100 for _, s in sizes)
     assert bins <= 1.05 * max(big, math.ceil(sum(s for _, s in sizes) / 100)) + 1
