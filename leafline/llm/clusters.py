@@ -479,6 +479,7 @@ def cluster(
     ``cluster`` is the smallest id of the cluster.
     """
     all_rows = materialize(latest_vectors(cluster_nodes, dim).withColumn("h", F.xxhash64("id")), "vectors")
+    unusable = materialize(all_rows.where(F.col("vec").isNull()).select("id"), "unusable")
     vectors = all_rows.where(F.col("vec").isNotNull())
     limit = compactness(threshold)
 
@@ -525,13 +526,14 @@ def cluster(
 
     cells, _ = cells_of(vectors, dim, threshold, node_rows, max_nodes)
     members = materialize(cells.groupBy("cell").applyInArrow(parts_of_cell, PART), "members")
+    drop_table(all_rows)  # the members hold every usable vector
     parts = materialize(members.where("n IS NOT NULL").select("part", "centre", "first_id", "n", "least", "most"), "parts")
     heads = close_links(exact_links(members, parts, dim, threshold))
     whole = parts.join(heads, F.col("part") == F.col("id"), "left").select("part", "first_id", "n", F.coalesce("head", "part").alias("head"))
     named = whole.groupBy("head").agg(F.min("first_id").alias("cluster"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"))
     lookup = materialize(whole.join(named, "head").select("part", "cluster", "size", "parts"), "lookup")
     found = members.select("part", F.col("member").alias("id"), "cosine", "vec").join(lookup, "part").select("id", "cluster", "size", "cosine", "parts", "vec")
-    lone = all_rows.where(F.col("vec").isNull()).select("id", F.col("id").alias("cluster"), F.lit(1).cast("long").alias("size"), F.lit(None).cast("double").alias("cosine"))
+    lone = unusable.select("id", F.col("id").alias("cluster"), F.lit(1).cast("long").alias("size"), F.lit(None).cast("double").alias("cosine"))
     return found, lone
 
 
