@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafline.llm import abuse, clusters, packing, residue
 from leafline.llm.mixture import sample_by_targets
 from leafline.llm.split import LIMIT, OVERLAP, split_oversized, word_count
-from leafline.llm.tokens import count_tokens, encode_ids
+from leafline.llm.tokens import count_tokens, decode_ids, encode_ids
 from leafline.session import latest_rows, materialize, table
 
 
@@ -99,6 +99,19 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_ids(table(spark, folder, "documents"))
 
 
+def p6_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """What every encoding must keep, counted: read back, the ids of each document give its text."""
+    texts = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("source"))
+    ids = materialize(encode_ids(table(spark, folder, "documents")), "ids")
+    sizes = ids.select("doc_id", F.size("ids").alias("n"))
+    back = texts.join(decode_ids(ids), "doc_id", "left").join(sizes, "doc_id", "left")
+    rows = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    return broken(
+        ("document without ids", back, "n IS NULL"), ("ids that do not give the text", back, "coalesce(text, '') <> source"),
+        ("ids of an empty text", back, "source = '' AND n <> 0"), ("more ids than bytes", back, "n > octet_length(source)"), ("document in two rows", rows, "rows > 1"),
+    )
+
+
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     sizes = count_tokens(table(spark, folder, "documents")).select(F.col("doc_id").alias("doc"), F.col("n_tokens").alias("size"))
     return packing.pack_items(sizes).withColumnRenamed("doc", "doc_id")
@@ -131,11 +144,26 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.source_rates(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
 
 
+def p8_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """What every scoring must keep, counted: whole, bounded, and with passages that stand in the text where they are said to."""
+    documents = table(spark, folder, "documents")
+    scores = materialize(abuse.score_documents(documents, table(spark, folder, "doc_labels")), "scores")
+    told = documents.select("doc_id", F.col("text").alias("whole")).join(scores, "doc_id", "left")
+    each = told.select("whole", "score", F.explode("passages").alias("p"))
+    cut = F.col("whole").substr(F.col("p.start") + 1, F.col("p.end") - F.col("p.start"))
+    each = each.select("score", F.col("p.score").alias("own"), (cut == F.col("p.text")).alias("there"))
+    return broken(
+        ("document without a score", told, "score IS NULL"), ("score out of bounds", told, "score < 0 OR score > 1"), ("worst passage without passages", told, "(worst IS NULL) <> (passages IS NULL)"),
+        ("passage below the threshold", each, f"own < {abuse.THRESHOLD}"), ("passage above its document", each, "own > score + 1e-6"), ("passage that is not there in the text", each, "NOT coalesce(there, false)"),
+        ("score of an empty text", told, "score > 0 AND trim(coalesce(whole, '')) = ''"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_clusters, p2_found, p2_pieces, p2_invariants, p3_found, p3_sample, p3_report, p3_invariants, p5_found, p5_values, p6_ids, p7_containers,
-        p7_invariants, p8_found, p8_scores, p8_rates,
+        p1_found, p1_clusters, p2_found, p2_pieces, p2_invariants, p3_found, p3_sample, p3_report, p3_invariants, p5_found, p5_values, p6_ids, p6_invariants,
+        p7_containers, p7_invariants, p8_found, p8_scores, p8_rates, p8_invariants,
     )
 }
 
@@ -148,7 +176,6 @@ latest AS (
 """
 
 
-
 def _none(*rules: str) -> str:
     return " UNION ALL ".join(f"SELECT '{r}' AS rule, CAST(0 AS BIGINT) AS broken" for r in rules)
 
@@ -158,6 +185,22 @@ SQL = {
     "p3_invariants": _none(
         "cell without its minimum though it has rows", "cell with more rows than there are", "report and sample differ", "cell under its quota without a cause", "sample of another size", "cell cut for size where the quotas fit",
     ),
+    "p1_found": f"""
+WITH RECURSIVE e AS (SELECT built_at AS t, chunk_ids, embeddings, unnest(range(1, len(chunk_ids) + 1)) AS k FROM cluster_nodes),
+r AS (SELECT chunk_ids[k] AS id, CASE WHEN k <= len(embeddings) THEN embeddings[k] END AS v, t FROM e),
+o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t DESC NULLS LAST, v IS NULL) AS rn FROM r WHERE id IS NOT NULL),
+u AS (SELECT id, CAST(v AS DOUBLE[]) AS v FROM o WHERE rn = 1 AND len(v) = {clusters.DIM}
+  AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+n AS MATERIALIZED (SELECT id, CAST(v AS DOUBLE[{clusters.DIM}]) AS v FROM u),
+l AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.id <> b.id AND array_cosine_similarity(a.v, b.v) >= {clusters.THRESHOLD}),
+reach AS (SELECT id, id AS first_id FROM n UNION SELECT l.b, reach.first_id FROM reach JOIN l ON l.a = reach.id WHERE reach.first_id < l.b),
+m AS (SELECT id, min(first_id) AS first_id FROM reach GROUP BY 1)
+SELECT first_id, id AS chunk_id FROM m WHERE first_id <> id
+""",
+    "p6_invariants": _none("document without ids", "ids that do not give the text", "ids of an empty text", "more ids than bytes", "document in two rows"),
+    "p8_invariants": _none(
+        "document without a score", "score out of bounds", "worst passage without passages", "passage below the threshold", "passage above its document", "passage that is not there in the text", "score of an empty text",
+    ),
     "p7_invariants": _none("container over its capacity", "places that overlap or leave gaps", "document lost or changed", "document split though it fits", "more than one in a hundred containers over the bound"),
     "p2_found": """
 WITH d AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) AS rn FROM corpus_documents),

@@ -142,3 +142,20 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column(0), n], [id_col, "n_tokens"])
 
     return src.mapInArrow(run, f"`{id_col}` {kind}, n_tokens int")
+
+
+def decode_ids(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ranks: str = DEFAULT_RANKS) -> DataFrame:
+    """(id, text): the texts that lists of token ids stand for; a null or empty list gives the empty text. No shuffle.
+
+    Ids without a token are an error; bytes that are no UTF-8 become replacement characters.
+    """
+    src = df.select(F.col(id_col).alias(id_col), F.col(ids_col).alias("_ll_ids"))
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        piece = {rank: raw for raw, rank in encoder(ranks).ranks.items()}
+        for batch in batches:
+            texts = [b"".join([piece[i] for i in ids or ()]).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
+
+    return src.mapInArrow(run, f"`{id_col}` {kind}, text string")

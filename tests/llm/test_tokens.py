@@ -3,6 +3,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from leafline.llm import tokens as T
 
@@ -50,3 +51,14 @@ def test_rows(spark, reference):
     assert got == {i: reference.encode_ordinary(t) if t else [] for i, t in enumerate(texts)}
     assert {r["doc_id"]: r["n_tokens"] for r in T.count_tokens(df).collect()} == {i: len(v) for i, v in got.items()}
     assert T.encode_ids(df.limit(0)).collect() == []
+
+
+def test_decoding_ids_gives_the_texts(spark):
+    """Extra columns with clashing names are ignored; null and empty texts both come back empty; repeated rows stay."""
+    texts = [(1, "don't  stop"), (2, None), (3, ""), (4, "日本語 ❤ <|endoftext|>"), (4, "日本語 ❤ <|endoftext|>"), (5, "x" * 5000), (6, "\x00﻿​")]
+    df = spark.createDataFrame([(i, t, "other") for i, t in texts], "doc_id long, text string, ids string")
+    back = T.decode_ids(T.encode_ids(df).withColumn("_ll_ids", F.lit(0)).withColumn("text", F.lit("other")))
+    assert sorted((r["doc_id"], r["text"]) for r in back.collect()) == sorted((i, t or "") for i, t in texts)
+    nothing = spark.createDataFrame([(7, None)], "doc_id long, ids array<int>")
+    assert [tuple(r) for r in T.decode_ids(nothing).collect()] == [(7, "")]
+    assert T.decode_ids(nothing.limit(0)).collect() == []
