@@ -111,6 +111,15 @@ def summary_line(summary: Column, with_excludes: bool = False) -> Column:
     return F.concat(line, F.lit(" Excludes: "), F.array_join(F.coalesce(summary["excludes"], F.array().cast("array<string>")), ", "), F.lit("."))
 
 
+def summary_block(summary: Column, chunk_id: Column) -> Column:
+    """A node for display: one line for each part of its summary, null parts empty; of a node without one what it is."""
+    theme = F.concat(F.lit("Theme: "), F.coalesce(summary["theme"], F.lit("")))
+    lists = [("Includes", "includes"), ("Excludes", "excludes"), ("Entities", "key_entities"), ("Terms", "key_terms")]
+    lines = [F.concat(F.lit(f"{name}: "), F.coalesce(F.array_join(summary[part], ", "), F.lit(""))) for name, part in lists]
+    leaf = F.when(F.length(chunk_id) > 0, F.concat(F.lit("[leaf: "), chunk_id, F.lit("]"))).otherwise(F.lit("[no summary]"))
+    return F.when(summary.isNull(), leaf).otherwise(F.concat_ws("\n", theme, *lines))
+
+
 FALLBACK_THEME = "(no summary: words of the text)"
 
 
@@ -135,9 +144,11 @@ SUMMARY_TYPE = T.StructType(
 
 
 def extract_json(reply: Column) -> Column:
-    """The JSON part of a noisy reply: a fenced block, else from the first to the last brace, else the reply."""
+    """The JSON part of a noisy reply: a fenced block, else from the first to the last brace, else the reply.
+
+    The fence that ends a block begins a line, so that one inside the JSON's own texts does not."""
     whole = strip(reply)
-    fenced = F.regexp_extract(whole, r"(?s)```(?:json)?\s*\n(.*?)```", 1)
+    fenced = F.regexp_extract(whole, r"(?s)```(?:json)?\s*\n(.*?)\n[ \t]*```", 1)
     braces = F.regexp_extract(whole, r"(?s)\{.*\}", 0)
     return F.when(fenced != "", strip(fenced)).when(braces != "", braces).otherwise(whole)
 

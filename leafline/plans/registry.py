@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from leafline.functions import text as X
 from leafline.functions.vec import hash_buckets, hash_embedding
-from leafline.operators import budget, chunking, hierarchy, metrics, retrieval, routing, suite, tree
-from leafline.plans import inputs
+from leafline.operators import budget, chunking, hierarchy, metrics, models, retrieval, routing, suite, tree
+from leafline.plans import inputs, offline
 from leafline.plans.sql import SQL
 from leafline.schemas import violations
-from leafline.session import latest_rows, materialize, table
+from leafline.session import latest_rows, materialize, scratch_path, table
+from leafline.sources import files, stores
 
 BUDGETS = [200, 400, 600, 800, 1200, 10000]
 SYSTEMS = ["bm25", "rrf", "flat_ce"]
@@ -26,6 +27,15 @@ def register(f):
     return f
 
 
+def _broken(*rules: tuple[str, DataFrame]) -> DataFrame:
+    """(rule, broken): the number of rows that break each rule, which should be none."""
+    out = None
+    for name, rows in rules:
+        one = rows.agg(F.count(F.lit(1)).alias("broken")).select(F.lit(name).alias("rule"), "broken")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # hierarchies
 
 
@@ -174,6 +184,12 @@ def summary_texts(spark, folder):
     return _summaries(spark, folder).select("node_id", X.summary_text(s).alias("text"), X.summary_line(s).alias("line"))
 
 
+@register
+def summary_blocks(spark, folder):
+    rows = latest_rows(table(spark, folder, "nodes"), "node_id", "built_at", "summary", "chunk_id")
+    return rows.select("node_id", X.summary_block(F.col("summary"), F.col("chunk_id")).alias("block"))
+
+
 @register
 def json_extract(spark, folder):
     """Summaries as a model would wrap them, read back; the theme must survive."""
@@ -182,13 +198,18 @@ def json_extract(spark, folder):
     return rows.select("node_id", F.col("s.theme").alias("theme"), F.size("s.includes").cast("long").alias("includes"))
 
 
+def _first_texts(spark, folder, most: int = 20):
+    """(document_id, t): the first chunks of each document, in corpus order."""
+    first = W.partitionBy("document_id", F.pmod(F.xxhash64("id"), F.lit(16))).orderBy("pos", "id")  # a hot document is cut before it is gathered
+    cut = inputs.chunks(spark, folder).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most)
+    c = cut.groupBy("document_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "id", "content"))), 1, most).alias("t"))
+    return c.select("document_id", F.transform("t", lambda x: x["content"]).alias("t"))
+
+
 @register
 def prompt_samples(spark, folder):
-    first = W.partitionBy("document_id", F.pmod(F.xxhash64("id"), F.lit(16))).orderBy("pos", "id")  # a hot document is cut before it is gathered
-    cut = inputs.chunks(spark, folder).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= 20)
-    c = cut.groupBy("document_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "id", "content"))), 1, 20).alias("t"))
-    sample = X.prompt_sample(F.transform("t", lambda x: x["content"]))
-    return c.select("document_id", F.md5(sample).alias("digest"), F.length(sample).alias("chars"))
+    sample = X.prompt_sample(F.col("t"))
+    return _first_texts(spark, folder).select("document_id", F.md5(sample).alias("digest"), F.length(sample).alias("chars"))
 
 
 @register
@@ -197,6 +218,68 @@ def cache_keys(spark, folder):
     return q.select("query_id", X.pair_key(F.coalesce("text", F.lit("")), F.element_at("gold", 1)).alias("pair_key"), X.judge_key(F.col("gold")).alias("judge_key"))
 
 
+# models, by the stand-ins of :mod:`leafline.plans.offline`
+
+
+@register
+def model_summaries(spark, folder):
+    """A summary of each document's chunks by a model; the fallback where its reply cannot be read."""
+    rows = models.summaries(_first_texts(spark, folder).select(F.col("document_id").alias("node_id"), F.col("t").alias("texts")), offline.describe)
+    return rows.select(F.col("node_id").alias("document_id"), F.col("summary.theme").alias("theme"), F.array_join("summary.includes", "|").alias("includes"))
+
+
+@register
+def model_verdicts(spark, folder):
+    """Do the chunks that fit into 400 tokens answer the query?"""
+    r, q, c = _one(spark, folder, "bm25")
+    packed = budget.pack_budget(_tokens(r, c), 400).select("query_id", F.posexplode("chunk_ids").alias("at", "chunk_id"))
+    texts = packed.join(c.select(F.col("id").alias("chunk_id"), "content"), "chunk_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", "content"))).alias("t"))
+    asked = q.select("query_id", F.regexp_replace(F.coalesce("text", F.lit("")), "\n", " ").alias("text")).join(texts, "query_id")
+    return models.verdicts(asked.select("query_id", "text", F.transform("t", lambda x: x["content"]).alias("texts")), offline.judge)
+
+
+@register
+def model_queries(spark, folder):
+    """One query for every chunk of 50 words or more, with that chunk as its gold."""
+    rows = inputs.chunks(spark, folder).where(F.col("tokens") >= suite.LEAST_TOKENS).select("id", F.lit("single_branch").alias("category"), "content")
+    return models.written_queries(rows, offline.ask, "gen").withColumn("gold_chunk_ids", F.array_join("gold_chunk_ids", "|"))
+
+
+# sources and sinks
+
+
+@register
+def article_selection(spark, folder):
+    """Fifty articles of fitting length on the topics, in seeded hash order."""
+    rows = files.select_articles(table(spark, folder, "documents").select("title", "text"), 50)
+    return rows.select("id", F.element_at("metadata", "title").alias("title"), F.md5("content").alias("digest"))
+
+
+@register
+def result_tables(spark, folder):
+    """Mean words of the chunks of each document, written as Parquet and as JSON with six digits, and read back."""
+    means = inputs.chunks(spark, folder).groupBy("document_id").agg(F.avg("tokens").alias("mean_tokens"), F.count(F.lit(1)).alias("chunks"))
+    out = None
+    for form in ("parquet", "json"):
+        path = scratch_path(spark, f"result-{form}")
+        files.write_table(means, path, form, digits=6)
+        back = spark.read.schema(means.schema).format(form).load(path).select(F.lit(form).alias("form"), "document_id", "mean_tokens", "chunks")
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@register
+def store_resume(spark, folder):
+    """Scores of all gold pairs from a store that a first run filled with the easy queries' pairs only; each pair is computed once."""
+    q = inputs.queries(spark, folder).where("text IS NOT NULL")
+    pairs = q.select("difficulty", "text", F.explode("gold").alias("chunk_id")).withColumn("key", X.pair_key(F.col("text"), F.col("chunk_id")))
+    pairs = materialize(pairs.groupBy("key").agg(F.bool_or(F.col("difficulty") == "easy").alias("easy"), F.first("text").alias("text")), "pairs")
+    store = stores.pair_scores(spark, scratch_path(spark, "store"))
+    score = lambda run: lambda df: df.select("key", (X.word_count(F.col("text")) + F.lit(run)).cast("double").alias("score"))
+    store.fill(pairs.where("easy"), score(0.25))
+    return store.fill(pairs, score(0.5))
+
+
 # retrieval
 
 
@@ -532,6 +615,22 @@ def tree_topk(spark, folder):
     return _tree_ranking(q, c, nodes, edges, scorer)[1].where("rank <= 10").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+@register
+def tree_invariants(spark, folder):
+    """What the tree system must keep, counted: rankings without gaps, of chunks that are there, and beams no wider than asked for."""
+    q, c, nodes, edges, summaries, scorer = _text_tree(spark, folder)
+    trace, r = _tree_ranking(q, c, nodes, edges, scorer)
+    spread = r.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("chunk_id").alias("chunks"), F.max("rank").alias("last"), F.min("rank").alias("first"))
+    fall = r.select("score", F.lag("score").over(W.partitionBy("query_id").orderBy("rank")).alias("before"))
+    missing = r.join(c.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti")
+    bare = nodes.where("NOT is_leaf AND level > 0").join(summaries.select("node_id"), "node_id", "left_anti")
+    leaf = c.select(F.col("id").alias("chunk_id")).join(nodes.where("is_leaf").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")), "chunk_id", "left")
+    return _broken(
+        ("ranks with gaps or ties", spread.where("first <> 1 OR last <> n")), ("chunk ranked twice", spread.where("chunks <> n")), ("more than 50 ranked", spread.where("n > 50")),
+        ("score that rises by more than the penalty of siblings", fall.where("score > before + 0.3 + 1e-9")), ("ranked chunk that is not there", missing), ("branch without a summary", bare), ("chunk not in exactly one leaf", leaf.where("coalesce(n, 0) <> 1")),
+    )
+
+
 @register
 def ir_metrics_tree(spark, folder):
     q, c, nodes, edges, _, scorer = _text_tree(spark, folder)
@@ -617,9 +716,4 @@ def kmeans_invariants(spark, folder):
     leaf = v.select("chunk_id").join(nodes.where("is_leaf").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")), "chunk_id", "left")
     inner = edges.join(nodes.where(~F.col("is_leaf")).select(F.col("node_id").alias("child_id")), "child_id", "left_semi").groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"))
     orphan = nodes.where("level > 0").join(edges.select(F.col("child_id").alias("node_id")), "node_id", "left_anti")
-    rules = [("vector not in exactly one leaf", leaf.where("coalesce(n, 0) <> 1")), ("more than 8 branches below a node", inner.where("n > 8")), ("node without a parent", orphan), ("level beyond the depth", nodes.where("level > 4"))]
-    out = None
-    for name, rows in rules:
-        one = rows.agg(F.count(F.lit(1)).alias("broken")).select(F.lit(name).alias("rule"), "broken")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _broken(("vector not in exactly one leaf", leaf.where("coalesce(n, 0) <> 1")), ("more than 8 branches below a node", inner.where("n > 8")), ("node without a parent", orphan), ("level beyond the depth", nodes.where("level > 4")))

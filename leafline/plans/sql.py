@@ -362,3 +362,33 @@ p AS (SELECT query_id, list_reduce(items, lambda a, x: CASE WHEN a.used + x.toke
   {{'used': CAST(0 AS BIGINT), 'ids': CAST([] AS VARCHAR[]), 'vecs': CAST([] AS DOUBLE[][])}}) AS p FROM it)
 SELECT query_id, p.used AS tokens_used, array_to_string(p.ids, '|') AS chunk_ids FROM p""",
 }
+
+NONE = lambda *rules: " UNION ALL ".join(f"SELECT '{r}' AS rule, CAST(0 AS BIGINT) AS broken" for r in rules)
+FIRST_TEXTS = f"{CHUNKS}, t AS (SELECT document_id, list(content ORDER BY pos, id)[1:20] AS c FROM lc GROUP BY 1)"
+SQL |= {
+    "summary_blocks": f"""WITH {SUMMARIES}, j AS (SELECT node_id, chunk_id, summary AS s FROM n)
+SELECT node_id, CASE WHEN s IS NULL THEN CASE WHEN length(chunk_id) > 0 THEN '[leaf: ' || chunk_id || ']' ELSE '[no summary]' END
+ELSE concat_ws(chr(10), 'Theme: ' || coalesce(s.theme, ''), 'Includes: ' || coalesce(array_to_string(s.includes, ', '), ''), 'Excludes: ' || coalesce(array_to_string(s.excludes, ', '), ''),
+'Entities: ' || coalesce(array_to_string(s.key_entities, ', '), ''), 'Terms: ' || coalesce(array_to_string(s.key_terms, ', '), '')) END AS block FROM j""",
+    "model_summaries": f"""WITH {FIRST_TEXTS}, j AS (SELECT document_id, array_to_string(c, chr(10) || '---' || chr(10)) AS s, array_to_string(c, ' ') AS text FROM t),
+h AS (SELECT document_id, length(s) > 3000 AS cut, {words('s')} AS w, list_filter({HEAD}, lambda x: length(x) > 4) AS a FROM j), u AS (SELECT *, {ORDERED.format('a')} AS u1 FROM h)
+SELECT document_id, CASE WHEN cut THEN '{FALLBACK_THEME}' ELSE w[1] END AS theme, CASE WHEN cut THEN array_to_string(u1[1:8], '|') ELSE CAST(len(w) AS VARCHAR) END AS includes FROM u""",
+    "model_verdicts": f"""WITH {TEXTS}, {ITEMS}, p AS (SELECT query_id, {packed('400')} AS p FROM it), x AS (SELECT query_id, unnest(p.ids) AS chunk_id FROM p),
+s AS (SELECT query_id, string_agg(content, chr(10)) AS s FROM x JOIN lc ON lc.id = x.chunk_id GROUP BY 1), k AS (SELECT query_id, {words("lower(coalesce(text, ''))")}[-1] AS k, s FROM s JOIN aq USING (query_id))
+SELECT query_id, coalesce(contains(lower(s), k), false) AS is_sufficient, coalesce(k, 'no readable verdict') AS reasoning FROM k""",
+    "model_queries": f"""WITH {CHUNKS}, w AS (SELECT id, {words('content')} AS w FROM lc WHERE tokens >= 50)
+SELECT 'gen-' || id || '-single_branch' AS id, 'What about ' || w[1] || '?' AS text, 'single_branch' AS category, 'easy' AS difficulty, id AS gold_chunk_ids, w[-1] AS gold_answer FROM w WHERE regexp_matches(w[1], '^[A-Za-z]')""",
+    "article_selection": rf"""WITH w AS (SELECT title, text, lower(coalesce(title, '') || coalesce(' ' || left(text, 500), '')) AS h, len({words("coalesce(text, '')")}) AS words FROM documents),
+f AS (SELECT title, regexp_replace(regexp_replace(text, '\n{{3,}}', chr(10) || chr(10), 'g'), '(?s)\n=={WS}*(?:References|External links|See also|Notes|Further reading){WS}*==.*', '', 'g') AS t
+FROM w WHERE words BETWEEN 500 AND 10000 AND ({' OR '.join(f"contains(h, '{k}')" for k in TOPIC_KEYWORDS)})),
+c AS (SELECT title, {strip('t')} AS content FROM f), k AS (SELECT title, md5(content) AS digest, row_number() OVER (ORDER BY md5(concat_ws('|', '42', title, content)), title) - 1 AS n FROM c)
+SELECT printf('wikipedia-%05d', n) AS id, title, digest FROM k WHERE n < 50""",
+    "result_tables": f"""WITH {CHUNKS}, m AS (SELECT document_id, round(avg(tokens), 6) AS mean_tokens, count(*) AS chunks FROM lc GROUP BY 1)
+SELECT 'parquet' AS form, * FROM m UNION ALL SELECT 'json', * FROM m""",
+    "store_resume": f"""WITH {QUERIES}, p AS (SELECT difficulty, text, unnest(list_distinct(gold_chunk_ids)) AS chunk_id FROM lq WHERE text IS NOT NULL),
+k AS (SELECT left(sha256(text), 16) || '_' || chunk_id AS key, bool_or(difficulty = 'easy') AS easy, min(len({words('text')})) AS n FROM p WHERE chunk_id IS NOT NULL GROUP BY 1)
+SELECT key, n + CASE WHEN easy THEN CAST(0.25 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS score FROM k""",
+    "tree_invariants": NONE(
+        "ranks with gaps or ties", "chunk ranked twice", "more than 50 ranked", "score that rises by more than the penalty of siblings", "ranked chunk that is not there", "branch without a summary", "chunk not in exactly one leaf",
+    ),
+}

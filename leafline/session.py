@@ -26,6 +26,13 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which :func:`clear_scratch` empties."""
+    path = f"{scratch_root(spark)}/leafline-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "t", **seen: Column) -> DataFrame:
     """Cut the lineage: write ``df`` to a table in the shared folder and read that table back.
 
@@ -33,8 +40,7 @@ def materialize(df: DataFrame, name: str = "t", **seen: Column) -> DataFrame:
     given as ``seen`` are taken while the rows are written, without a job of their own: see :func:`seen_value`.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/leafline-{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    path = scratch_path(spark, name)
     watch = Observation()
     (df.observe(watch, *[c.alias(k) for k, c in seen.items()]) if seen else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

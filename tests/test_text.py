@@ -146,3 +146,22 @@ def test_chunk_edges(spark):
     assert all(r["token_count"] <= 100 for r in rows) and len({r["chunk_id"] for r in rows}) == len(rows)
     forced = chunking.force_split(spark.createDataFrame([("x", "w " * 100)], "id string, content string"), "id", "content", 100, 10).collect()
     assert [r["token_count"] for r in sorted(forced, key=lambda r: r["chunk_no"])] == [100, 10]
+
+
+def test_fences_inside_the_json_do_not_end_it(spark):
+    reply = 'Here:\n```json\n{"theme": "```", "includes": ["a ``` b"]}\n```\nDone. ```'
+    inline = 'So: ```{"theme": "t", "includes": []}``` there'
+    df = spark.createDataFrame([(1, reply), (2, inline), (3, None)], "k int, reply string")
+    got = {r["k"]: r["s"] for r in df.select("k", X.parse_summary(F.col("reply"), F.lit("whole text here")).alias("s")).collect()}
+    assert (got[1]["theme"], got[1]["includes"]) == ("```", ["a ``` b"])
+    assert (got[2]["theme"], got[2]["includes"]) == ("t", [])
+    assert got[3]["theme"] == X.FALLBACK_THEME
+
+
+def test_summary_blocks(spark):
+    schema = "k int, chunk_id string, summary struct<theme:string,includes:array<string>,excludes:array<string>,key_entities:array<string>,key_terms:array<string>,content_snippet:string>"
+    rows = [(1, "c", ("t", ["a", None, "b"], [], None, ["x"], "s")), (2, "c", (None, None, None, None, None, None)), (3, "c", None), (4, None, None), (5, "", None)]
+    got = {r["k"]: r["b"] for r in spark.createDataFrame(rows, schema).select("k", X.summary_block(F.col("summary"), F.col("chunk_id")).alias("b")).collect()}
+    assert got[1] == "Theme: t\nIncludes: a, b\nExcludes: \nEntities: \nTerms: x"
+    assert got[2] == "Theme: \nIncludes: \nExcludes: \nEntities: \nTerms: "
+    assert (got[3], got[4], got[5]) == ("[leaf: c]", "[no summary]", "[no summary]")
