@@ -145,3 +145,67 @@ def test_summaries_of_branches(spark, small_tree):
     got = {r["node_id"]: r["summary"] for r in tree.summarise(nodes, edges, chunks).collect()}
     assert set(got) == {"r", "r.0", "r.1"} and got["r.0"]["includes"] == ["gamma", "omega", "words", "alpha", "delta"]
     assert got["r.0"]["content_snippet"].startswith("gamma omega words alpha")
+
+
+def test_small_nodes_are_split_in_tasks_as_across_the_cluster(spark):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(0, 1, (300, 6)), np.repeat(rng.normal(3, 1, (1, 6)), 40, 0)])
+    v = spark.createDataFrame([(f"c{i}", r.tolist()) for i, r in enumerate(x)], "chunk_id string, vec array<double>")
+    sc = spark.sparkContext
+    sc.setJobGroup("k-means", "")
+    inside = {r["chunk_id"]: tuple(r["path"]) for r in tree.kmeans_paths(v, 4, 4, 8).collect()}
+    jobs = len(sc.statusTracker().getJobIdsForGroup("k-means"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 10  # not one a round
+    across = {r["chunk_id"]: tuple(r["path"]) for r in tree.kmeans_paths(v, 4, 4, 8, task_rows=20).collect()}
+    assert inside == across and len(set(inside.values())) > 40
+    assert len({inside[f"c{i}"] for i in range(300, 340)}) == 1  # equal vectors stay together, though there are more than a node takes
+
+
+def test_a_large_node_of_equal_vectors_stays_a_leaf(spark):
+    v = spark.createDataFrame([(f"c{i}", [1.0, 2.0] if i < 30 else [9.0, float(i)]) for i in range(40)], "chunk_id string, vec array<double>")
+    paths = [{r["chunk_id"]: tuple(r["path"]) for r in tree.kmeans_paths(v, 2, 5, 8, task_rows=most).collect()} for most in (5, 1_000)]
+    assert paths[0] == paths[1] and len({paths[0][f"c{i}"] for i in range(30)}) == 1
+
+
+def test_nearest_takes_the_first_of_equal_centres():
+    rng = np.random.default_rng(3)
+    x, c = rng.normal(size=(3_000, 7)), rng.normal(size=(5, 7))
+    c = np.vstack([c, c, x[:2]])
+    assert (tree.nearest(x, c) == ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)).all()
+
+
+def test_means_of_branches_with_vectors_of_different_lengths(spark):
+    vec = {"a": [1.0, 4.0], "b": [3.0], "c": [8.0, 2.0, 6.0]}
+    v = spark.createDataFrame(list(vec.items()), "chunk_id string, vec array<double>")
+    paths = spark.createDataFrame([("a", [0, 0]), ("b", [0, 0]), ("c", [1])], "chunk_id string, path array<int>")
+    got = {r["node_id"]: r["embedding"] for r in tree.build_tree(paths, v)[0].where("NOT is_leaf").collect()}
+    assert got == {"r": [4.0, 3.0, 6.0], "r.0": [2.0, 4.0], "r.0.0": [2.0, 4.0]}
+
+
+def test_closure_of_some_nodes(spark, small_tree):
+    _, nodes, edges = small_tree
+    some = spark.createDataFrame([("r.0.a1",), ("r.1",), ("gone",)], "node_id string")
+    got = {tuple(r) for r in tree.closure(edges, nodes, some).collect()}
+    assert got == {("r.0.a1", "r.0.a1", 2), ("r.0.a1", "r.0", 1), ("r.0.a1", "r", 0), ("r.1", "r.1", 1), ("r.1", "r", 0)}
+    assert got == {tuple(r) for r in tree.closure(edges, nodes).collect() if r["node_id"] in ("r.0.a1", "r.1")}
+
+
+def test_summaries_join_no_text_that_they_do_not_read(spark):
+    rows = [(f"c{i:02d}", i, ("  " * 150 if i < 2 else "") + f"word{i} " + "text " * (1 if i % 3 else 60)) for i in range(30)]
+    chunks = spark.createDataFrame(rows, "id string, pos long, content string")
+    v = chunks.select(F.col("id").alias("chunk_id"), F.array(F.lit(1.0)).alias("vec"))
+    nodes, edges = tree.build_tree(v.select("chunk_id", F.array((F.substring("chunk_id", 2, 2).cast("int") % 3)).alias("path")), v)
+    from leafline.functions import text as X
+
+    whole = {n: " ".join(t for k, (_, _, t) in enumerate(rows) if n == "r" or k % 3 == int(n[2:])) for n in ("r", "r.0", "r.1", "r.2")}
+    cut = {n: " ".join([t for k, (_, _, t) in enumerate(rows) if n == "r" or k % 3 == int(n[2:])][:20]) for n in whole}
+    want = spark.createDataFrame(list(cut.items()), "node_id string, t string").select("node_id", X.fallback_summary(F.col("t")).alias("summary"))
+    seen, kept = [], tree.materialize
+    try:
+        tree.materialize = lambda df, name="t", **k: [seen.append((name, out := kept(df, name, **k))), out][1]
+        got = {r["node_id"]: r["summary"] for r in tree.summarise(nodes, edges, chunks).collect()}
+    finally:
+        tree.materialize = kept
+    assert got == {r["node_id"]: r["summary"] for r in want.collect()}
+    assert next(df for name, df in seen if name == "read").count() < 30
