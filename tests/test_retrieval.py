@@ -146,3 +146,28 @@ def test_packing_skips_and_goes_on(spark):
     assert budget.pack_budget(df, 16).first()["chunk_ids"] == ["a", "c"]
     assert budget.pack_budget(df, 0).first()["chunk_ids"] == []
     assert budget.pack_budget(df.limit(0), 9).collect() == []
+
+
+def test_best_of_many_blocks_equals_sorting_all():
+    rng = np.random.default_rng(9)
+    score = rng.integers(-40, 40, (6, 40_000)) / 400 + rng.normal(0, 1e-9, (6, 40_000))
+    best = retrieval.Best(6, 5)
+    for at in range(0, 40_000, 700):
+        best.add(score[:, at : at + 700], np.arange(at, min(at + 700, 40_000)), np.array([f"c{i}" for i in range(at, min(at + 700, 40_000))], dtype=object), digits=4)
+    rows = best.rows(np.array([f"q{i}" for i in range(6)], dtype=object)).to_pylist()
+    for k in range(6):
+        want = sorted(range(40_000), key=lambda i: (-round(score[k, i], 4), i))[:5]
+        assert sorted((r for r in rows if r["query_id"] == f"q{k}"), key=lambda r: (-r["score"], r["pos"]))[:5] == [{"query_id": f"q{k}", "chunk_id": f"c{i}", "pos": i, "score": round(score[k, i], 4) + 0.0} for i in want]
+
+
+def test_document_counts_in_one_pass():
+    import pyarrow as pa
+
+    lists = [["a", "b", "a"], [], ["b"], ["c", "c"]] * 3_000
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string()))], ["words"])
+    total = {}
+    for out in retrieval.document_counts([batch.slice(0, 7_000), batch.slice(7_000)], most=2):
+        for r in out.to_pylist():
+            n, w = total.get(r["term"], (0, 0))
+            total[r["term"]] = (n + r["df"], w + r["words"])
+    assert total == {None: (12_000, 18_000), "a": (3_000, 0), "b": (6_000, 0), "c": (3_000, 0)}
