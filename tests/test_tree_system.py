@@ -81,3 +81,28 @@ def test_first_of_falls_back_to_all(spark):
 def test_token_deltas(spark):
     df = spark.createDataFrame([("a", 10), ("a", 20), ("b", 5)], "system string, tokens_used long")
     assert {r["system"]: (r["mean_tokens"], r["token_delta"]) for r in metrics.token_deltas(df, "a").collect()} == {"a": (15.0, 0.0), "b": (5.0, -10.0)}
+
+
+def test_only_pairs_whose_scores_count_are_scored(spark, small):
+    c, nodes, edges = small
+    asked = []
+
+    class Counting(retrieval.LexicalScorer):
+        def score(self, pairs):
+            asked.append(pairs.count())
+            return super().score(pairs)
+
+    q = spark.createDataFrame([("q1", "rollback a release in the deploy pipeline")], "query_id string, text string")
+    routing.TreeRetriever(nodes, edges, c, hash_embedding, Counting(retrieval.Bm25(c).idf)).rank(q, 3).collect()
+    assert asked == [3 * 5]  # the first five leaves of the three branches in the beam, none at the level of branches
+
+
+def test_gate_ranks_only_the_queries_it_judges(spark, folder, monkeypatch):
+    from leafline.plans import registry
+
+    some, whole = [], registry._ranked
+    rows = spark.range(300).select(F.format_string("q%03d", "id").alias("query_id"), F.lit("words of a release").alias("text"), F.lit("how").alias("category"), F.when(F.col("id") % 2 == 0, "easy").otherwise("hard").alias("difficulty"), F.array(F.lit("c1")).alias("gold"))
+    monkeypatch.setattr(registry.inputs, "asked", lambda *_: rows)
+    monkeypatch.setattr(registry, "_ranked", lambda *a, **k: [some.append(out := whole(*a, **k)), out][1])
+    assert registry.failfast_gate(spark, folder).count() == 1
+    assert some[0][0]["flat_ce"].select("query_id").distinct().count() == 100
