@@ -165,3 +165,13 @@ def test_summary_blocks(spark):
     assert got[1] == "Theme: t\nIncludes: a, b\nExcludes: \nEntities: \nTerms: x"
     assert got[2] == "Theme: \nIncludes: \nExcludes: \nEntities: \nTerms: "
     assert (got[3], got[4], got[5]) == ("[leaf: c]", "[no summary]", "[no summary]")
+
+
+def test_words_inside_tasks_equal_those_of_columns(spark):
+    import pyarrow as pa
+
+    texts = ["  a b\tc\n\nd ", "", None, "x\fy\rz", "q", "é ü w v", " "]
+    for some in (texts, [*texts, "m\vn o"]):
+        want = [r["w"] or [] for r in spark.createDataFrame([(i, t) for i, t in enumerate(some)], "i int, t string").coalesce(1).orderBy("i").select(X.words(F.col("t")).alias("w")).collect()]
+        assert X.word_lists(pa.array(some)).to_pylist() == want
+        assert X.word_lists(pa.array(some).slice(3)).to_pylist() == want[3:]

@@ -209,3 +209,39 @@ def test_summaries_join_no_text_that_they_do_not_read(spark):
         tree.materialize = kept
     assert got == {r["node_id"]: r["summary"] for r in want.collect()}
     assert next(df for name, df in seen if name == "read").count() < 30
+
+
+def test_a_tree_from_blocks_equals_that_from_joins(spark):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(0, 1, (260, 5)), np.repeat(rng.normal(2, 1, (1, 5)), 40, 0)])
+    text = ["  " * (i % 90) + f"word{i} some text " * (i % 7) for i in range(300)]
+    rows = [(f"c{i:03d}", int(rng.integers(0, 90)), t, r.tolist()) for i, (t, r) in enumerate(zip(text, x))]
+    chunks = spark.createDataFrame(rows, "id string, pos long, content string, vec array<double>")
+    v = tree.text_lengths(chunks).select(F.col("id").alias("chunk_id"), "pos", "n", "bare", "vec")
+    slow = tree.build_tree(tree.kmeans_paths(v, 3, 4, 8), v)
+    want = {r["node_id"]: r["summary"] for r in tree.summarise(*slow, chunks).collect()}
+    kept = tree.FAMILY_ROWS
+    for most, family in ((None, kept), (30, kept), (30, 1)):
+        tree.FAMILY_ROWS = family
+        try:
+            leaves = tree.kmeans_leaves(v, 3, lambda n: 4 if n == 300 else 0, 8, task_rows=most)
+            nodes, edges = tree.build_tree(leaves, branching=3)
+        finally:
+            tree.FAMILY_ROWS = kept
+        plain = lambda df: {(r["node_id"], r["level"], r["is_leaf"], r["chunk_id"], tuple(round(e, 9) for e in r["embedding"])) for r in df.collect()}
+        assert plain(nodes) == plain(slow[0]) and set(edges.collect()) == set(slow[1].collect())
+        assert {r["node_id"]: r["summary"] for r in tree.summarise(nodes, edges, chunks, leaves=leaves).collect()} == want
+        bare, _ = tree.build_tree(tree.kmeans_leaves(v, 3, 4, 8, task_rows=most, embedded=False), branching=3)
+        assert set(bare.collect()) == set(nodes.drop("embedding").collect())
+    some = nodes.where("is_leaf AND chunk_id < 'c050'")
+    assert set(tree.path_closure(edges, some).collect()) == set(tree.closure(edges, nodes, some).collect())
+    of = spark.createDataFrame([("r.1",)], "node_id string")
+    assert {r["node_id"]: r["summary"] for r in tree.summarise(nodes, edges, chunks, leaves=leaves, of=of).collect()} == {"r.1": want["r.1"]}
+
+
+def test_blocks_of_vectors_of_different_lengths_are_an_error(spark):
+    v = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0])], "chunk_id string, vec array<double>")
+    with pytest.raises(Exception, match="vectors of"):
+        tree.kmeans_leaves(v.repartition(1), 2, 1).collect()
+    with pytest.raises(Exception, match="vectors of"):
+        tree.kmeans_leaves(v.repartition(2, "chunk_id"), 1, 1, task_rows=1).collect()

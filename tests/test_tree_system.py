@@ -106,3 +106,15 @@ def test_gate_ranks_only_the_queries_it_judges(spark, folder, monkeypatch):
     monkeypatch.setattr(registry, "_ranked", lambda *a, **k: [some.append(out := whole(*a, **k)), out][1])
     assert registry.failfast_gate(spark, folder).count() == 1
     assert some[0][0]["flat_ce"].select("query_id").distinct().count() == 100
+
+
+def _refused(*_, **__):
+    raise AssertionError("not needed")
+
+
+def test_trace_scores_reads_no_vectors_of_nodes(spark, folder, monkeypatch):
+    from leafline.plans import registry
+
+    monkeypatch.setattr(tree, "reembed", _refused)
+    monkeypatch.setattr(routing, "routing_trace", _refused)
+    assert {(r["level"], r["right"]) for r in registry.trace_scores(spark, folder).collect()} >= {(1, True), (1, False)}
