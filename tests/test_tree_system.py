@@ -118,3 +118,11 @@ def test_trace_scores_reads_no_vectors_of_nodes(spark, folder, monkeypatch):
     monkeypatch.setattr(tree, "reembed", _refused)
     monkeypatch.setattr(routing, "routing_trace", _refused)
     assert {(r["level"], r["right"]) for r in registry.trace_scores(spark, folder).collect()} >= {(1, True), (1, False)}
+
+
+def test_failure_rates_walk_no_levels_of_the_tree(spark, folder, monkeypatch):
+    from leafline.plans import registry
+
+    monkeypatch.setattr(tree, "_inner_reach", _refused)
+    rows = registry.trace_failure_rates(spark, folder).collect()
+    assert rows and all(0 <= r["failed"] <= r["queries"] for r in rows)
