@@ -126,3 +126,12 @@ def test_failure_rates_walk_no_levels_of_the_tree(spark, folder, monkeypatch):
     monkeypatch.setattr(tree, "_inner_reach", _refused)
     rows = registry.trace_failure_rates(spark, folder).collect()
     assert rows and all(0 <= r["failed"] <= r["queries"] for r in rows)
+
+
+def test_trace_failures_tell_only_of_scored_branches(spark, folder, monkeypatch):
+    from leafline.plans import registry
+
+    asked, whole = [], tree.summarise
+    monkeypatch.setattr(tree, "summarise", lambda *a, **k: [asked.append((k["of"], out := whole(*a, **k))), out][1])
+    assert registry.trace_failures(spark, folder).collect() is not None
+    assert all(out.join(of, "node_id", "left_anti").count() == 0 for of, out in asked) and len(asked) == 1
