@@ -135,3 +135,11 @@ def test_trace_failures_tell_only_of_scored_branches(spark, folder, monkeypatch)
     monkeypatch.setattr(tree, "summarise", lambda *a, **k: [asked.append((k["of"], out := whole(*a, **k))), out][1])
     assert registry.trace_failures(spark, folder).collect() is not None
     assert all(out.join(of, "node_id", "left_anti").count() == 0 for of, out in asked) and len(asked) == 1
+
+
+def test_retriever_reads_leaves_below_branches_off_their_paths(spark, small, monkeypatch):
+    c, nodes, edges = small
+    want = set(tree.descendant_leaves(edges, nodes).collect())
+    monkeypatch.setattr(tree, "_inner_reach", _refused)
+    monkeypatch.setattr(routing, "descendant_leaves", _refused, raising=False)
+    assert set(routing.TreeRetriever(nodes, edges, c, hash_embedding).below.collect()) == want
