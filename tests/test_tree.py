@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from leafline.functions import vec
 from leafline.operators import metrics, routing, tree
 
 
@@ -245,3 +246,38 @@ def test_blocks_of_vectors_of_different_lengths_are_an_error(spark):
         tree.kmeans_leaves(v.repartition(1), 2, 1).collect()
     with pytest.raises(Exception, match="vectors of"):
         tree.kmeans_leaves(v.repartition(2, "chunk_id"), 1, 1, task_rows=1).collect()
+
+
+@pytest.mark.parametrize("depth", [0, 1, 4])
+def test_families_on_the_way_equal_those_of_the_whole_tree(spark, depth):
+    rng = np.random.default_rng(5)
+    rows = [(f"c{i:03d}", [float(x) for x in rng.normal(size=4)]) for i in range(300)]
+    v = spark.createDataFrame(rows, "chunk_id string, vec array<double>")
+    leaves = tree.kmeans_leaves(v, 3, depth, 8, embedded=False)
+    nodes, edges = (df.collect() for df in tree.build_tree(leaves, branching=3))
+    parent = {r["child_id"]: r["parent_id"] for r in edges}
+    of, way = {"c007", "c150", "c151"}, set()
+    for node in (r["node_id"] for r in nodes if r["chunk_id"] in of):
+        while node in parent:
+            node = parent[node]
+            way.add(node)
+    got, links = tree.families(leaves, spark.createDataFrame([(c,) for c in of], "chunk_id string"), 3)
+    assert set(links.collect()) == {r for r in edges if r["parent_id"] in way} and links.count() == len(set(links.collect()))
+    assert sorted(got.select("node_id", "level", "is_leaf", "chunk_id").collect(), key=str) == sorted((r for r in nodes if parent.get(r["node_id"]) in way), key=str)
+    assert tree.families(leaves, v.select("chunk_id").limit(0), 3)[1].count() == 0
+
+
+def test_texts_hashed_where_they_are_packed_give_the_same_leaves(spark):
+    t = spark.createDataFrame([(f"c{i:02d}", i, f"Word w{i % 7} W{i % 5} x{i}" if i else " ") for i in range(60)], "id string, pos long, text string")
+    want = tree.kmeans_leaves(vec.hash_embedding(t, "id", "text", keep=("pos",)).withColumnRenamed("id", "chunk_id"), 3, 3, 8, task_rows=20)
+    got = tree.kmeans_leaves(t.select(F.col("id").alias("chunk_id"), "pos", vec.lowered("text").alias("text")), 3, 3, 8, task_rows=20, embed=vec.hashed)
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect()) and got.count() == 59
+
+
+def test_sums_of_nearest_equal_sums_by_label():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(5000, 6))
+    label = tree.nearest(x, x[:4])
+    n, total = tree.sums_by_nearest(x, x[:4])
+    assert n.tolist() == np.bincount(label, minlength=4).tolist()
+    assert np.allclose(total, [x[label == k].sum(0) for k in range(4)], rtol=0, atol=1e-9)

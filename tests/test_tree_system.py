@@ -143,3 +143,12 @@ def test_retriever_reads_leaves_below_branches_off_their_paths(spark, small, mon
     monkeypatch.setattr(tree, "_inner_reach", _refused)
     monkeypatch.setattr(routing, "descendant_leaves", _refused, raising=False)
     assert set(routing.TreeRetriever(nodes, edges, c, hash_embedding).below.collect()) == want
+
+
+def test_failure_rates_number_no_children_off_the_way(spark, folder, monkeypatch):
+    from leafline.plans import registry
+
+    monkeypatch.setattr(tree, "build_tree", _refused)
+    monkeypatch.setattr(tree, "_edges", _refused)
+    rows = registry.trace_failure_rates(spark, folder).collect()
+    assert rows and all(0 <= r["failed"] <= r["queries"] for r in rows)
