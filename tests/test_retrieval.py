@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -171,3 +172,24 @@ def test_document_counts_in_one_pass():
             n, w = total.get(r["term"], (0, 0))
             total[r["term"]] = (n + r["df"], w + r["words"])
     assert total == {None: (12_000, 18_000), "a": (3_000, 0), "b": (6_000, 0), "c": (3_000, 0)}
+
+
+def test_pairs_are_scored_without_lists_of_words_in_rows(spark, monkeypatch):
+    idf = spark.createDataFrame([("alpha", 2.0), ("beta", 1.5), ("\u00e9t\u00e9", 0.25), ("off", -0.5), ("a\vb", 1.0)], "term string, idf double")
+    queries = {"q1": "Alpha beta alpha gone", "q2": "\u00c9T\u00c9 off beta", "q3": "unknown words", "q4": None, "q5": "A\vB alpha"}
+    texts = {"c1": "beta  ALPHA\talphabet", "c2": "\u00e9t\u00e9\noff", "c3": "", "c4": None, "c5": "a\vb b", "c6": "BETA " * 3000}
+    pairs = [(q, c, queries[q], texts[c]) for _ in range(60) for q in queries for c in texts]
+    weight = {r["term"]: r["idf"] for r in idf.collect()}
+
+    def words(text):
+        return {w for w in re.split("[ \t\r\n\f]+", (text or "").lower()) if w}
+
+    def want(q, c):
+        known = [t for t in sorted(words(queries[q])) if t in weight]
+        mass = sum(weight[t] for t in known)
+        return round(sum(weight[t] for t in known if t in words(texts[c])) / mass, 6) if mass > 0 else 0.0
+
+    rows = spark.createDataFrame(pairs, "query_id string, chunk_id string, query string, content string")
+    monkeypatch.setattr(F, "array_intersect", None)
+    got = retrieval.LexicalScorer(idf).score(rows).collect()
+    assert len(got) == len(pairs) and {(r["query_id"], r["chunk_id"]): r["score"] for r in got} == {(q, c): want(q, c) for q in queries for c in texts}
