@@ -152,3 +152,20 @@ def test_failure_rates_number_no_children_off_the_way(spark, folder, monkeypatch
     monkeypatch.setattr(tree, "_edges", _refused)
     rows = registry.trace_failure_rates(spark, folder).collect()
     assert rows and all(0 <= r["failed"] <= r["queries"] for r in rows)
+
+
+@pytest.fixture(scope="module")
+def suite_queries(spark, folder):
+    """(ids of all queries, ids of those with gold, ids of those with a gold chunk that is there)."""
+    from leafline.plans import inputs
+
+    q = inputs.queries(spark, folder)
+    g = inputs.gold(q)
+    there = g.join(inputs.chunks(spark, folder).select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
+    return tuple({r["query_id"] for r in df.select("query_id").distinct().collect()} for df in (q, g, there))
+
+
+def test_tree_metrics_count_every_query_with_gold(spark, folder, suite_queries):
+    from leafline.plans import registry
+
+    assert registry.ir_metrics_tree(spark, folder).first()["queries"] == len(suite_queries[1])
