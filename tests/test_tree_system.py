@@ -169,3 +169,12 @@ def test_tree_metrics_count_every_query_with_gold(spark, folder, suite_queries):
     from leafline.plans import registry
 
     assert registry.ir_metrics_tree(spark, folder).first()["queries"] == len(suite_queries[1])
+
+
+def test_agreement_counts_the_decisions_of_every_query(spark, folder, suite_queries, monkeypatch):
+    from leafline.plans import registry
+
+    traced, whole = [], metrics.agreement
+    monkeypatch.setattr(metrics, "agreement", lambda *both: [traced.extend(both), whole(*both)][1])
+    n = sum(r["decisions"] for r in registry.trace_agreement(spark, folder).collect())
+    assert [{r["query_id"] for r in t.collect()} for t in traced] == [suite_queries[2]] * 2 and n == traced[1].count()
