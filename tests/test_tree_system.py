@@ -178,3 +178,9 @@ def test_agreement_counts_the_decisions_of_every_query(spark, folder, suite_quer
     monkeypatch.setattr(metrics, "agreement", lambda *both: [traced.extend(both), whole(*both)][1])
     n = sum(r["decisions"] for r in registry.trace_agreement(spark, folder).collect())
     assert [{r["query_id"] for r in t.collect()} for t in traced] == [suite_queries[2]] * 2 and n == traced[1].count()
+
+
+def test_failure_rates_are_of_every_query(spark, folder, suite_queries):
+    from leafline.plans import registry
+
+    assert sum(r["queries"] for r in registry.trace_failure_rates(spark, folder).collect()) == len(suite_queries[2])
