@@ -184,3 +184,12 @@ def test_failure_rates_are_of_every_query(spark, folder, suite_queries):
     from leafline.plans import registry
 
     assert sum(r["queries"] for r in registry.trace_failure_rates(spark, folder).collect()) == len(suite_queries[2])
+
+
+def test_trace_failures_follow_every_query(spark, folder, suite_queries, monkeypatch):
+    from leafline.plans import registry
+
+    traced, whole = [], metrics.failures
+    monkeypatch.setattr(metrics, "failures", lambda trace, q: [traced.append(trace), whole(trace, q)][1])
+    found = {r["query_id"] for r in registry.trace_failures(spark, folder).collect()}
+    assert found <= {r["query_id"] for r in traced[0].collect()} == suite_queries[2]
