@@ -193,3 +193,9 @@ def test_trace_failures_follow_every_query(spark, folder, suite_queries, monkeyp
     monkeypatch.setattr(metrics, "failures", lambda trace, q: [traced.append(trace), whole(trace, q)][1])
     found = {r["query_id"] for r in registry.trace_failures(spark, folder).collect()}
     assert found <= {r["query_id"] for r in traced[0].collect()} == suite_queries[2]
+
+
+def test_trace_scores_hold_the_right_child_of_every_query(spark, folder, suite_queries):
+    from leafline.plans import registry
+
+    assert [r["n"] for r in registry.trace_scores(spark, folder).collect() if r["level"] == 1 and r["right"]] == [len(suite_queries[2])]
