@@ -199,3 +199,9 @@ def test_trace_scores_hold_the_right_child_of_every_query(spark, folder, suite_q
     from leafline.plans import registry
 
     assert [r["n"] for r in registry.trace_scores(spark, folder).collect() if r["level"] == 1 and r["right"]] == [len(suite_queries[2])]
+
+
+def test_tree_ranks_for_every_query(spark, folder, suite_queries):
+    from leafline.plans import registry
+
+    assert {r["query_id"] for r in registry.tree_topk(spark, folder).collect()} == suite_queries[0]
